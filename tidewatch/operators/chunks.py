@@ -116,21 +116,20 @@ def decayed_mean(df: DataFrame, value: str, per_step: float, output: str, *,
                  back: int) -> DataFrame:
     """Recursive exponential mean: y = d*y + (1-d)*x, started with the first value.
 
-    Written as a running sum of values scaled by powers of two of the row
+    Written as a running sum of values scaled by powers of the decay at the row
     position in the chunk; the halo covers everything the weights can see.
     Null values are skipped at the front only.
     """
     rate = -math.log2(per_step)
     if (size + back) * rate > _MAX_EXPONENT or decay_reach(per_step) > back:
         raise ValueError("chunk or halo does not fit this decay")
-    middle = (size - back) / 2.0
-    exponent = (F.col("_step") - F.lit(middle)) * F.lit(rate)
+    place = F.col("_step") - F.lit((size - back) // 2)
     w = series_window(key, order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     known = F.col(value).isNotNull()
     first = known & (F.sum(known.cast("int")).over(run) == 1)
     lead_in = df.withColumn("_first", first)
     weight = F.when(F.col("_first"), F.lit(1.0)).otherwise(F.lit(1.0 - per_step))
-    scaled = F.col(value) * weight * F.pow(F.lit(2.0), exponent)
-    return (lead_in.withColumn(output, F.sum(scaled).over(run) * F.pow(F.lit(2.0), -exponent))
+    scaled = F.col(value) * weight * F.pow(F.lit(per_step), -place)
+    return (lead_in.withColumn(output, F.sum(scaled).over(run) * F.pow(F.lit(per_step), place))
             .drop("_first"))

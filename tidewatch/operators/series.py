@@ -8,8 +8,6 @@ Unused columns are pruned together with their window functions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +44,10 @@ def ewma_columns(w, cpu: Column, half_lives=S.HALF_LIVES, size: int = chunks.CHU
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     out = {}
     for h in half_lives:
-        power = (F.col("_step") - F.lit((size - BACK) / 2.0)) / F.lit(float(h))
-        alpha = 1.0 - 2.0 ** (-1.0 / h)
-        weight = F.when(F.col("_first"), F.lit(1.0)).otherwise(F.lit(alpha))
-        out[f"cpu_ewma_{h}"] = (F.sum(cpu * weight * F.pow(F.lit(2.0), power)).over(run)
-                                * F.pow(F.lit(2.0), -power))
+        keep = F.lit(2.0 ** (-1.0 / h))
+        place = F.col("_step") - F.lit((size - BACK) // 2)
+        weight = F.when(F.col("_first"), F.lit(1.0)).otherwise(1.0 - keep)
+        out[f"cpu_ewma_{h}"] = F.sum(cpu * weight * F.pow(keep, -place)).over(run) * F.pow(keep, place)
     return out
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from tidewatch.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("q_series",)
+_MODULES = ("q_series", "q_ingest")
 
 
 def _load() -> None:
@@ -21,4 +21,4 @@ def queries():
 
 def oracles():
     _load()
-    return dict(ORACLES)
+    return {name: build() for name, build in ORACLES.items()}

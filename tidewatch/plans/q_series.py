@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch import schemas as S
 from tidewatch.operators import chunks, cross, series, thresholds
 from tidewatch.plans import features, fixtures as fx
-from tidewatch.plans.registry import query, sql
+from tidewatch.plans.registry import block, query, sql
 
 _REAL_FEATURES = " ".join(c for c in S.MODEL_FEATURES if c != "n_tasks")
 _ALL = ", ".join([*features.IDS, *S.MODEL_FEATURES, *S.LABELS])
@@ -73,20 +73,16 @@ _window_query("w9_spike_rate", "cpu_spike_rate_24")
 _window_query("w10_since_last_spike", "time_since_last_spike")
 
 
-@query("w2_ewma", sql("""
-SELECT machine_id, bucket, y6 AS cpu_ewma_6, y24 AS cpu_ewma_24 FROM (
-  SELECT machine_id, bucket, pos, total_cpu AS y6, total_cpu AS y24 FROM dense WHERE pos = 0
-  UNION ALL
-  SELECT 0, 0, 0, 0, 0 WHERE false) WHERE false
-UNION ALL SELECT machine_id, bucket, y6, y24 FROM walk""", "dense", reals="cpu_ewma_6 cpu_ewma_24")
-       .replace("final_ AS (", """walk AS (
-  SELECT machine_id, bucket, pos, total_cpu AS y6, total_cpu AS y24 FROM dense WHERE pos = 0
-  UNION ALL
-  SELECT d.machine_id, d.bucket, d.pos,
-         pow(2, -1 / 6e0) * k.y6 + (1 - pow(2, -1 / 6e0)) * d.total_cpu,
-         pow(2, -1 / 24e0) * k.y24 + (1 - pow(2, -1 / 24e0)) * d.total_cpu
-  FROM walk k JOIN dense d ON d.machine_id = k.machine_id AND d.pos = k.pos + 1),
-final_ AS (""").replace("WITH raw_agg", "WITH RECURSIVE raw_agg"))
+block("walk", """
+SELECT machine_id, bucket, pos, total_cpu AS y6, total_cpu AS y24 FROM dense WHERE pos = 0
+UNION ALL
+SELECT d.machine_id, d.bucket, d.pos, pow(2, -1 / 6e0) * k.y6 + (1 - pow(2, -1 / 6e0)) * d.total_cpu,
+       pow(2, -1 / 24e0) * k.y24 + (1 - pow(2, -1 / 24e0)) * d.total_cpu
+FROM walk k JOIN dense d ON d.machine_id = k.machine_id AND d.pos = k.pos + 1""", "dense")
+
+
+@query("w2_ewma", sql("SELECT machine_id, bucket, y6 AS cpu_ewma_6, y24 AS cpu_ewma_24 FROM walk", "walk",
+                      reals="cpu_ewma_6 cpu_ewma_24"))
 def ewma(spark, sf):
     return _rows(_series(spark, sf)).select("machine_id", "bucket", "cpu_ewma_6", "cpu_ewma_24")
 

@@ -11,9 +11,12 @@ from pyspark.sql import types as T
 from tidewatch.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, Callable[[], str]] = {}
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+# Halving a four-digit decimal often ends exactly between two six-digit values;
+# both sides add this before rounding, so the last bit of a sum does not decide.
+NUDGE = 1e-9
 _REAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -25,12 +28,12 @@ def tidy(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, _WHOLE):
             c = c.cast("long")
         elif isinstance(f.dataType, _REAL):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double") + NUDGE, 6)
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: Callable[[], str] | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
@@ -55,22 +58,25 @@ def block(name: str, body: str, *needs: str) -> None:
     _BLOCKS[name] = (needs, body)
 
 
-def sql(body: str, *needs: str, reals: str = "", recursive: bool = False) -> str:
-    """``body`` with the named blocks as CTEs; columns in ``reals`` rounded to six digits."""
-    ordered: list[str] = []
-
-    def visit(n: str) -> None:
-        if n in ordered:
-            return
-        for d in _BLOCKS[n][0]:
-            visit(d)
-        ordered.append(n)
-
-    for n in needs:
-        visit(n)
-    ctes = [f"{n} AS ({_BLOCKS[n][1].strip()})" for n in ordered]
-    ctes.append(f"final_ AS ({body.strip()})")
-    fixes = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0 AS {c}" for c in reals.split())
-    star = f"* REPLACE ({fixes})" if fixes else "*"
-    head = "WITH RECURSIVE " if recursive else "WITH "
-    return head + ",\n".join(ctes) + f"\nSELECT {star} FROM final_"
+def sql(body: str, *needs: str, reals: str = "") -> Callable[[], str]:
+    """``body`` with the named blocks as CTEs; columns in ``reals`` rounded to six digits.
+
+    Resolved on demand, so blocks may be registered in any order.
+    """
+    def build() -> str:
+        ordered: list[str] = []
+
+        def visit(n: str) -> None:
+            if n not in ordered:
+                for d in _BLOCKS[n][0]:
+                    visit(d)
+                ordered.append(n)
+
+        for n in needs:
+            visit(n)
+        ctes = [f"{n} AS ({_BLOCKS[n][1].strip()})" for n in ordered] + [f"final_ AS ({body.strip()})"]
+        fixes = ", ".join(f"round(CAST({c} AS DOUBLE) + 1e-9, 6) + 0 AS {c}" for c in reals.split())
+        star = f"* REPLACE ({fixes})" if fixes else "*"
+        return "WITH RECURSIVE " + ",\n".join(ctes) + f"\nSELECT {star} FROM final_"
+
+    return build
