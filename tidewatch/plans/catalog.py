@@ -6,7 +6,7 @@ import importlib
 
 from tidewatch.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("q_series", "q_ingest")
+_MODULES = ("q_series", "q_ingest", "q_eval")
 
 
 def _load() -> None:

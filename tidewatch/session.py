@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
 
@@ -47,3 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point ``DataFrame.checkpoint`` at the shared folder if nothing did so yet."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame that several branches of a plan read, and continue from the table.
+
+    Lineage ends at files in the shared folder, so a lost executor costs a
+    re-read and not a recomputation of everything before.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
