@@ -6,7 +6,7 @@ import importlib
 
 from tidewatch.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("q_series", "q_ingest", "q_eval")
+_MODULES = ("q_series", "q_ingest", "q_eval", "q_scoring")
 
 
 def _load() -> None:

@@ -166,21 +166,22 @@ FROM (SELECT m.machine_id, coalesce(o.p95, g.p95) AS p95, coalesce(o.p99, g.p99)
                  FROM agg WHERE bucket <= (SELECT t1 FROM bounds) GROUP BY 1) o USING (machine_id)
       CROSS JOIN (SELECT quantile_cont(total_cpu, 0.95) AS p95, quantile_cont(total_cpu, 0.99) AS p99
                   FROM agg WHERE bucket <= (SELECT t1 FROM bounds)) g)""", "agg", "bounds")
-block("dense", """
+def series_blocks(p: str, a: str, t: str, until: str) -> None:
+    """SQL for the whole feature plan over aggregate ``a`` and thresholds ``t``; names get prefix ``p``."""
+    block(f"{p}dense", f"""
 SELECT g.machine_id, g.bucket, a.machine_id IS NOT NULL AS observed,
        coalesce(a.total_cpu, 0) AS total_cpu, coalesce(a.peak_cpu, 0) AS peak_cpu,
        coalesce(a.total_mem, 0) AS total_mem, coalesce(a.peak_mem, 0) AS peak_mem,
        coalesce(a.disk_io, 0) AS disk_io, coalesce(a.n_tasks, 0) AS n_tasks,
        g.bucket - g.lo AS pos, t.threshold_p95, t.threshold_p99
 FROM (SELECT machine_id, lo, unnest(range(lo, hi + 1)) AS bucket
-      FROM (SELECT machine_id, min(bucket) AS lo, max(bucket) AS hi FROM agg GROUP BY 1)) g
-LEFT JOIN agg a USING (machine_id, bucket) JOIN thr t USING (machine_id)""", "agg", "thr")
-block("flags", """
+      FROM (SELECT machine_id, min(bucket) AS lo, max(bucket) AS hi FROM {a} GROUP BY 1)) g
+LEFT JOIN {a} a USING (machine_id, bucket) JOIN {t} t USING (machine_id)""", a, t)
+    block(f"{p}flags", f"""
 SELECT *, CASE WHEN total_cpu > threshold_p95 THEN 1e0 ELSE 0e0 END AS spike_now,
        CASE WHEN total_cpu > threshold_p99 THEN 1e0 ELSE 0e0 END AS spike_severe_now
-FROM dense""", "dense")
-_LABEL_FRAMES = {"15": 3, "30": 6, "45": 9}
-block("series", """
+FROM {p}dense""", f"{p}dense")
+    block(f"{p}series", f"""
 SELECT *, total_cpu - cpu_lag_1 AS cpu_delta_1, total_cpu - cpu_lag_1 - (cpu_lag_1 - lag_2) AS cpu_delta_2,
        CASE WHEN threshold_p95 > 0 THEN (total_cpu - cpu_lag_1) / threshold_p95 ELSE 0 END AS cpu_vs_p95_delta,
        CASE WHEN threshold_p95 > 0 THEN (total_cpu / threshold_p95 - lag_3 / threshold_p95) / 3 ELSE 0 END
@@ -215,16 +216,16 @@ SELECT *, coalesce(lag(total_cpu, 1) OVER w, 0) AS cpu_lag_1, coalesce(lag(total
        sum(spike_now) OVER (w ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS ahead_95,
        sum(spike_severe_now) OVER (w ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS ahead_99,
        count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS ahead_rows
-FROM flags WINDOW w AS (PARTITION BY machine_id ORDER BY bucket))""", "flags")
-block("cross_section", """
+FROM {p}flags WINDOW w AS (PARTITION BY machine_id ORDER BY bucket))""", f"{p}flags")
+    block(f"{p}cross_section", f"""
 SELECT a.machine_id, a.bucket, (rank() OVER (PARTITION BY a.bucket ORDER BY a.total_cpu)
          + (count(*) OVER (PARTITION BY a.bucket, a.total_cpu) - 1) / 2e0) / count(*) OVER (PARTITION BY a.bucket)
          AS machine_rank_in_cluster,
-       coalesce(p.p90, (SELECT quantile_cont(total_cpu, 0.9) FROM agg WHERE bucket <= (SELECT t1 FROM bounds)))
+       coalesce(p.p90, (SELECT quantile_cont(total_cpu, 0.9) FROM {a}{until}))
          AS cluster_cpu_p90
-FROM agg a LEFT JOIN (SELECT bucket, quantile_cont(total_cpu, 0.9) AS p90 FROM agg
-                      WHERE bucket <= (SELECT t1 FROM bounds) GROUP BY 1) p USING (bucket)""", "agg", "bounds")
-block("feat", """
+FROM {a} a LEFT JOIN (SELECT bucket, quantile_cont(total_cpu, 0.9) AS p90 FROM {a}{until}
+                      GROUP BY 1) p USING (bucket)""", a, "bounds")
+    block(f"{p}feat", f"""
 SELECT s.machine_id, s.bucket, s.bucket * 3600000000 AS time_us,
        total_cpu, peak_cpu, total_mem, peak_mem, disk_io, n_tasks, total_cpu / greatest(n_tasks, 1) AS cpu_per_task,
        cpu_lag_1, cpu_lag_12, cpu_lag_24, cpu_ewma_6, cpu_ewma_24, cpu_delta_1, cpu_delta_2, cpu_rolling_std_6,
@@ -248,5 +249,21 @@ SELECT s.machine_id, s.bucket, s.bucket * 3600000000 AS time_us,
        CASE WHEN ahead_rows = 12 THEN CASE WHEN ahead_99 >= 1 THEN 2e0 WHEN ahead_95 >= 1 THEN 1e0 ELSE 0e0 END END
          AS severity_in_60m,
        threshold_p95, threshold_p99
-FROM series s JOIN cross_section c ON c.machine_id = s.machine_id AND c.bucket = s.bucket
-WHERE observed""", "series", "cross_section")
+FROM {p}series s JOIN {p}cross_section c ON c.machine_id = s.machine_id AND c.bucket = s.bucket
+WHERE observed""", f"{p}series", f"{p}cross_section")
+
+
+series_blocks("", "agg", "thr", " WHERE bucket <= (SELECT t1 FROM bounds)")
+
+# --- live window: the last 240 buckets, scored with thresholds learnt before -------------------
+
+LIVE_BUCKETS = 240
+
+
+def live(rows: DataFrame) -> DataFrame:
+    from_here = rows.agg((F.max("bucket") - LIVE_BUCKETS).alias("b")).scalar()
+    return rows.filter(F.col("bucket") > from_here)
+
+
+block("live_agg", f"SELECT * FROM agg WHERE bucket > (SELECT hi - {LIVE_BUCKETS} FROM bounds)", "agg", "bounds")
+series_blocks("live_", "live_agg", "thr", "")

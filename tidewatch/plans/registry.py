@@ -33,6 +33,11 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def as_text(df: DataFrame, columns: str) -> DataFrame:
+    """Booleans that may be null, as "true"/"false"/null."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns.split()})
+
+
 def query(name: str, sql: Callable[[], str] | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
@@ -58,10 +63,10 @@ def block(name: str, body: str, *needs: str) -> None:
     _BLOCKS[name] = (needs, body)
 
 
-def sql(body: str, *needs: str, reals: str = "") -> Callable[[], str]:
+def sql(body: str, *needs: str, reals: str = "", flags: str = "") -> Callable[[], str]:
     """``body`` with the named blocks as CTEs; columns in ``reals`` rounded to six digits.
 
-    Resolved on demand, so blocks may be registered in any order.
+    ``flags`` are three-valued booleans, compared as text (see ``as_text``).  Resolved on demand, so blocks may be registered in any order.
     """
     def build() -> str:
         ordered: list[str] = []
@@ -76,6 +81,8 @@ def sql(body: str, *needs: str, reals: str = "") -> Callable[[], str]:
             visit(n)
         ctes = [f"{n} AS ({_BLOCKS[n][1].strip()})" for n in ordered] + [f"final_ AS ({body.strip()})"]
         fixes = ", ".join(f"round(CAST({c} AS DOUBLE) + 1e-9, 6) + 0 AS {c}" for c in reals.split())
+        texts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in flags.split())
+        fixes = ", ".join(x for x in (fixes, texts) if x)
         star = f"* REPLACE ({fixes})" if fixes else "*"
         return "WITH RECURSIVE " + ",\n".join(ctes) + f"\nSELECT {star} FROM final_"
 
