@@ -49,16 +49,15 @@ def fill_forward_back(df: DataFrame, columns: list[str], key: str = "nodename",
         *[F.max_by(c, known(c)).alias(f"_tail_{c}") for c in columns],
         *[F.min_by(c, known(c)).alias(f"_head_{c}") for c in columns])
     w = Window.partitionBy(key).orderBy("_span")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = edges.select(
         key, "_span",
         *[F.last(f"_tail_{c}", ignorenulls=True).over(before).alias(f"_prev_{c}") for c in columns],
-        *[F.first(f"_head_{c}", ignorenulls=True).over(after).alias(f"_next_{c}") for c in columns])
-    inside = Window.partitionBy(key, "_span").orderBy(order)
-    upto, onward = (inside.rowsBetween(Window.unboundedPreceding, 0),
-                    inside.rowsBetween(0, Window.unboundedFollowing))
-    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_prev_{c}"),
-                            F.first(c, ignorenulls=True).over(onward), F.col(f"_next_{c}"), F.lit(0.0))
+        *[F.first(f"_head_{c}", ignorenulls=True).over(whole).alias(f"_first_{c}") for c in columns])
+    upto = Window.partitionBy(key, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # nothing known up to here means the next known value is the first one of the series
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_prev_{c}"), F.col(f"_first_{c}"), F.lit(0.0))
               for c in columns}
     joined = spans.join(carried, [key, "_span"], "left")
     return joined.select(*[filled[c].alias(c) if c in filled else c for c in df.columns])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.operators import cross, series, thresholds
+from tidewatch.session import materialise
 
 IDS = ["machine_id", "bucket", "time_us"]
 
@@ -16,10 +17,10 @@ def build(agg: DataFrame, limits: DataFrame, train_last: Column | None, *, bucke
           labels: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Features (and labels) for every measured bucket.
 
-    The cross-section is joined to the narrow rows first; the wide result of
-    the series stage is never shuffled again.
+    The cross-section is joined to the narrow rows first and written as a stage
+    table; the wide result of the series stage is never shuffled again.
     """
-    rows = cross.cross_section(agg, train_last)
+    rows = materialise(cross.cross_section(agg, train_last), "cross-section")
     dense = series.dense_series(rows, limits, extra=("cluster_cpu_p90", "machine_rank_in_cluster", *keep),
                                 horizon=horizon)
     full = series.with_features(dense, slots)
@@ -35,4 +36,4 @@ def build(agg: DataFrame, limits: DataFrame, train_last: Column | None, *, bucke
 def train(agg: DataFrame, ratio: float = S.TRAIN_RATIO, **options) -> DataFrame:
     """Thresholds from the leading part of the time span, then the feature plan."""
     last = thresholds.split_point(agg, ratio)
-    return build(agg, thresholds.learn(agg, last), last, **options)
+    return build(agg, materialise(thresholds.learn(agg, last), "thresholds"), last, **options)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.plans.registry import block
+from tidewatch.session import materialise
 
 HOUR = 3600
 SLOTS = 24
@@ -42,6 +43,11 @@ def agg(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("_err") / F.col("n_tasks")).alias("disk_io"), "n_tasks"))
 
 
+def agg_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a written table, for plans that read them in several branches."""
+    return materialise(agg(spark, sf_dir), "agg")
+
+
 block("raw_agg", """
 SELECT user_id AS machine_id, epoch_us(ts) // 3600000000 AS bucket,
        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS s,

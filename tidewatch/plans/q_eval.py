@@ -16,8 +16,8 @@ from tidewatch.session import materialise
 
 
 def labelled_series(spark, sf):
-    agg = fx.agg(spark, sf)
-    limits = thresholds.learn(agg, thresholds.split_point(agg, S.TRAIN_RATIO))
+    agg = fx.agg_table(spark, sf)
+    limits = materialise(thresholds.learn(agg, thresholds.split_point(agg, S.TRAIN_RATIO)), "thresholds")
     full = series.with_labels(series.with_features(series.dense_series(agg, limits), fx.SLOTS))
     return series.observed_rows(full)
 
@@ -74,7 +74,7 @@ FROM stats s JOIN (SELECT a.machine_id, avg(CASE WHEN total_cpu < greatest(0.01e
                           AS idle_fraction FROM agg a JOIN stats USING (machine_id) GROUP BY 1) i USING (machine_id)""",
                                "stats", reals="mean_cpu std_cpu p95_cpu p99_cpu idle_fraction burstiness peak_to_mean cv"))
 def node_profile(spark, sf):
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     stats = profile.moments(agg)
     return profile.shape(stats).join(profile.idle_fraction(agg, stats), "machine_id")
 
@@ -103,7 +103,7 @@ FROM above x GROUP BY 1""", "above")
 
 @query("a14_episodes", sql("SELECT * FROM runs", "runs", reals="spike_rate mean_ep_len"))
 def episodes(spark, sf):
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     return profile.episodes(agg, profile.moments(agg))
 
 
@@ -129,7 +129,7 @@ FROM runs JOIN biz USING (machine_id) JOIN (
   FROM agg a JOIN stats USING (machine_id) GROUP BY 1) USING (machine_id)""", "runs", "biz", "stats",
                                    reals="spike_rate_std"))
 def profile_warnings(spark, sf):
-    return profile.warnings(profile.node_profile(fx.agg(spark, sf), fx.SLOTS))
+    return profile.warnings(profile.node_profile(fx.agg_table(spark, sf), fx.SLOTS))
 
 
 @query("st7_exceedance_episodes", sql("""
@@ -138,7 +138,7 @@ SELECT machine_id, min(bucket) AS first_bucket, max(bucket) AS last_bucket, coun
   FROM above WHERE above = 1) GROUP BY machine_id, island""", "above"))
 def exceedance_episodes(spark, sf):
     """Runs of consecutive exceeding buckets as sessions; the stream form is in ``streaming``."""
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     own = profile.moments(agg).select("machine_id", "p95_cpu")
     hot = agg.join(own, "machine_id").filter(F.col("total_cpu") > F.col("p95_cpu"))
     at = F.timestamp_seconds(F.col("bucket") * fx.HOUR)
@@ -181,8 +181,9 @@ SELECT *, CASE WHEN psi IS NULL THEN 'stable' WHEN psi >= 0.5 THEN 'emergency' W
 
 
 def _reference_live(spark, sf):
-    full = materialise(features.train(fx.agg(spark, sf), bucket_seconds=fx.HOUR, slots=fx.SLOTS, labels=False), "features")
-    cut = thresholds.split_point(fx.agg(spark, sf), S.TRAIN_RATIO)
+    agg = fx.agg_table(spark, sf)
+    full = materialise(features.train(agg, bucket_seconds=fx.HOUR, slots=fx.SLOTS, labels=False), "features")
+    cut = thresholds.split_point(agg, S.TRAIN_RATIO)
     return full.filter(F.col("bucket") <= cut), full.filter(F.col("bucket") > cut)
 
 
@@ -236,7 +237,7 @@ def cross_domain(spark, sf):
 @query("d6_drift_against_sample")
 def drift_against_sample(spark, sf):
     """Sampled training reference against live rows featured with their own thresholds."""
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     opts = dict(bucket_seconds=fx.HOUR, slots=fx.SLOTS, labels=False)
     reference = materialise(drift.reference_rows(features.train(agg, **opts), 0.10), "reference")
     live = agg.filter(F.col("bucket") > thresholds.split_point(agg, S.TRAIN_RATIO))
@@ -292,7 +293,7 @@ def inner_split(spark, sf):
 
 @query("k6_seeded_sample")
 def seeded_sample(spark, sf):
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     drawn = splits.seeded_sample(agg, 0.10).withColumn("how", F.lit("seeded"))
     hashed = splits.hash_sample(agg, 0.10).withColumn("how", F.lit("hashed"))
     return drawn.unionByName(hashed)
@@ -300,7 +301,7 @@ def seeded_sample(spark, sf):
 
 @query("k7_row_cap_and_machine_sample")
 def row_cap(spark, sf):
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     return (splits.row_cap(agg, 2_000).withColumn("how", F.lit("rows"))
             .unionByName(splits.machine_sample(agg, 10).withColumn("how", F.lit("machines"))))
 

@@ -9,7 +9,7 @@ from tidewatch.functions import scalar as X
 from tidewatch.operators import inventory, joins, rollup
 from tidewatch.plans import fixtures as fx
 from tidewatch.plans.registry import block, query, sql
-from tidewatch.session import fresh_path
+from tidewatch.session import fresh_path, materialise
 from tidewatch.sources import adapters, contracts, readers, sinks
 
 _TASK_COLS = [f.name for f in S.TASK_USAGE.fields]
@@ -241,14 +241,14 @@ def _wide(spark, sf):
 
 
 def _grid(spark, sf):
-    samples = fx.matrix_long(spark, sf)
+    samples = materialise(fx.matrix_long(spark, sf), "matrix")
     low = samples.agg((F.min("timestamp") - fx.HOUR).alias("t")).scalar()
     high = samples.agg(F.max("timestamp").alias("t")).scalar()
-    return joins.full_grid(_wide(spark, sf), low, high, fx.HOUR)
+    return joins.full_grid(joins.pivot_metrics(samples), low, high, fx.HOUR)
 
 
 def _filled(spark, sf):
-    return joins.fill_grid(_grid(spark, sf), span=8192 * fx.HOUR)
+    return joins.fill_grid(materialise(_grid(spark, sf), "grid"), span=8192 * fx.HOUR)
 
 
 @query("p9_fallback_fill", sql(f"""
@@ -265,7 +265,7 @@ WHERE severity_in_60m IS NOT NULL""", "feat"))
 def labelled_rows(spark, sf):
     from tidewatch.operators.splits import labelled
     from tidewatch.plans import features
-    out = features.train(fx.agg(spark, sf), bucket_seconds=fx.HOUR, slots=fx.SLOTS)
+    out = features.train(fx.agg_table(spark, sf), bucket_seconds=fx.HOUR, slots=fx.SLOTS)
     return labelled(out, "severity_in_60m").select("machine_id", "bucket", "severity_in_60m")
 
 
@@ -291,7 +291,7 @@ SELECT a.machine_id, a.bucket, a.total_cpu, f.spike_in_15m FROM agg a
 JOIN feat f ON f.machine_id = a.machine_id AND f.bucket = a.bucket""", "feat", reals="total_cpu spike_in_15m"))
 def readings_with_labels(spark, sf):
     from tidewatch.plans import features
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     labels = features.train(agg, bucket_seconds=fx.HOUR, slots=fx.SLOTS).select("machine_id", "bucket", "spike_in_15m")
     return joins.readings_with_labels(agg.select("machine_id", "bucket", "total_cpu"), labels)
 

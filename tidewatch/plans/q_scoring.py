@@ -25,8 +25,8 @@ SELECT machine_id, count(*) AS observations_used, CASE WHEN count(*) < 12 THEN '
 
 
 def _live(spark, sf):
-    agg = materialise(fx.agg(spark, sf), "agg")
-    limits = thresholds.learn(agg, thresholds.split_point(agg, S.TRAIN_RATIO))
+    agg = fx.agg_table(spark, sf)
+    limits = materialise(thresholds.learn(agg, thresholds.split_point(agg, S.TRAIN_RATIO)), "thresholds")
     return fx.live(agg), limits
 
 
@@ -376,7 +376,7 @@ SELECT machine_id, bucket, count(*) OVER w AS rows_in_window, avg(total_cpu) OVE
 WINDOW w AS (PARTITION BY machine_id ORDER BY bucket RANGE BETWEEN 23 PRECEDING AND CURRENT ROW)""", "agg", reals="mean_in_window"))
 def stream_lookback(spark, sf):
     """Rollup lands in three files by time; each micro-batch meets the recent past of the table."""
-    agg = fx.agg(spark, sf).select("machine_id", "bucket", "total_cpu")
+    agg = fx.agg_table(spark, sf).select("machine_id", "bucket", "total_cpu")
     landing = fresh_path(spark, "landing")
     third = agg.agg(F.struct(F.min("bucket").alias("lo"), (F.max("bucket") - F.min("bucket") + 1).alias("n")).alias("e")).scalar()
     slot = F.floor((F.col("bucket") - third["lo"]) * 3 / third["n"])
@@ -434,7 +434,7 @@ _SMALL = dict(trees=5, depth=3)
 
 
 def _training(spark, sf):
-    out = features.train(fx.agg(spark, sf), **_OPTS)
+    out = features.train(fx.agg_table(spark, sf), **_OPTS)
     return materialise(splits.chronological(out), "features")
 
 

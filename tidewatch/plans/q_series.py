@@ -9,15 +9,16 @@ from tidewatch import schemas as S
 from tidewatch.operators import chunks, cross, series, thresholds
 from tidewatch.plans import features, fixtures as fx
 from tidewatch.plans.registry import block, query, sql
+from tidewatch.session import materialise
 
 _REAL_FEATURES = " ".join(c for c in S.MODEL_FEATURES if c != "n_tasks")
 _ALL = ", ".join([*features.IDS, *S.MODEL_FEATURES, *S.LABELS])
 
 
 def _learned(spark, sf):
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     last = thresholds.split_point(agg, S.TRAIN_RATIO)
-    return agg, last, thresholds.learn(agg, last)
+    return agg, last, materialise(thresholds.learn(agg, last), "thresholds")
 
 
 def _series(spark, sf, **kw):
@@ -32,14 +33,14 @@ def _rows(df):
 
 @query("features", sql(f"SELECT {_ALL} FROM feat", "feat", reals=f"{_REAL_FEATURES} {' '.join(S.LABELS)}"))
 def features_query(spark, sf):
-    return features.train(fx.agg(spark, sf), bucket_seconds=fx.HOUR, slots=fx.SLOTS)
+    return features.train(fx.agg_table(spark, sf), bucket_seconds=fx.HOUR, slots=fx.SLOTS)
 
 
 @query("label_classes_per_machine", sql("""
 SELECT machine_id, severity_in_60m, count(*) AS n_rows FROM feat GROUP BY 1, 2""", "feat",
                                         reals="severity_in_60m"))
 def label_classes(spark, sf):
-    out = features.train(fx.agg(spark, sf), bucket_seconds=fx.HOUR, slots=fx.SLOTS)
+    out = features.train(fx.agg_table(spark, sf), bucket_seconds=fx.HOUR, slots=fx.SLOTS)
     return out.groupBy("machine_id", "severity_in_60m").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -134,7 +135,7 @@ def latest_row(spark, sf):
 SELECT machine_id, quantile_cont(total_cpu, 0.95) AS p95, quantile_cont(total_cpu, 0.99) AS p99
 FROM agg WHERE bucket <= (SELECT t1 FROM bounds) GROUP BY 1""", "agg", "bounds", reals="p95 p99"))
 def train_quantiles(spark, sf):
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     last = thresholds.split_point(agg, S.TRAIN_RATIO)
     return thresholds.raw_quantiles(agg.filter(F.col("bucket") <= last), ["machine_id"])
 
@@ -156,7 +157,7 @@ FROM (SELECT machine_id, CASE WHEN n >= {_BOOT} THEN a.p95 ELSE g.p95 END AS p95
 
 @query("a8_bootstrap_thresholds", sql(_BOOT_SQL, "agg", reals="threshold_p95 threshold_p99"))
 def bootstrap(spark, sf):
-    return thresholds.bootstrap(fx.agg(spark, sf), _BOOT)
+    return thresholds.bootstrap(fx.agg_table(spark, sf), _BOOT)
 
 
 @query("a9_bootstrap_audit", sql(f"""
@@ -168,14 +169,14 @@ SELECT (SELECT count(*) FROM agg) AS rows_in, (SELECT min(bucket) FROM agg) AS m
        (SELECT quantile_cont(total_cpu, 0.99) FROM agg) AS global_p99
 FROM (SELECT machine_id, count(DISTINCT bucket) AS n FROM agg GROUP BY 1)""", "agg", reals="global_p95 global_p99"))
 def bootstrap_audit(spark, sf):
-    return thresholds.bootstrap_audit(fx.agg(spark, sf), _BOOT)
+    return thresholds.bootstrap_audit(fx.agg_table(spark, sf), _BOOT)
 
 
 @query("a10_bucket_p90", sql("""
 SELECT bucket, quantile_cont(total_cpu, 0.9) AS cluster_cpu_p90 FROM agg
 WHERE bucket <= (SELECT t1 FROM bounds) GROUP BY 1""", "agg", "bounds", reals="cluster_cpu_p90"))
 def bucket_p90(spark, sf):
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     return cross.bucket_p90(agg, thresholds.split_point(agg, S.TRAIN_RATIO))
 
 
@@ -208,7 +209,7 @@ def attach_thresholds(spark, sf):
 @query("j5_attach_bucket_p90", sql("""
 SELECT machine_id, bucket, cluster_cpu_p90 FROM cross_section""", "cross_section", reals="cluster_cpu_p90"))
 def attach_bucket_p90(spark, sf):
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     return cross.attach_p90(agg, thresholds.split_point(agg, S.TRAIN_RATIO)).select(
         "machine_id", "bucket", "cluster_cpu_p90")
 
@@ -217,7 +218,7 @@ def attach_bucket_p90(spark, sf):
 SELECT machine_id, count(*) AS rows_in FROM agg WHERE bucket > (SELECT t1 FROM bounds) AND machine_id NOT IN
   (SELECT machine_id FROM agg WHERE bucket <= (SELECT lo + 24 FROM bounds)) GROUP BY 1""", "agg", "bounds"))
 def unknown_machines(spark, sf):
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     first_day = agg.agg((F.min("bucket") + 24).alias("b")).scalar()
     known = agg.filter(F.col("bucket") <= first_day).select("machine_id").distinct()
     incoming = agg.filter(F.col("bucket") > thresholds.split_point(agg, S.TRAIN_RATIO))
@@ -231,7 +232,7 @@ FROM (SELECT DISTINCT machine_id FROM agg) WHERE machine_id NOT IN
   (SELECT machine_id FROM agg WHERE bucket <= (SELECT lo + 24 FROM bounds))""", "agg", "bounds",
                                            reals="threshold_p95"))
 def unseen_thresholds(spark, sf):
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     first_day = agg.agg((F.min("bucket") + 24).alias("b")).scalar()
     seen = agg.filter(F.col("bucket") <= first_day).select("machine_id")
     return (thresholds.learn(agg, first_day).join(seen, "machine_id", "left_anti")
@@ -262,7 +263,7 @@ SELECT machine_id, bucket, total_mem AS value, coalesce(lag(total_mem) OVER w, 0
 FROM dense WINDOW w AS (PARTITION BY machine_id ORDER BY bucket)""", "dense", reals="value previous rolling_std"))
 def other_signal(spark, sf):
     """The same series features on memory instead of CPU."""
-    agg = fx.agg(spark, sf)
+    agg = fx.agg_table(spark, sf)
     last = thresholds.split_point(agg, S.TRAIN_RATIO)
     limits = thresholds.learn(agg, last, value="total_mem")
     dense = series.dense_series(agg, limits, value="total_mem")
