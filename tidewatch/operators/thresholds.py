@@ -75,9 +75,11 @@ def bootstrap_audit(agg: DataFrame, min_buckets: int = S.BOOTSTRAP_MIN_BUCKETS)
 
 def fallback_medians(thresholds: DataFrame) -> DataFrame:
     """One row: the medians of both threshold columns."""
-    mid95 = quantiles(thresholds, [], "threshold_p95", {"median_p95": 0.5})
-    mid99 = quantiles(thresholds, [], "threshold_p99", {"median_p99": 0.5})
-    return mid95.withColumn("median_p99", mid99.scalar())
+    names = ["threshold_p95", "threshold_p99"]
+    long = thresholds.select(*names).unpivot([], names, "which", "value")
+    mid = quantiles(long, ["which"], "value", {"m": 0.5})
+    pick = lambda n: F.max(F.when(F.col("which") == n, F.col("m")))
+    return mid.agg(pick(names[0]).alias("median_p95"), pick(names[1]).alias("median_p99"))
 
 
 def attach(df: DataFrame, thresholds: DataFrame, key: str = "machine_id",

@@ -17,6 +17,9 @@ _TASK_SELECT = ", ".join(_TASK_COLS)
 _TASK_REALS = " ".join(c for c in _TASK_COLS if not c.endswith("_time") or c.startswith("mean"))
 _AGG_REALS = " ".join(S.SIGNALS)
 _AGG_SELECT = ", ".join(S.AGG_COLUMNS)
+_BOUNDS_SQL = lambda src: " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, avg(CASE WHEN {c} {'>' if side == 'above' else '<'} {bound} THEN 1e0 ELSE 0 END) * 100"
+    f" AS percent_beyond FROM {src}" for c, (side, bound) in S.INPUT_BOUNDS.items())
 
 
 block("task_rollup_f", """
@@ -98,18 +101,18 @@ def item_history(spark, sf):
     return readers.item_history(spark, path)
 
 
-@query("s7_parquet_sink")
+@query("s7_parquet_sink", sql(f"SELECT {_AGG_SELECT} FROM agg", "agg", reals=_AGG_REALS))
 def parquet_sink(spark, sf):
     return spark.read.parquet(sinks.write_table(fx.agg(spark, sf), fresh_path(spark, "agg")))
 
 
-@query("s8_report_sink")
+@query("s8_report_sink", sql(_BOUNDS_SQL("agg"), "agg", reals="percent_beyond"))
 def report_sink(spark, sf):
     report = contracts.bounds_report(fx.agg(spark, sf))
     return spark.read.schema(report.schema).json(sinks.write_report(report, fresh_path(spark, "report")))
 
 
-@query("s9_metric_csv_sink")
+@query("s9_metric_csv_sink", sql("SELECT machine_id, avg(total_cpu) AS mean_cpu FROM agg GROUP BY 1", "agg", reals="mean_cpu"))
 def metric_csv_sink(spark, sf):
     table = fx.agg(spark, sf).groupBy("machine_id").agg(F.avg("total_cpu").alias("mean_cpu"))
     path = sinks.write_metrics(table, fresh_path(spark, "metrics"))
@@ -124,7 +127,8 @@ def empty_input(spark, sf):
     return none.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(none.columns)))
 
 
-@query("s11_stage_reuse")
+@query("s11_stage_reuse", sql("SELECT machine_id, max(peak_cpu) AS peak_cpu, max(bucket) AS bucket FROM agg GROUP BY 1", "agg",
+                              reals="peak_cpu"))
 def stage_reuse(spark, sf):
     """Second pass finds both stages finished and only reads them."""
     root = fresh_path(spark, "stages")
@@ -143,7 +147,8 @@ def source_adapter(spark, sf):
 
 # --- validation and projection ---------------------------------------------------
 
-@query("p1_required_columns")
+@query("p1_required_columns", sql("""
+SELECT (SELECT count(*) FROM agg) AS n_rows, unnest(['disk_io', 'n_tasks']) AS missing_column""", "agg"))
 def required_columns(spark, sf):
     agg = contracts.require(fx.agg(spark, sf))
     gone = contracts.missing_columns(agg.drop("disk_io", "n_tasks"))
@@ -161,9 +166,7 @@ def coerce(spark, sf):
     return contracts.coerce(text).select("machine_id", "bucket", "total_cpu").withColumn("lost", lost)
 
 
-@query("p3_bounds_report", sql(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, avg(CASE WHEN {c} {'>' if side == 'above' else '<'} {bound} THEN 1e0 ELSE 0 END) * 100"
-    f" AS percent_beyond FROM agg_pct" for c, (side, bound) in S.INPUT_BOUNDS.items()), "agg_pct", reals="percent_beyond"))
+@query("p3_bounds_report", sql(_BOUNDS_SQL("agg_pct"), "agg_pct", reals="percent_beyond"))
 def bounds(spark, sf):
     percent = fx.agg(spark, sf).withColumns({c: F.col(c) * 40 for c in ("total_cpu", "peak_cpu")}) \
         .withColumns({c: F.col(c) * 3 for c in ("total_mem", "peak_mem", "disk_io")})
@@ -307,9 +310,11 @@ def stable_ids(spark, sf):
 
 
 def _items(spark, sf):
-    """Only two thirds of the items are known, so some readings stay unmatched."""
+    """Only items that reported in the last three days are known, so some readings stay unmatched."""
     kind = F.element_at(F.array(*[F.lit(k) for k, _ in fx.KINDS.values()]), (F.col("itemid") % 4 + 1).cast("int"))
-    return fx.item_catalog(spark, sf).filter(F.col("hostid") % 3 != 2).select(
+    catalog = fx.item_catalog(spark, sf)
+    recent = catalog.agg((F.max("lastclock") - 3 * 86400).alias("c")).scalar()
+    return catalog.filter(F.col("lastclock") >= recent).select(
         "itemid", F.col("hostid").alias("machine_id"), kind.alias("kind"))
 
 
@@ -321,7 +326,8 @@ def _resolved(spark, sf):
 block("resolved", """
 SELECT itemid, clock, value, itemid // 4 AS machine_id,
        CASE itemid % 4 WHEN 0 THEN 'cpu' WHEN 1 THEN 'mem' WHEN 2 THEN 'disk' ELSE 'load' END AS kind
-FROM history WHERE itemid // 4 % 3 <> 2""", "history")
+FROM history WHERE itemid IN (SELECT itemid FROM catalog WHERE lastclock >= (SELECT max(lastclock) - 259200 FROM catalog))""",
+      "history", "catalog")
 block("items", """
 SELECT machine_id, clock // 3600 AS bucket, avg(value) FILTER (WHERE kind = 'cpu') AS c,
        coalesce(avg(value) FILTER (WHERE kind = 'mem'), 0) AS m, coalesce(avg(value) FILTER (WHERE kind = 'disk'), 0) AS d,

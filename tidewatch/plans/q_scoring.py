@@ -50,12 +50,12 @@ def live_features(spark, sf):
 block("probs", """
 SELECT h.machine_id, h.observations_used, h.status,
        CASE WHEN h.status <> 'cold_start' THEN least(1e0, f.cpu_vs_p95 * 0.5) END AS p15,
-       CASE WHEN h.status <> 'cold_start' AND h.machine_id % 5 <> 0 THEN least(1e0, f.cpu_spike_rate_24 * 4) END AS p30,
+       CASE WHEN h.status = 'success' THEN least(1e0, f.cpu_spike_rate_24 * 4) END AS p30,
        CASE WHEN h.status <> 'cold_start' THEN least(1e0, f.peak_cpu_vs_p95 * 0.4) END AS p45,
        CASE WHEN h.status <> 'cold_start' THEN 1 - f.total_cpu / (1 + f.total_cpu) END AS p_no,
        CASE WHEN h.status <> 'cold_start' THEN f.total_cpu / (1 + f.total_cpu) * 0.6e0 END AS p_mod,
        CASE WHEN h.status <> 'cold_start' THEN f.total_cpu / (1 + f.total_cpu) * 0.4e0 END AS p_sev,
-       CASE WHEN h.status <> 'cold_start' AND h.machine_id % 7 <> 0 THEN least(1e0, f.cpu_vs_p99 * 0.6) END AS p_ovr
+       CASE WHEN h.observations_used >= 18 THEN least(1e0, f.cpu_vs_p99 * 0.6) END AS p_ovr
 FROM history_rows h LEFT JOIN (SELECT machine_id, max(bucket) AS bucket FROM live_agg GROUP BY 1) l USING (machine_id)
 LEFT JOIN live_feat f ON f.machine_id = l.machine_id AND f.bucket = l.bucket""", "history_rows", "live_feat", "live_agg")
 block("monotone", """
@@ -89,9 +89,9 @@ def _probs(spark, sf):
     one = lambda c: F.least(F.lit(1.0), c)
     share = F.col("total_cpu") / (1 + F.col("total_cpu"))
     made = {"p15": one(F.col("cpu_vs_p95") * 0.5),
-            "p30": F.when(F.col("machine_id") % 5 != 0, one(F.col("cpu_spike_rate_24") * 4)),
+            "p30": F.when(F.col("status") == "success", one(F.col("cpu_spike_rate_24") * 4)),
             "p45": one(F.col("peak_cpu_vs_p95") * 0.4), "p_no": 1 - share, "p_mod": share * 0.6, "p_sev": share * 0.4,
-            "p_ovr": F.when(F.col("machine_id") % 7 != 0, one(F.col("cpu_vs_p99") * 0.6))}
+            "p_ovr": F.when(F.col("observations_used") >= 18, one(F.col("cpu_vs_p99") * 0.6))}
     return scoring.history(rows).join(newest, "machine_id", "left").withColumns(
         {k: F.when(warm, v) for k, v in made.items()})
 
@@ -414,7 +414,9 @@ def stream_alarm_state(spark, sf):
     return as_text(spark.read.parquet(out).select(*_BOUNCE_COLS), "is_spike is_severe")
 
 
-@query("s12_incremental_parts")
+@query("s12_incremental_parts", sql("""
+SELECT start_time, machine_id, cpu_rate, max_cpu_rate, canonical_mem_usage, max_mem_usage, mean_disk_io_time, sample_portion
+FROM task_usage""", "task_usage", reals="cpu_rate max_cpu_rate canonical_mem_usage max_mem_usage mean_disk_io_time"))
 def incremental_parts(spark, sf):
     """Two runs over a growing folder; the second reads only what is new."""
     folder, table, checkpoint = (fresh_path(spark, n) for n in ("parts", "table", "checkpoint"))
@@ -425,7 +427,7 @@ def incremental_parts(spark, sf):
         wide.filter(F.col("batch_key") % 2 == parity).drop("batch_key").write.mode("append") \
             .option("compression", "gzip").csv(folder)
         streams.ingest_parts(spark, folder, table, checkpoint, 24 * 365 * 60)
-    return spark.read.parquet(table)
+    return spark.read.parquet(table).drop("end_time")
 
 
 # --- models -------------------------------------------------------------------------------------------------
