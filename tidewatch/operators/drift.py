@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
@@ -10,6 +10,7 @@ from tidewatch.functions.scalar import flag, psi_label, psi_status
 from tidewatch.operators.ordered import quantiles
 from tidewatch.operators.splits import hash_sample
 from tidewatch.operators.thresholds import split_point
+from tidewatch.session import materialise
 
 SEVERITY = ["stable", "warning", "retrain", "emergency"]
 
@@ -26,13 +27,16 @@ def _long(df: DataFrame, features: list[str]) -> DataFrame:
 def reference_edges(long_ref: DataFrame, bins: int = 10) -> DataFrame:
     """Per feature: quantile edges e0..e<bins>, or the two fixed bins of a 0/1 feature."""
     probs = {f"e{i}": i / bins for i in range(bins + 1)}
-    edges = quantiles(long_ref, ["feature"], "value", probs)
+    edges = quantiles(long_ref, ["feature"], "value", probs, few_groups=True)
     kinds = long_ref.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_ref"), F.avg("value").alias("reference_mean"),
         (F.count_if(~F.col("value").isin(0.0, 1.0)) == 0).alias("binary"))
     fixed = {i: (-0.5 if i == 0 else 0.5 if i == 1 else 1.5) for i in range(bins + 1)}
-    return edges.join(kinds, "feature").withColumns(
+    table = edges.join(kinds, "feature").withColumns(
         {f"e{i}": F.when(F.col("binary"), F.lit(fixed[i])).otherwise(F.col(f"e{i}")) for i in range(bins + 1)})
+    # number of the last bin, which also takes values equal to the last edge
+    last_bin = sum((flag(F.col(f"e{i}") < F.col(f"e{bins}")) for i in range(bins + 1)), F.lit(0.0))
+    return table.withColumn("last_bin", last_bin)
 
 
 def psi_table(reference: DataFrame, live: DataFrame, features: list[str] | None = None,
@@ -47,24 +51,30 @@ def psi_table(reference: DataFrame, live: DataFrame, features: list[str] | None
     spark = reference.sparkSession
     listed = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature")) for f in names])))
     long_ref, long_live = _long(reference, names), _long(live, names)
-    edges = reference_edges(long_ref, bins)
+    edges = materialise(reference_edges(long_ref, bins), "psi-edges")
     both = (long_ref.withColumn("_live", F.lit(0)).unionByName(long_live.withColumn("_live", F.lit(1)))
-            .join(F.broadcast(edges.drop("reference_mean")), "feature"))
+            .join(F.broadcast(edges.drop("reference_mean", "n_ref", "binary")), "feature", "left"))
     v, last = F.col("value"), F.col(f"e{bins}")
     below = sum((flag(F.col(f"e{i}") <= v) for i in range(bins + 1)), F.lit(0.0))
-    closed = sum((flag(F.col(f"e{i}") < last) for i in range(bins + 1)), F.lit(0.0))
-    place = F.when((v < F.col("e0")) | (v > last), F.lit(None)).when(v == last, closed).otherwise(below)
-    counts = (both.filter(F.col("e0") < last)
-              .groupBy("feature", place.alias("bin"))
-              .agg(F.count_if(F.col("_live") == 0).alias("c_ref"), F.count_if(F.col("_live") == 1).alias("c_live")))
-    live_stats = long_live.groupBy("feature").agg(F.count(F.lit(1)).alias("n_live"), F.avg("value").alias("live_mean"))
-    totals = edges.select("feature", "n_ref", "reference_mean").join(live_stats, "feature", "full")
+    inside = (F.col("e0") < last) & (v >= F.col("e0")) & (v <= last)
+    place = F.when(inside, F.when(v == last, F.col("last_bin")).otherwise(below))
+    live_row = F.col("_live") == 1
+    counts = both.groupBy("feature", place.alias("bin")).agg(
+        F.count_if(~live_row).alias("c_ref"), F.count_if(live_row).alias("c_live"),
+        F.sum(F.when(live_row, v)).alias("s_live"))
+    # a feature has at most bins + 1 rows from here on
+    whole = Window.partitionBy("feature")
+    total = counts.withColumns({n: F.sum(c).over(whole) for n, c in
+                                (("n_ref", "c_ref"), ("n_live", "c_live"), ("sum_live", "s_live"))})
     share = lambda c, n: F.greatest(F.col(c) / F.col(n), F.lit(S.PSI_FLOOR))
     a, e = share("c_live", "n_live"), share("c_ref", "n_ref")
-    psi = (counts.filter(F.col("bin").isNotNull()).join(F.broadcast(totals), "feature")
-           .filter((F.col("n_ref") > 0) & (F.col("n_live") > 0))
-           .groupBy("feature").agg(F.sum((a - e) * F.log(a / e)).alias("psi")))
-    return (F.broadcast(listed).join(totals, "feature", "left").join(psi, "feature", "left")
+    valid = F.col("bin").isNotNull() & (F.col("n_ref") > 0) & (F.col("n_live") > 0)
+    known = lambda c: F.when(F.max(c) > 0, F.max(c))
+    psi = total.groupBy("feature").agg(
+        F.sum(F.when(valid, (a - e) * F.log(a / e))).alias("psi"), known("n_ref").alias("n_ref"),
+        known("n_live").alias("n_live"), (F.max("sum_live") / known("n_live")).alias("live_mean"))
+    return (F.broadcast(listed).join(psi, "feature", "left")
+            .join(F.broadcast(edges.select("feature", "reference_mean")), "feature", "left")
             .select("feature", "psi", "reference_mean", "live_mean", "n_ref", "n_live"))
 
 

@@ -123,7 +123,7 @@ def occlusion(model: PipelineModel, rows: DataFrame, train: DataFrame, features:
     """
     names = features or S.MODEL_FEATURES
     medians = quantiles(train.select(*[F.col(f).cast("double").alias(f) for f in names])
-                        .unpivot([], names, "feature", "value"), ["feature"], "value", {"m": 0.5})
+                        .unpivot([], names, "feature", "value"), ["feature"], "value", {"m": 0.5}, few_groups=True)
     table = medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", "m"))).alias("m")).scalar()
     base = positive_probability(model, rows, "_before")
     variants = (base.withColumn("_m", table)

@@ -20,13 +20,19 @@ def band(value: Column, resolution: int = BANDS_PER_E_FOLD) -> Column:
     """Monotone integer image of a double, fine in relative terms."""
     zero = resolution * 800
     size = F.floor(F.log(F.abs(value)) * resolution) + zero
-    return (F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))).cast("long")
+    signed = F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
+    # never null, so a join on it infers no extra filter and both readers of a
+    # collapsed table keep the same plan below and share its exchange
+    return F.coalesce(signed.cast("long"), F.lit(0).cast("long"))
 
 
 def collapse(df: DataFrame, keys: list[str], value: str, **measures: Column) -> DataFrame:
-    """One row per distinct value and group, with the given sums."""
+    """One row per distinct value and group, with the given sums; null keys and values are left out."""
     sums = measures or {"rows_at": F.count(F.lit(1))}
-    return (df.filter(F.col(value).isNotNull())
+    known = F.col(value).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return (df.filter(known)
             .groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()]))
 
 
@@ -54,11 +60,14 @@ def running_totals(collapsed: DataFrame, keys: list[str], value: str, measures:
         *([F.col(f"all_{m}") for m in measures] if totals else []))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+              few_groups: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probs``.
 
     First an integer histogram over bands finds which bands hold the wanted
-    ranks; then only the rows of those bands are ordered.
+    ranks; then only the rows of those bands are ordered.  There are at most
+    two such bands per group and quantile: with no keys, or with groups the
+    caller knows to be few, that bound is small enough to broadcast them.
     """
     distinct = collapse(df, keys, value).withColumn("_band", band(F.col(value)))
     per_band = distinct.groupBy(*keys, "_band").agg(F.sum("rows_at").alias("_in_band"))
@@ -78,6 +87,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
                .filter(hit).select(*keys, "_band", "_before", "_n"))
     inside = (Window.partitionBy(*keys, "_band").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, 0))
+    if few_groups or not keys:
+        targets = F.broadcast(targets)
     placed = (distinct.join(targets, [*keys, "_band"])
               .withColumn("_through", F.col("_before") + F.sum("rows_at").over(inside)))
     at = lambda rank: F.min(F.when(F.col("_through") > rank, F.col(value)))

@@ -77,7 +77,7 @@ def fallback_medians(thresholds: DataFrame) -> DataFrame:
     """One row: the medians of both threshold columns."""
     names = ["threshold_p95", "threshold_p99"]
     long = thresholds.select(*names).unpivot([], names, "which", "value")
-    mid = quantiles(long, ["which"], "value", {"m": 0.5})
+    mid = quantiles(long, ["which"], "value", {"m": 0.5}, few_groups=True)
     pick = lambda n: F.max(F.when(F.col("which") == n, F.col("m")))
     return mid.agg(pick(names[0]).alias("median_p95"), pick(names[1]).alias("median_p99"))
 
