@@ -28,7 +28,8 @@ def decay_reach(per_step: float) -> int:
     return int(math.ceil(60.0 / -math.log2(per_step)))
 
 
-def _copies(position: Column, size: int, back: int, ahead: int) -> Column:
+def halo_copies(position: Column, size: int, back: int, ahead: int) -> Column:
+    """Chunk numbers a row belongs to: its own and the neighbours whose halo it is in."""
     home = F.floor(position / F.lit(size)).cast("long")
     offset = position - home * F.lit(size)
     return F.explode(F.array_compact(F.array(
@@ -63,7 +64,7 @@ def gap_fill(observed: DataFrame, per_key: DataFrame, *, key: str = "machine_id"
         key, *carried, CHUNK,
         F.inline(F.array(F.struct(start.alias(bucket), F.lit(0).alias("_kind")),
                          F.struct(stop.alias(bucket), F.lit(2).alias("_kind")))))
-    rows = observed.select(key, bucket, *signals, _copies(F.col(bucket), size, back, ahead).alias(CHUNK),
+    rows = observed.select(key, bucket, *signals, halo_copies(F.col(bucket), size, back, ahead).alias(CHUNK),
                            F.lit(1).alias("_kind"))
     merged = rows.unionByName(markers, allowMissingColumns=True)
     w = Window.partitionBy(key, CHUNK).orderBy(bucket, "_kind")
@@ -101,7 +102,7 @@ def row_chunks(df: DataFrame, *, key: str = "machine_id", order: str = "bucket",
     numbered = (spans.join(base, [key, "_span"])
                 .withColumn("pos", F.col("_base") + F.row_number().over(inside) - 1)
                 .drop("_span", "_base"))
-    return (numbered.select("*", _copies(F.col("pos"), size, back, ahead).alias(CHUNK))
+    return (numbered.select("*", halo_copies(F.col("pos"), size, back, ahead).alias(CHUNK))
             .withColumn("_own", F.floor(F.col("pos") / size) == F.col(CHUNK))
             .withColumn("_step", F.col("pos") - F.col(CHUNK) * size))
 

@@ -530,7 +530,7 @@ def alarm_cost(spark, sf):
 
 
 block("calibrated", " UNION ALL ".join(
-    f"SELECT {k} AS class, CAST(severity_in_60m = {k} AS DOUBLE) AS y, {r} AS raw, {c} AS cal FROM scores "
+    f"SELECT CAST({k} AS BIGINT) AS class, CAST(severity_in_60m = {k} AS DOUBLE) AS y, {r} AS raw, {c} AS cal FROM scores "
     "WHERE severity_in_60m IS NOT NULL" for k, (r, c) in enumerate((
         ("1 - score_a", "1 - score_b"), ("score_a * 0.6e0", "score_b * 0.6e0"), ("score_a * 0.4e0", "score_b * 0.4e0")))), "scores")
 block("calibration", f"""
@@ -630,7 +630,7 @@ def transfer_decision(spark, sf):
 
 
 @query("t3_cascade_rows", sql("""
-SELECT machine_id, bucket, CASE WHEN severity_in_60m = 2 THEN 1 ELSE 0 END AS severe FROM scores WHERE severity_in_60m > 0""",
+SELECT machine_id, bucket, CAST(severity_in_60m = 2 AS BIGINT) AS severe FROM scores WHERE severity_in_60m > 0""",
                               "scores"))
 def cascade_rows(spark, sf):
     from tidewatch.operators.models import cascade_rows as cascade

@@ -66,8 +66,8 @@ SELECT *, p_mod + p_sev AS any60, p15 AS p_spike_15m,
 FROM (SELECT *, p15 IS NOT NULL AND p30 IS NOT NULL AND p45 IS NOT NULL AND p_mod IS NOT NULL AS k FROM probs)""", "probs")
 block("verdict", """
 SELECT *, p_spike_15m >= 0.45 AS alarm_15m, p_spike_30m >= 0.5 AS alarm_30m, p_spike_45m >= 0.4 AS alarm_45m,
-       CASE WHEN p_mod IS NULL THEN NULL WHEN p_no >= p_mod AND p_no >= p_sev THEN 0 WHEN p_mod >= p_sev THEN 1 ELSE 2 END
-         AS severity_class,
+       CAST(CASE WHEN p_mod IS NULL THEN NULL WHEN p_no >= p_mod AND p_no >= p_sev THEN 0 WHEN p_mod >= p_sev THEN 1 ELSE 2 END
+         AS BIGINT) AS severity_class,
        CASE WHEN p_mod IS NULL THEN NULL WHEN p_ovr IS NOT NULL THEN any60 >= 0.15 AND p_ovr >= 0.55 ELSE p_sev >= 0.25 END
          AS is_severe
 FROM monotone""", "monotone")

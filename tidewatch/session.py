@@ -45,12 +45,6 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the shared folder if nothing did so yet."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a frame that several branches of a plan read, and continue from the table.
 

@@ -60,7 +60,7 @@ def newest_version(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
 def lookback(agg: DataFrame, buckets: int = 24, value: str = "total_cpu", key: str = "machine_id",
              size: int = chunks.CHUNK_BUCKETS) -> DataFrame:
     """Rows and mean of the last ``buckets`` buckets at every row, by bucket distance."""
-    spread = agg.select(key, "bucket", value, chunks._copies(F.col("bucket"), size, buckets, 0).alias(chunks.CHUNK))
+    spread = agg.select(key, "bucket", value, chunks.halo_copies(F.col("bucket"), size, buckets, 0).alias(chunks.CHUNK))
     w = Window.partitionBy(key, chunks.CHUNK).orderBy("bucket").rangeBetween(-(buckets - 1), 0)
     out = spread.withColumns({"rows_in_window": F.count(F.lit(1)).over(w), "mean_in_window": F.avg(value).over(w)})
     return (out.filter(F.floor(F.col("bucket") / size) == F.col(chunks.CHUNK))
