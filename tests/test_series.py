@@ -159,3 +159,17 @@ def test_series_plan_has_one_exchange_of_the_rows_and_no_python(spark):
     assert "Python" not in plan and "ArrowEval" not in plan
     assert plan.count("hashpartitioning(machine_id") - plan.count("hashpartitioning(machine_id#") == 0
     assert sum("_chunk" in line for line in plan.splitlines() if "Exchange" in line) == 1
+
+
+def test_hot_machine_spreads_over_tasks(spark):
+    """One machine with most of the rows still fills several tasks, each with few of its rows."""
+    cells = [(1, b, b % 9 / 4) for b in range(0, 20_000, 2)] + [(m, b, .1) for m in range(2, 6) for b in range(40)]
+    table = {m: (1.0, 2.0) for m in range(1, 6)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dense = series.dense_series(agg_rows(spark, cells), limits(spark, table), size=1500)
+        hot = dense.filter("machine_id = 1 and _own").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in hot) == 19_999
+    assert len(hot) >= 4 and max(r["count"] for r in hot) < 12_000

@@ -17,8 +17,6 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    # gap filling multiplies rows after the shuffle, so small inputs still deserve many tasks
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     return spark
 
 
