@@ -7,7 +7,9 @@ than a block is a block of its own.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -25,8 +27,12 @@ _C1, _C2, _S32, _S29 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478B
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of this package: small Arrow batches, as texts may be long."""
+    """Session settings of this package: small Arrow batches, as texts may be long; workers find the library."""
     configure(spark)
+    paths = spark.sparkContext.environment
+    home = str(Path(__file__).resolve().parents[2])
+    if home not in paths.get("PYTHONPATH", "").split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(x for x in (paths.get("PYTHONPATH"), home) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
