@@ -21,7 +21,9 @@ from tidewatch.session import configure
 BLOCK_BYTES = 4 << 20
 _SPACES = b" \t\n\r\x0b\x0c"
 _LOWER = bytes(c | 0x20 if 65 <= c <= 90 else c for c in range(256))
-_IS_SPACE = bytes(int(c in _SPACES) for c in range(256))
+IS_SPACE = bytes(int(c in _SPACES) for c in range(256))
+#: Separators that also cut at ASCII punctuation and controls.
+IS_MARK = bytes(int(not (48 <= c <= 57 or 97 <= c <= 122 or c >= 128)) for c in range(256))
 _LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _C1, _C2, _S32, _S29 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 32, 29))
 
@@ -90,10 +92,10 @@ def byte_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         first = last
 
 
-def word_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+def word_blocks(column: pa.Array, limit: int = BLOCK_BYTES, separators: bytes = IS_SPACE) -> Iterator[Block]:
     for first, offsets, raw in byte_blocks(column, limit):
         data = bytes(raw).translate(_LOWER)
-        space = np.frombuffer(data.translate(_IS_SPACE), dtype=bool)
+        space = np.frombuffer(data.translate(separators), dtype=bool)
         n = len(space)
         begin, end = np.ones(n, bool), np.ones(n, bool)
         if n:
