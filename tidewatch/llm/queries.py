@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat, fingerprints, pieces, toxicity
+from tidewatch.llm import chat, fingerprints, pieces, scoring, simhash, toxicity
 from tidewatch.llm.words import table
 
 
@@ -45,6 +45,15 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scoring.score(docs, scoring.fit(docs.filter(~scoring.held_out("doc_id"))))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -55,7 +64,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op7_sentencepiece, op9_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_lm_scoring, op4_simhash_near_dedup, op7_sentencepiece, op9_toxicity)}
 
 
 def oracles() -> dict[str, str]:

@@ -21,8 +21,9 @@ from tidewatch.llm.words import IS_MARK, Block, long_view, mix, word_blocks, wor
 
 #: Labelled rows that a model is fitted on, about; rows are chosen by a hash of their id.
 FIT_ROWS = 20_000
-SHARD_ROWS, EPOCHS = 2_000, 4
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1.0, 0.01
+SHARD_ROWS, EPOCHS = 4_000, 6
+#: L1 is near the number of epochs, so what occurs in one document alone gets no weight.
+ALPHA, BETA, L1, L2 = 8.0, 1.0, 4.0, 0.01
 THRESHOLD = 0.7
 _HASH_BITS, _SIEVE_BITS = 40, 20
 _NEXT, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
