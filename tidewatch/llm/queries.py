@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat, fingerprints, pieces, scoring, simhash, toxicity
+from tidewatch.llm import chat, fingerprints, pieces, scoring, simhash, suffixes, toxicity
 from tidewatch.llm.words import table
 
 
@@ -63,8 +63,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_lm_scoring, op4_simhash_near_dedup, op7_sentencepiece, op9_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_lm_scoring, op4_simhash_near_dedup, op7_sentencepiece, op9_toxicity, op10_suffix_array_dedup)}
 
 
 def oracles() -> dict[str, str]:
