@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, fingerprints, pieces, scoring, simhash, suffixes, toxicity
+from tidewatch.llm import chat, fingerprints, pieces, pii, scoring, simhash, suffixes, toxicity
 from tidewatch.llm.words import table
 
 
@@ -54,6 +55,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text("base"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -68,7 +75,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_lm_scoring, op4_simhash_near_dedup, op7_sentencepiece, op9_toxicity, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_lm_scoring, op4_simhash_near_dedup, op6_pii, op7_sentencepiece, op9_toxicity, op10_suffix_array_dedup)}
 
 
 def oracles() -> dict[str, str]:
