@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words a worker keeps; beyond it starts afresh, which changes no result.
-KEPT_WORDS = 400_000
+#: Words a worker keeps, and as many older ones; which it keeps changes no result.
+KEPT_WORDS = 750_000
 
 
 class Pieces:
@@ -43,23 +43,20 @@ class Pieces:
         if any(p.type in (4, 5) for p in proto.pieces):
             raise ValueError("user-defined and unused pieces are not supported")
         self.surface = [p.piece for p in proto.pieces]
-        self.score = {p.piece: (p.score, i) for i, p in enumerate(proto.pieces) if p.type == 1}
+        self.number = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
+        self.cost = {p.piece: -p.score for p in proto.pieces if p.type == 1}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.value = {i: b for b, i in self.byte.items()}
-        crossing = any(MARK in p.lstrip(MARK) for p in self.score)
-        self.cut = None if crossing else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        crossing = any(MARK in p.lstrip(MARK) for p in self.number)
+        self.cut = None if crossing else re.compile(" +[^ ]*|[^ ]+")
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text (spaces already marked) by the agenda."""
         symbols = list(text)
         n = len(symbols)
-        score = self.score
+        cost = self.cost.get
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            found = score.get(symbols[i] + symbols[i + 1])
-            if found:
-                agenda.append((-found[0], i, i + 1, symbols[i] + symbols[i + 1]))
+        agenda = [(c, i, i + 1, pair) for i in range(n - 1) if (c := cost(pair := symbols[i] + symbols[i + 1])) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, i, j, joined = heapq.heappop(agenda)
@@ -69,19 +66,19 @@ class Pieces:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                found = score.get(joined + symbols[k])
-                if found:
-                    heapq.heappush(agenda, (-found[0], i, k, joined + symbols[k]))
+                if (c := cost(pair := joined + symbols[k])) is not None:
+                    heapq.heappush(agenda, (c, i, k, pair))
             h = before[i]
-            if h >= 0:
-                found = score.get(symbols[h] + joined)
-                if found:
-                    heapq.heappush(agenda, (-found[0], h, i, symbols[h] + joined))
+            if h >= 0 and (c := cost(pair := symbols[h] + joined)) is not None:
+                heapq.heappush(agenda, (c, h, i, pair))
+        number = self.number.get
         ids: list[int] = []
-        for s in symbols:
-            if s:
-                found = score.get(s)
-                ids += (found[1],) if found else [self.byte[b] for b in s.encode()]
+        for s in filter(None, symbols):
+            found = number(s)
+            if found is None:
+                ids += [self.byte[b] for b in s.encode()]
+            else:
+                ids.append(found)
         return ids
 
     def decode(self, ids: list[int], first: bool = True) -> str:
@@ -121,48 +118,60 @@ def _characters(raw: bytes) -> str:
     return "".join(out)
 
 
-class Encoder:
-    """Encodes texts word by word, remembering words."""
+class Encoder(dict):
+    """Encodes texts word by word: a dictionary from words, which begin with their spaces, to comma-joined ids."""
 
     def __init__(self, pieces: Pieces, check: bool = True):
+        super().__init__()
         self.pieces, self.check = pieces, check
-        self.known: dict[str, tuple[str, int, str]] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.known.clear()
-        found = {w: self.pieces.merge(w) for w in words}
-        if self.check:
-            texts = [w for w in words if w.startswith(MARK) and w != MARK]  # the library puts a marker before each text itself
-            for w, ids in zip(texts, self.pieces.library.encode([w[1:].replace(MARK, " ") for w in texts], num_threads=1)):
-                if ids != found[w]:
-                    raise ValueError(f"{w!r} is encoded as {found[w]}, by the library as {ids}")
-        for w, ids in found.items():
-            self.known[w] = (",".join(map(str, ids)), len(ids), self.pieces.decode(ids, first=False))
+        self.older: dict[str, str] = {}
+        self.spoken: dict[str, str] = {}      # what words decode to, where it is not the word
+        self.fresh: list[tuple[str, list[int]]] = []
+
+    def __missing__(self, word: str) -> str:
+        if word in self.older:
+            made = self[word] = self.older[word]
+            return made
+        ids = self.pieces.merge(word.replace(" ", MARK))
+        said = self.pieces.decode(ids, first=False)
+        if said != word:
+            self.spoken[word] = said
+        if self.check and word[0] == " ":
+            self.fresh.append((word, ids))
+        made = self[word] = ",".join(map(str, ids))
+        return made
+
+    def _checked(self) -> None:
+        """Compares the words met since the last time with the library, which puts the first space there itself."""
+        fresh = [(w[1:], ids) for w, ids in self.fresh if w != " "]
+        for (text, ids), theirs in zip(fresh, self.pieces.library.encode([text for text, _ in fresh], num_threads=1)):
+            if ids != theirs:
+                raise ValueError(f"{text!r} is encoded as {ids}, by the library as {theirs}")
+        self.fresh.clear()
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Count and comma-joined list of the ids, and their decoded text, of each text."""
+        if len(self) > KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+            self.spoken = {w: s for w, s in self.spoken.items() if w in self.older}
         for text in texts:
             if not text:
                 yield 0, "", ""
                 continue
-            marked = MARK + text.replace(" ", MARK)
+            text = " " + text.replace(MARK, " ")
             if self.pieces.cut is None:
-                ids = self.pieces.merge(marked)
-                if self.check and ids != self.pieces.library.encode(text):
+                ids = self.pieces.merge(text.replace(" ", MARK))
+                if self.check and ids != self.pieces.library.encode(text[1:]):
                     raise ValueError(f"a text is not encoded as by the library: {text[:80]!r}")
                 yield len(ids), ",".join(map(str, ids)), self.pieces.decode(ids)
                 continue
-            words = self.pieces.cut.findall(marked)
-            known = self.known
-            new = {w for w in words if w not in known}
-            if new:
-                self._learn(new)
-                if any(w not in known for w in words):  # what was known has been dropped for the new words
-                    self._learn({w for w in words if w not in known})
-            got = [known[w] for w in words]
-            joined = "".join([g[2] for g in got])
-            yield sum([g[1] for g in got]), ",".join([g[0] for g in got]), joined[1:] if joined.startswith(" ") else joined
+            words = self.pieces.cut.findall(text)
+            ids = ",".join([self[w] for w in words])
+            spoken = self.spoken.get
+            said = "".join([spoken(w, w) for w in words] if self.spoken else words)
+            yield ids.count(",") + 1, ids, said[1:] if said.startswith(" ") else said
+        self._checked()
 
 
 @lru_cache(2)
