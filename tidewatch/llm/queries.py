@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, fingerprints, pieces, pii, scoring, simhash, suffixes, toxicity
+from tidewatch.llm import chat, decontamination, fingerprints, pieces, pii, scoring, simhash, suffixes, toxicity
 from tidewatch.llm.words import table
 
 
@@ -65,6 +65,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -75,7 +79,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_lm_scoring, op4_simhash_near_dedup, op6_pii, op7_sentencepiece, op9_toxicity, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_lm_scoring, op4_simhash_near_dedup, op6_pii, op7_sentencepiece, op8_decontamination, op9_toxicity, op10_suffix_array_dedup)}
 
 
 def oracles() -> dict[str, str]:
