@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontamination, fingerprints, pieces, pii, scoring, simhash, suffixes, toxicity
+from tidewatch.llm import chat, decontamination, fingerprints, licences, pieces, pii, scoring, simhash, suffixes, toxicity
 from tidewatch.llm.words import table
 
 
@@ -55,6 +55,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in pii.KINDS]
@@ -79,8 +83,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_lm_scoring, op4_simhash_near_dedup, op6_pii, op7_sentencepiece, op8_decontamination, op9_toxicity, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_lm_scoring, op4_simhash_near_dedup, op5_license_scans, op6_pii, op7_sentencepiece, op8_decontamination, op9_toxicity, op10_suffix_array_dedup)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op5_license_scans": licences.scan_sql()}
