@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.words import prepare
+from tidewatch.llm.words import mix, prepare
 from tidewatch.session import materialise
 
 ERRORS, WORDS, SEED = 3, 3, 42
@@ -27,11 +27,14 @@ _FRONTIER, _SMALL = 1 << 19, 32
 _U = np.uint64
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """Bit ``b`` is set if it is set in more than half of the shingles' hashes; without words: zero."""
+def fingerprint(text: str, words: int = WORDS, length: int = 1) -> list[int]:
+    """``length`` numbers of 64 bits; a bit is set if it is set in more than half of the shingles' hashes.
+
+    The first number is of the shingles' XXH64 (seed 42), later ones of hashes made from it. Without words: zeros.
+    """
     tokens = text.encode().lower().split()
     if not tokens:
-        return 0
+        return [0] * length
     joined = b" ".join(tokens)
     if len(tokens) <= words:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
@@ -40,29 +43,31 @@ def fingerprint(text: str, words: int = WORDS) -> int:
         starts = np.concatenate(([0], ends[:-words])).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1:] - 1).tolist())]
-    bits = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        part = np.array(hashes[at:at + (1 << 15)], "<u8")
-        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+    bits = np.zeros(64 * length, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = np.array(hashes[at:at + (1 << 14)], "<u8")
+        for i in range(length):
+            bits[64 * i:64 * i + 64] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            part = mix(part + _U(i + 1))
+    return np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8").tolist()
+
+
+def _marks(column: pa.Array, words: int, length: int) -> list[pa.Array]:
+    marks = np.array([fingerprint(t or "", words, length) for t in column.to_pylist()], _U).reshape(-1, length)
+    return [pa.array(np.ascontiguousarray(m).view(np.int64)) for m in marks.T]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``id, fingerprint`` (as a signed long) of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(t or "", words) for t in batch.column("text").to_pylist()], _U)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marks.view(np.int64))], ["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *_marks(batch.column("text"), words, 1)], ["id", "fingerprint"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fingerprint long")
 
 
-def _bit_counts(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int8)
-
-
 def trie_pairs(keys: np.ndarray, roots: list[tuple[int, int, int, int]], bits: int, errors: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of sorted ``keys`` whose low ``bits`` differ in at most ``errors``, from pairs of trie nodes.
+    """Index pairs of sorted ``keys`` whose low ``bits`` differ in at most ``errors``, from pairs of trie nodes (each once).
 
     A node is a range of the sorted keys. ``roots`` are pairs of ranges, each range with equal bits above ``bits``; a
     range paired with itself gives each pair once. Pairs of small nodes are compared outright.
@@ -87,7 +92,7 @@ def trie_pairs(keys: np.ndarray, roots: list[tuple[int, int, int, int]], bits: i
                 k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 width = np.repeat((sd - sc)[part], n)
                 x, y = np.repeat(sa[part], n) + k // width, np.repeat(sc[part], n) + k % width
-                near = (x < y) & (_bit_counts((keys[x] ^ keys[y]) & _U((1 << bits) - 1)) <= errors)
+                near = (x < y) & (np.bitwise_count((keys[x] ^ keys[y]) & _U((1 << bits) - 1)) <= errors)
                 if near.any():
                     yield x[near], y[near]
             a, b, c, d, spent = (v[~small] for v in (a, b, c, d, spent))
@@ -135,61 +140,67 @@ class Classes:
                 self.root = above
 
 
-def _group_links(keys: np.ndarray, groups: np.ndarray, left: np.ndarray, part_bits: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a task's groups: pairs (fingerprint, smallest one it is joined with). ``left``: subtree of a cut group's
+def _group_links(keys: np.ndarray, groups: np.ndarray, left: np.ndarray, marks: np.ndarray, bits: int, errors: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a task's groups as rows: (fingerprint, first one it is joined with). ``left``: subtree of a cut group's
     pair that a key belongs to; keys of a whole group are all in subtree 0."""
     order = np.lexsort((keys, left, groups))
-    keys, groups, left = keys[order], groups[order], left[order]
+    keys, groups, left, marks = keys[order], groups[order], left[order], marks[:, order]
     new = np.append(True, (groups[1:] != groups[:-1]) | (left[1:] != left[:-1]))
-    begins = np.flatnonzero(new)
+    begins = np.flatnonzero(new[:len(keys)])
     ends = np.append(begins[1:], len(keys))
     roots = [(a, b, a, b) for a, b in zip(begins.tolist(), ends.tolist()) if b - a > 1 and left[a] == 0]
     roots += [(a, b, c, d) for a, b, c, d in zip(begins[:-1].tolist(), ends[:-1].tolist(), begins[1:].tolist(), ends[1:].tolist())
               if groups[a] == groups[c] and left[c] == 2]
     found = Classes(len(keys))
-    for x, y in trie_pairs(keys, roots, 64 - part_bits, errors):
-        found.join(x, y)
+    for x, y in trie_pairs(keys, roots, bits, errors):
+        near = sum(np.bitwise_count(m[x] ^ m[y]).astype(np.int16) for m in marks) <= limit
+        found.join(x[near], y[near])
     linked = np.flatnonzero(found.root != np.arange(len(keys)))
-    return keys[linked], keys[found.root[linked]]
+    return order[linked], order[found.root[linked]]
+
 
+def _turned(mark: Column, shift: int, width: int, by: int) -> Column:
+    """``width`` bits of a fingerprint from bit ``shift`` on, turned left by ``by``, in the low bits of a long."""
+    ones = F.lit((1 << width) - 1 if width < 64 else -1)
+    part = F.shiftrightunsigned(mark, shift).bitwiseAND(ones) if width < 64 else mark
+    return F.shiftleft(part, by).bitwiseOR(F.shiftrightunsigned(part, width - by)).bitwiseAND(ones) if by else part
 
-def links(marks: DataFrame, errors: int = ERRORS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``a, b``: links that join the same fingerprints as all pairs within ``errors`` bits do.
 
-    ``marks`` has distinct fingerprints in ``fingerprint``. Rows per fingerprint: at most one per part, or one for each
-    subtree pair that holds it where a group had to be cut.
+def links(marks: DataFrame, columns: tuple[str, ...] = ("fingerprint",), width: int = 64, errors: int = ERRORS, limit: int = ERRORS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``a, b``: links of nodes that join the same ones as all pairs do which the tries find.
+
+    ``marks`` has different ``node`` numbers and their fingerprints. They are cut into slices of ``width`` bits; a pair is found
+    if a slice differs in at most ``errors`` bits, and linked if the whole fingerprints differ in at most ``limit``. With one
+    slice of 64 bits and ``limit = errors`` these are all pairs within the limit. Each trie gives one row at most
+    per node, a group that is cut one for each subtree pair of the node.
     """
     parts = errors + 1
-    if 64 % parts:
-        raise ValueError("errors + 1 has to divide 64")
-    width = 64 // parts
-    fp = F.col("fingerprint")
-    turned = [fp if i == 0 else F.shiftleft(fp, i * width).bitwiseOR(F.shiftrightunsigned(fp, 64 - i * width)) for i in range(parts)]
-    rows = marks.select(F.posexplode(F.array(*turned)).alias("part", "key")).withColumn("head", F.shiftrightunsigned("key", 64 - width))
+    if 64 % width or width % parts:
+        raise ValueError("width has to divide 64, and errors + 1 the width")
+    head_bits, slices = width // parts, [(c, s) for c in columns for s in range(0, 64, width)]
+    keys = F.array(*(_turned(F.col(c), s, width, i * head_bits) for c, s in slices for i in range(parts)))
+    rows = marks.select("node", *columns, F.posexplode(keys).alias("part", "key")).withColumn("head", F.shiftrightunsigned("key", width - head_bits))
     sizes = rows.groupBy("part", "head").count().filter(F.col("count") > group_rows).select("part", "head", F.lit(True).alias("large"))
-    masks = F.array(*(F.lit(m) for m in range(1 << CUT_BITS) if bin(m).count("1") <= errors))
-    sub = F.shiftrightunsigned(F.col("key"), 64 - width - CUT_BITS).bitwiseAND(F.lit((1 << CUT_BITS) - 1)).cast("int")
+    cut = min(CUT_BITS, width - head_bits)
+    masks = F.array(*(F.lit(m) for m in range(1 << cut) if bin(m).count("1") <= errors))
+    sub = F.shiftrightunsigned(F.col("key"), width - head_bits - cut).bitwiseAND(F.lit((1 << cut) - 1)).cast("int")
     pair = F.explode(F.when(F.col("large"), masks).otherwise(F.array(F.lit(-1)))).alias("mask")
-    rows = (rows.join(sizes, ["part", "head"], "left").select("part", "head", "key", sub.alias("sub"), pair)
+    rows = (rows.join(sizes, ["part", "head"], "left").select("node", *columns, "part", "head", "key", sub.alias("sub"), pair)
             .withColumn("low", F.when(F.col("mask") < 0, -1).otherwise(F.least(F.col("sub"), F.col("sub").bitwiseXOR(F.col("mask")))))
             .withColumn("left", F.when(F.col("mask") <= 0, 0).when(F.col("low") == F.col("sub"), 1).otherwise(2))
-            .withColumn("group", F.xxhash64("part", "head", "low", F.greatest("mask", F.lit(-1)))))
+            .withColumn("group", F.xxhash64("part", "head", "low", "mask")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)  # the groups of one task
         if not batches:
             return
         got = pa.Table.from_batches(batches)
-        key = got.column("key").to_numpy().view(_U)
-        group, part, left = (got.column(c).to_numpy() for c in ("group", "part", "left"))
-        for p in range(parts):
-            mine = part == p
-            x, y = _group_links(key[mine], group[mine], left[mine], width, errors)
-            back = _U(p * width)
-            x, y = ((v >> back) | (v << (_U(64) - back)) if p else v for v in (x, y))
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+        key, group, left, node = (got.column(c).to_numpy() for c in ("key", "group", "left", "node"))
+        fingers = np.stack([got.column(c).to_numpy().view(_U) for c in columns])
+        x, y = _group_links(key.view(_U), group, left, fingers, width - head_bits, errors, limit)
+        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
-    return rows.select("key", "group", "part", "left").repartition("group").mapInArrow(run, "a long, b long")
+    return rows.select("node", *columns, "key", "group", "left").repartition("group").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,10 +236,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     marks = materialise(fingerprints(docs, id_col, text_col, words), "simhash")
     classes = marks.groupBy("fingerprint").agg(F.min("id").alias("first"))
-    roots = components(links(classes.select("fingerprint"), errors))
+    roots = components(links(classes.select(F.col("fingerprint").alias("node"), "fingerprint"), errors=errors, limit=errors))
     classes = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     classes = classes.withColumn("root", F.coalesce("root", "fingerprint"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(smallest, "root").select("fingerprint", "component_id")
     return (marks.join(named, "fingerprint")
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+#: Long fingerprints: three times 64 bits, searched in slices, linked if they differ in at most so many bits.
+LONG, SLICE, SLICE_ERRORS, LONG_LIMIT, LONG_GROUP = 3, 32, 3, 30, 1_000_000
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """The rows of ``docs``, as they are, without near-duplicates: of each class the one with the smallest id stays.
+
+    Fingerprints of 192 bits link at ``LONG_LIMIT`` differing bits, about where texts share 0.8 of their shingles of five words,
+    which 64 bits and a budget of three would mostly miss. Null texts count as empty; a null id stays only where its class
+    has no other; of repeated rows one stays.
+    """
+    prepare(docs.sparkSession)
+    names = docs.columns
+    taken = {n.lower() for n in names}
+    marks, row = [next(c for c in (f"{n}{'_' * k}" for k in range(len(taken) + 1)) if c not in taken) for n in ("mark", "row")]
+    columns = tuple(f"m{i}" for i in range(LONG))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = _marks(batch.column(text_col), words, LONG)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(each, list(columns))], [*names, marks])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    held = materialise(docs.mapInArrow(run, f"{fields}, {marks} struct<{', '.join(f'{c}: bigint' for c in columns)}>")
+                       .withColumn(row, F.monotonically_increasing_id()), "marked")
+    small = held.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(f"{marks}.*")).withColumn("node", F.xxhash64(*columns))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    nodes = materialise(small.groupBy("node").agg(F.min(order).alias("first"), *(F.first(c).alias(c) for c in columns)), "nodes")
+    roots = components(links(nodes.select("node", *columns), columns, SLICE, SLICE_ERRORS, LONG_LIMIT, LONG_GROUP))
+    kept = (nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+            .select(F.col("first.row").alias(row)))
+    return held.join(kept, row, "left_semi").select(*names)
