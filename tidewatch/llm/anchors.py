@@ -26,7 +26,7 @@ class Runs(NamedTuple):
     start: np.ndarray    # byte of the block where the run's first string begins
     count: np.ndarray    # strings in the run
     anchor: np.ndarray   # byte of the block where the anchor begins
-    key: np.ndarray      # hash of the anchor
+    key: np.ndarray      # hash of the anchor, spread anew, as anchors are those of small hashes
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -64,4 +64,4 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> Runs:
     total = np.concatenate(([0], np.cumsum(inside)))
     ends = np.append(np.flatnonzero(new), strings)
     last = ends[np.searchsorted(ends, begins, "right")]
-    return Runs(row[begins], begins, total[last] - total[begins], place[begins], h[place[begins]])
+    return Runs(row[begins], begins, total[last] - total[begins], place[begins], mix(~h[place[begins]]))
