@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Long fingerprints: three times 64 bits, searched in slices, linked if they differ in at most so many bits.
-LONG, SLICE, SLICE_ERRORS, LONG_LIMIT, LONG_GROUP = 3, 32, 3, 30, 1_000_000
+LONG, SLICE, SLICE_ERRORS, LONG_LIMIT, LONG_GROUP = 3, 32, 3, 32, 1_000_000
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
