@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch import schemas as S
 from tidewatch.functions.scalar import flag
 from tidewatch.operators import chunks
+from tidewatch.operators.splits import draw
 from tidewatch.operators.thresholds import split_point
 
 LOOKBACK, SPAN, WINDOW, MIN_ROWS = 4, 12, 24, 4
@@ -34,7 +35,7 @@ def _w():
 
 
 def random_score(seed: int = 42) -> Column:
-    return F.rand(seed)
+    return draw(seed=seed)
 
 
 def persistence() -> Column:

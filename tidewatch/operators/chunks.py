@@ -28,6 +28,12 @@ def decay_reach(per_step: float) -> int:
     return int(math.ceil(60.0 / -math.log2(per_step)))
 
 
+def decay_chunks(per_step: float, wanted: int) -> tuple[int, int]:
+    """Chunk size (``wanted``, or what the decay needs or allows) and halo for a decay."""
+    back = decay_reach(per_step)
+    return min(max(wanted, 4 * back), int(_MAX_EXPONENT / -math.log2(per_step)) - back - 1), back
+
+
 def halo_copies(position: Column, size: int, back: int, ahead: int) -> Column:
     """Chunk numbers a row belongs to: its own and the neighbours whose halo it is in."""
     home = F.floor(position / F.lit(size)).cast("long")

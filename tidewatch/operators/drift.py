@@ -112,7 +112,7 @@ def cross_domain(psi: DataFrame) -> DataFrame:
     return psi.select("feature", F.bround("psi", 4).alias("psi"), psi_label("psi", present).alias("interpretation"))
 
 
-def reference_rows(features: DataFrame, fraction: float = 0.10, ratio: float = S.TRAIN_RATIO) -> DataFrame:
-    """Training buckets only, then a repeatable fraction of their rows."""
+def reference_rows(features: DataFrame, fraction: float | None = None, ratio: float = S.TRAIN_RATIO) -> DataFrame:
+    """Training buckets only; with ``fraction``, a repeatable share of their rows."""
     train = features.filter(F.col("bucket") <= split_point(features, ratio))
-    return hash_sample(train, fraction)
+    return train if fraction is None else hash_sample(train, fraction)

@@ -9,23 +9,41 @@ from tidewatch import schemas as S
 
 ACTIVE_HOURS, STALE_HOURS = 24, 168
 LONG_GAP_SECONDS = 600
-NEWEST_READINGS = 60
+CHUNK_SECONDS = 30 * 86400
 
 
-def interval_statistics(readings: DataFrame, host: str = "hostid", clock: str = "clock") -> DataFrame:
-    """Gap statistics over the newest readings of each host.
+def interval_statistics(readings: DataFrame, host: str = "hostid", clock: str = "clock", newest: int | None = None,
+                        chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """Gap statistics over all readings of each host, or its ``newest`` ones.
 
-    The row-number filter is a top-k per group, which Spark also applies
-    before the shuffle, so a chatty host sends only its newest rows.
+    Gaps are taken within stretches of time, and between the last reading of
+    a stretch and the first of the next, so a chatty host is many tasks.  With
+    ``newest``, the row-number filter is a top-k per group, which Spark also
+    applies before the shuffle.
     """
-    newest = F.row_number().over(Window.partitionBy(host).orderBy(F.col(clock).desc()))
-    top = readings.select(host, clock).withColumn("_r", newest).filter(F.col("_r") <= NEWEST_READINGS)
-    gap = F.col(clock) - F.lag(clock).over(Window.partitionBy(host).orderBy(clock))
-    return (top.withColumn("gap", gap).groupBy(host)
-            .agg(F.count(F.lit(1)).alias("n_readings"), F.avg("gap").alias("mean_gap"),
-                 F.stddev_samp("gap").alias("std_gap"), F.min("gap").alias("min_gap"),
-                 F.max("gap").alias("max_gap"), F.count_if(F.col("gap") > LONG_GAP_SECONDS).alias("long_gaps"))
-            .filter(F.col("n_readings") >= 2))
+    rows = readings.select(host, clock).filter(F.col(host).isNotNull() & F.col(clock).isNotNull())
+    if newest is not None:
+        place = F.row_number().over(Window.partitionBy(host).orderBy(F.col(clock).desc()))
+        rows = rows.withColumn("_r", place).filter(F.col("_r") <= newest).drop("_r")
+    rows = rows.withColumn("_chunk", F.floor(F.col(clock) / chunk_seconds))
+    gap = F.col(clock) - F.lag(clock).over(Window.partitionBy(host, "_chunk").orderBy(clock))
+    parts = (rows.withColumn("gap", gap).groupBy(host, "_chunk")
+             .agg(F.count(F.lit(1)).alias("n"), F.min(clock).alias("first"), F.max(clock).alias("last"), *_gap_sums()))
+    between = F.col("first") - F.lag("last").over(Window.partitionBy(host).orderBy("_chunk"))
+    joints = parts.select(host, F.lit(0).cast("long").alias("n"), between.alias("gap")).groupBy(host).agg(F.sum("n").alias("n"), *_gap_sums())
+    whole = (parts.drop("_chunk", "first", "last").unionByName(joints).groupBy(host)
+             .agg(F.sum("n").alias("n_readings"), *[F.sum(c).alias(c) for c in ("gaps", "total", "squares", "long_gaps")],
+                  F.min("min_gap").alias("min_gap"), F.max("max_gap").alias("max_gap")))
+    spread = F.col("squares") - F.col("total") * F.col("total") / F.col("gaps")
+    return whole.filter(F.col("n_readings") >= 2).select(
+        host, "n_readings", (F.col("total") / F.col("gaps")).alias("mean_gap"),
+        F.when(F.col("gaps") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("gaps") - 1))).alias("std_gap"), "min_gap", "max_gap", "long_gaps")
+
+
+def _gap_sums() -> list[Column]:
+    gap = F.col("gap").cast("double")
+    return [F.count("gap").alias("gaps"), F.sum(gap).alias("total"), F.sum(gap * gap).alias("squares"), F.min("gap").alias("min_gap"),
+            F.max("gap").alias("max_gap"), F.count_if(F.col("gap") > LONG_GAP_SECONDS).alias("long_gaps")]
 
 
 def freshness(readings: DataFrame, now: Column, host: str = "hostid", clock: str = "clock") -> DataFrame:

@@ -182,8 +182,8 @@ def save(model: PipelineModel, path: str, features: list[str] | None = None) ->
 
 def load(spark, path: str, features: list[str] | None = None) -> PipelineModel:
     """Load a model; its stored feature list must be the expected one, in order."""
-    stored = [r.feature for r in spark.read.schema("position int, feature string").json(f"{path}/features")
-              .orderBy("position").limit(10_000).collect()]
+    rows = spark.read.schema("position int, feature string").json(f"{path}/features")
+    stored = rows.agg(F.array_sort(F.collect_list(F.struct("position", "feature"))).alias("all")).select("all.feature").first().feature
     if stored != list(features or S.MODEL_FEATURES):
         raise ValueError("stored feature list differs from the expected one")
     return PipelineModel.load(f"{path}/model")

@@ -19,21 +19,26 @@ BANDS_PER_E_FOLD = 2048   # relative band width of about 0.05 %
 def band(value: Column, resolution: int = BANDS_PER_E_FOLD) -> Column:
     """Monotone integer image of a double, fine in relative terms."""
     zero = resolution * 800
-    size = F.floor(F.log(F.abs(value)) * resolution) + zero
+    # infinities have the outermost bands
+    size = F.when(F.abs(value) == float("inf"), F.lit(resolution * 1600)).otherwise(F.floor(F.log(F.abs(value)) * resolution) + zero)
     signed = F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
     # never null, so a join on it infers no extra filter and both readers of a
     # collapsed table keep the same plan below and share its exchange
     return F.coalesce(signed.cast("long"), F.lit(0).cast("long"))
 
 
-def collapse(df: DataFrame, keys: list[str], value: str, **measures: Column) -> DataFrame:
-    """One row per distinct value and group, with the given sums; null keys and values are left out."""
-    sums = measures or {"rows_at": F.count(F.lit(1))}
-    known = F.col(value).isNotNull()
+def ordered_rows(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows that have a place in the order: null keys and values and NaN are left out."""
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     for k in keys:
         known = known & F.col(k).isNotNull()
-    return (df.filter(known)
-            .groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()]))
+    return df.filter(known)
+
+
+def collapse(df: DataFrame, keys: list[str], value: str, **measures: Column) -> DataFrame:
+    """One row per distinct value and group, with the given sums, of the rows that have a place in the order."""
+    sums = measures or {"rows_at": F.count(F.lit(1))}
+    return ordered_rows(df, keys, value).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
 
 
 def running_totals(collapsed: DataFrame, keys: list[str], value: str, measures: list[str],
@@ -64,13 +69,14 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
               few_groups: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probs``.
 
-    First an integer histogram over bands finds which bands hold the wanted
-    ranks; then only the rows of those bands are ordered.  There are at most
-    two such bands per group and quantile: with no keys, or with groups the
-    caller knows to be few, that bound is small enough to broadcast them.
+    First an integer histogram over bands, combined before it is shuffled,
+    finds which bands hold the wanted ranks; then only the rows of those bands
+    are collapsed and ordered.  There are at most two such bands per group and
+    quantile: with no keys, or with groups the caller knows to be few, that
+    bound is small enough to broadcast them, and no other row is shuffled.
     """
-    distinct = collapse(df, keys, value).withColumn("_band", band(F.col(value)))
-    per_band = distinct.groupBy(*keys, "_band").agg(F.sum("rows_at").alias("_in_band"))
+    rows = ordered_rows(df, keys, value).select(*keys, value).withColumn("_band", band(F.col(value)))
+    per_band = rows.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_in_band"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     ahead = group.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     ranks = {}
@@ -89,7 +95,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
               .rowsBetween(Window.unboundedPreceding, 0))
     if few_groups or not keys:
         targets = F.broadcast(targets)
-    placed = (distinct.join(targets, [*keys, "_band"])
+    distinct = (rows.join(targets, [*keys, "_band"]).groupBy(*keys, "_band", value)
+                .agg(F.count(F.lit(1)).alias("rows_at"), F.max("_before").alias("_before"), F.max("_n").alias("_n")))
+    placed = (distinct
               .withColumn("_through", F.col("_before") + F.sum("rows_at").over(inside)))
     at = lambda rank: F.min(F.when(F.col("_through") > rank, F.col(value)))
     picked = placed.groupBy(*keys).agg(
@@ -99,7 +107,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     out = []
     for name, (place, low, _) in ranks.items():
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (place - low)).alias(name))
+        # equal neighbours may be infinite, and their difference no number
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - low)).alias(name))
     return picked.select(*keys, *out)
 
 

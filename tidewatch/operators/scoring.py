@@ -12,7 +12,7 @@ from tidewatch.operators.profile import run_lengths
 from tidewatch.operators.thresholds import fallback_medians
 
 HORIZONS = ["15m", "30m", "45m", "60m"]
-SMOOTH_SIZE, SMOOTH_BACK = 1024, 64
+SMOOTH_ROWS = 1024
 
 
 def history(agg: DataFrame, key: str = "machine_id") -> DataFrame:
@@ -101,9 +101,10 @@ def smooth(predictions: DataFrame, alpha: float = S.SMOOTHING_ALPHA) -> DataFram
     if alpha >= 1.0:
         smoothed = warm.withColumn("p_spike_smoothed", F.col("_p"))
     else:
-        rows = chunks.row_chunks(warm, order="cycle", back=SMOOTH_BACK, size=SMOOTH_SIZE)
+        size, back = chunks.decay_chunks(1.0 - alpha, SMOOTH_ROWS)
+        rows = chunks.row_chunks(warm, order="cycle", back=back, size=size)
         smoothed = chunks.owned(chunks.decayed_mean(rows, "_p", 1.0 - alpha, "p_spike_smoothed", order="pos",
-                                                    size=SMOOTH_SIZE, back=SMOOTH_BACK)).drop("pos", "series_rows")
+                                                    size=size, back=back)).drop("pos", "series_rows")
     kept = _suppress(smoothed.drop("_p"), F.col("p_spike_smoothed") < F.col("alarm_threshold"))
     return kept.unionByName(predictions.filter(cold).withColumn("p_spike_smoothed", F.lit(None).cast("double")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
@@ -60,8 +60,14 @@ def walk_forward(df: DataFrame, folds: int = 5, gap: int = S.HORIZON, by: str =
             .select(*df.columns, "_f.fold", "_f.role").filter(F.col("role").isNotNull()))
 
 
-def seeded_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+def draw(keys: tuple[str, ...] = ("machine_id", "bucket"), seed: int = 42) -> Column:
+    """A number in [0, 1) from an md5 of the row's key: the same on every run and for every partitioning."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
+def seeded_sample(df: DataFrame, fraction: float, seed: int = 42, keys: tuple[str, ...] = ("machine_id", "bucket")) -> DataFrame:
+    return df.filter(draw(keys, seed) < fraction)
 
 
 def hash_sample(df: DataFrame, fraction: float, keys: tuple[str, ...] = ("machine_id", "bucket")) -> DataFrame:

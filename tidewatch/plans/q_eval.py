@@ -236,12 +236,12 @@ def cross_domain(spark, sf):
 
 @query("d6_drift_against_sample")
 def drift_against_sample(spark, sf):
-    """Sampled training reference against live rows featured with their own thresholds."""
+    """Training reference against live rows featured with thresholds of the leading part of the live window."""
     agg = fx.agg_table(spark, sf)
     opts = dict(bucket_seconds=fx.HOUR, slots=fx.SLOTS, labels=False)
-    reference = materialise(drift.reference_rows(features.train(agg, **opts), 0.10), "reference")
+    reference = materialise(drift.reference_rows(features.train(agg, **opts)), "reference")
     live = agg.filter(F.col("bucket") > thresholds.split_point(agg, S.TRAIN_RATIO))
-    featured = materialise(features.build(live, thresholds.bootstrap(live, 24), None, **opts), "live")
+    featured = materialise(features.build(live, thresholds.bootstrap(live.filter(F.col("bucket") <= thresholds.split_point(live, S.TRAIN_RATIO)), 24), None, **opts), "live")
     return drift.with_status(drift.psi_table(reference, featured))
 
 
@@ -291,12 +291,13 @@ def inner_split(spark, sf):
     return splits.inner_tuning(train).select("machine_id", "bucket", "inner_split")
 
 
-@query("k6_seeded_sample")
+@query("k6_seeded_sample", sql("""
+SELECT machine_id, bucket, time_us, total_cpu, peak_cpu, total_mem, peak_mem, disk_io, n_tasks FROM agg
+WHERE CAST('0x' || substr(md5(machine_id || '|' || bucket || '|42'), 1, 13) AS BIGINT) / 4503599627370496e0 < 0.1""", "agg",
+                              reals="total_cpu peak_cpu total_mem peak_mem disk_io"))
 def seeded_sample(spark, sf):
     agg = fx.agg_table(spark, sf)
-    drawn = splits.seeded_sample(agg, 0.10).withColumn("how", F.lit("seeded"))
-    hashed = splits.hash_sample(agg, 0.10).withColumn("how", F.lit("hashed"))
-    return drawn.unionByName(hashed)
+    return splits.seeded_sample(agg, 0.10)
 
 
 @query("k7_row_cap_and_machine_sample")
@@ -324,7 +325,9 @@ def _baseline(spark, sf, name):
     return baselines.score_all(unified(spark, sf), [name]).select("machine_id", "bucket", F.col(name).alias("score"))
 
 
-@query("b1_random")
+@query("b1_random", sql("""
+SELECT machine_id, bucket, CAST('0x' || substr(md5(machine_id || '|' || bucket || '|42'), 1, 13) AS BIGINT) / 4503599627370496e0 AS score
+FROM unified""", "unified", reals="score"))
 def random_baseline(spark, sf):
     return _baseline(spark, sf, "random")
 
@@ -577,7 +580,7 @@ def renormalise(spark, sf):
 @query("m10_bootstrap_interval")
 def bootstrap_interval(spark, sf):
     return metrics.bootstrap_interval(_binary(spark, sf).filter(F.col("split") == "test"), [], ["machine_id", "bucket"],
-                                      score="score_a", replicates=200)
+                                      score="score_a")
 
 
 block("fold_rows", """

@@ -417,8 +417,7 @@ def _now(readings):
 SELECT hostid, count(*) AS n_readings, avg(gap) AS mean_gap, stddev_samp(gap) AS std_gap, min(gap) AS min_gap,
        max(gap) AS max_gap, count(*) FILTER (WHERE gap > 600) AS long_gaps
 FROM (SELECT *, clock - lag(clock) OVER (PARTITION BY hostid ORDER BY clock) AS gap
-      FROM (SELECT itemid // 4 AS hostid, clock, row_number() OVER (PARTITION BY itemid // 4 ORDER BY clock DESC) AS r
-            FROM history) WHERE r <= 60) GROUP BY 1 HAVING count(*) >= 2""", "history", reals="mean_gap std_gap"))
+      FROM (SELECT itemid // 4 AS hostid, clock FROM history)) GROUP BY 1 HAVING count(*) >= 2""", "history", reals="mean_gap std_gap"))
 def interval_statistics(spark, sf):
     return inventory.interval_statistics(_host_readings(spark, sf))
 

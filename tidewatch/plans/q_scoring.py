@@ -415,7 +415,7 @@ def stream_alarm_state(spark, sf):
 
 
 @query("s12_incremental_parts", sql("""
-SELECT start_time, machine_id, cpu_rate, max_cpu_rate, canonical_mem_usage, max_mem_usage, mean_disk_io_time, sample_portion
+SELECT start_time, end_time, machine_id, cpu_rate, max_cpu_rate, canonical_mem_usage, max_mem_usage, mean_disk_io_time, sample_portion
 FROM task_usage""", "task_usage", reals="cpu_rate max_cpu_rate canonical_mem_usage max_mem_usage mean_disk_io_time"))
 def incremental_parts(spark, sf):
     """Two runs over a growing folder; the second reads only what is new."""
@@ -427,7 +427,7 @@ def incremental_parts(spark, sf):
         wide.filter(F.col("batch_key") % 2 == parity).drop("batch_key").write.mode("append") \
             .option("compression", "gzip").csv(folder)
         streams.ingest_parts(spark, folder, table, checkpoint, 24 * 365 * 60)
-    return spark.read.parquet(table).drop("end_time")
+    return spark.read.parquet(table)
 
 
 # --- models -------------------------------------------------------------------------------------------------
@@ -479,7 +479,7 @@ def occlusion_attribution(spark, sf):
     rows = _training(spark, sf)
     train = _part(rows, "train", "spike_in_15m")
     model = models.fit_binary(train, "spike_in_15m", **_SMALL)
-    return models.occlusion(model, splits.row_cap(_part(rows, "val", "spike_in_15m"), 50_000), train)
+    return models.occlusion(model, _part(rows, "val", "spike_in_15m"), train)
 
 
 @query("t7_saved_model")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
@@ -22,13 +22,18 @@ def require(df: DataFrame, required=S.AGG_COLUMNS, non_empty: bool = True) -> Da
     return df
 
 
+def whole_number(value: Column) -> Column:
+    """A long; only text such as ``1e3`` or ``7.0`` goes through a double, which would change ids above 2**53."""
+    return F.coalesce(value.try_cast("string").try_cast("long"), value.try_cast("double").try_cast("long"))
+
+
 def coerce(df: DataFrame) -> DataFrame:
     """Cast the aggregate columns; text that is no number becomes null."""
     whole = ("machine_id", "bucket", "time_us", "n_tasks")
     out = []
     for c in df.columns:
         if c in whole:
-            out.append(F.col(c).try_cast("double").cast("long").alias(c))
+            out.append(whole_number(F.col(c)).alias(c))
         elif c in S.SIGNALS:
             out.append(F.col(c).try_cast("double").alias(c))
         else:
@@ -46,7 +51,7 @@ def coercion_losses(df: DataFrame) -> DataFrame:
 
 def coerce_strict(df: DataFrame) -> DataFrame:
     """Cast, raising on any value that is not numeric."""
-    bad = coercion_losses(df).filter("lost > 0").limit(len(S.AGG_COLUMNS)).collect()
+    bad = coercion_losses(df).filter("lost > 0").collect()  # a row per column at most
     if bad:
         raise ValueError(f"non-numeric values: {[(r.column_name, r.lost) for r in bad]}")
     return coerce(df)

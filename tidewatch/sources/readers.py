@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions.scalar import col
+from tidewatch.sources.contracts import whole_number
 
 MICROS_PER_HOUR = 3_600_000_000
 
@@ -31,7 +32,7 @@ def cluster_agg(spark: SparkSession, path: str) -> DataFrame:
     else:
         raw = spark.read.parquet(path)
     kinds = {f.name: f.dataType for f in S.CLUSTER_AGG.fields}
-    typed = [F.col(c).cast("double").cast("long").alias(c) if c in kinds and kinds[c].typeName() == "long"
+    typed = [whole_number(F.col(c)).alias(c) if c in kinds and kinds[c].typeName() == "long"
              and dict(raw.dtypes)[c] == "string"
              else (F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c)) for c in raw.columns]
     return raw.select(*typed)

@@ -76,7 +76,8 @@ def lookback_sink(history: str, output: str, buckets: int = 24) -> Callable[[Dat
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         low = batch.agg(F.min("bucket").alias("b")).first()["b"]
-        if low is None:
+        if low is None:  # an empty batch leaves an empty part, so the table exists for the next
+            batch.write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
             return
         recent = batch
         if batch_id > 0:
@@ -121,10 +122,17 @@ def alarm_states(predictions: DataFrame, alpha: float = S.SMOOTHING_ALPHA, at_le
         rows = pd.concat(list(parts)).sort_values("cycle", ignore_index=True)
         means, streaks = [], []
         for at, p in enumerate(rows["p_moderate"] + rows["p_severe"]):
-            if rows.at[at, "status"] == "cold_start" or pd.isna(p):
+            if rows.at[at, "status"] == "cold_start":
                 means.append(None)
                 streaks.append(0)
                 continue
+            if pd.isna(p):  # no mean to compare with, but the row ends or continues a streak as in batch
+                streak = streak + 1 if rows.at[at, "is_spike"] else 0
+                if 0 < streak < at_least:
+                    rows.loc[at, ["is_spike", "is_severe", "recommended_action"]] = [False, False, "normal"]
+                means.append(None)
+                streaks.append(streak)
+                continue
             smoothed = p if smoothed is None else alpha * p + (1.0 - alpha) * smoothed
             spiking = bool(rows.at[at, "is_spike"]) and smoothed >= rows.at[at, "alarm_threshold"]
             streak = streak + 1 if spiking else 0
@@ -132,8 +140,8 @@ def alarm_states(predictions: DataFrame, alpha: float = S.SMOOTHING_ALPHA, at_le
                 rows.loc[at, ["is_spike", "is_severe", "recommended_action"]] = [False, False, "normal"]
             means.append(smoothed)
             streaks.append(streak)
-        if smoothed is not None:
-            state.update((float(smoothed), int(streak)))
+        if smoothed is not None or streak:
+            state.update((None if smoothed is None else float(smoothed), int(streak)))
         yield rows.assign(p_spike_smoothed=pd.Series(means, dtype="float64"), consecutive_alarms=streaks)
 
     return predictions.groupBy("machine_id").applyInPandasWithState(
