@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions.scalar import flag
-from tidewatch.operators import chunks
+from tidewatch.operators import chunks, metrics
 from tidewatch.operators.splits import draw
 from tidewatch.operators.thresholds import split_point
+from tidewatch.session import materialise
 
 LOOKBACK, SPAN, WINDOW, MIN_ROWS = 4, 12, 24, 4
 FIT_RATIO, FIT_MIN_ROWS = 0.6, 20
@@ -121,19 +122,17 @@ def score_all(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
     """All scores side by side, one row per input row."""
     chosen = names or list(SCORERS)
     frame = prepare(rows)
+    if len(chosen) > 1:  # several passes read it: a cutoff, a fit and the scores
+        frame = materialise(frame, "prepared")
     for n in chosen:
         frame = SCORERS[n](frame)
     return chunks.owned(frame).drop("pos", "series_rows")
 
 
-def long_labels(scored: DataFrame, names: list[str]) -> DataFrame:
-    """(baseline, label, class, y, score): binary labels, one-vs-rest classes, severe-vs-rest."""
+def evaluate(scored: DataFrame, names: list[str], digits: int = 9) -> DataFrame:
+    """Ranking metrics of each baseline against binary labels, one-vs-rest classes and severe-vs-rest."""
     sev = F.col("severity_in_60m")
-    tasks = [F.struct(F.lit(lab).alias("label"), F.col(lab).cast("int").alias("y")) for lab in S.SHORT_HORIZONS]
-    tasks += [F.struct(F.lit(f"severity_class_{k}").alias("label"), (sev == k).cast("int").alias("y")) for k in range(3)]
-    tasks += [F.struct(F.lit("severe_vs_rest").alias("label"), (sev == 2).cast("int").alias("y"))]
-    scores = [F.struct(F.lit(n).alias("baseline"), F.col(n).alias("score")) for n in names]
-    return (scored.select(F.explode(F.array(*tasks)).alias("t"), *names)
-            .filter(F.col("t.y").isNotNull())
-            .select("t.label", "t.y", F.explode(F.array(*scores)).alias("s"))
-            .select("s.baseline", "label", "y", "s.score"))
+    labels = {lab: F.col(lab) for lab in S.SHORT_HORIZONS} | {f"severity_class_{k}": sev == k for k in range(3)} | {"severe_vs_rest": sev == 2}
+    scores = F.array(*[F.struct(F.lit(n).alias("baseline"), F.round(F.col(n), digits).alias("score")) for n in names])
+    long = scored.select(*S.SHORT_HORIZONS, "severity_in_60m", F.inline(scores))
+    return metrics.ranking_of_labels(long, ["baseline"], labels)

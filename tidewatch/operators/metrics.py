@@ -37,6 +37,27 @@ def ranking(df: DataFrame, keys: list[str], y: str = "y", score: str = "score",
         F.when(both, ap).alias("pr_auc"), F.when(both, auc).alias("roc_auc"))
 
 
+def ranking_of_labels(df: DataFrame, keys: list[str], labels: dict[str, Column], score: str = "score") -> DataFrame:
+    """``ranking`` of one score against several 0/1 labels (null: not labelled), one row per group and label.
+
+    The labels' sums are columns of the collapsed scores, so rows are not multiplied by the labels.
+    """
+    ys = df.select(*keys, score, *[y.cast("int").alias(f"_y{i}") for i, y in enumerate(labels.values())])
+    measures = {f"pos{i}": F.coalesce(F.sum(f"_y{i}"), F.lit(0)) for i in range(len(labels))} | {f"total{i}": F.count(f"_y{i}") for i in range(len(labels))}
+    steps = running_totals(collapse(ys, keys, score, **measures), keys, score, list(measures), descending=True)
+    found = []
+    for i, label in enumerate(labels):
+        pos, total, tp, seen, p, n = (F.col(f"{a}{b}{i}") for a in ("", "through_", "all_") for b in ("pos", "total"))
+        p, n = F.max(p), F.max(n)
+        share = F.sum(F.when((seen > 0) & (F.col(f"all_pos{i}") > 0), pos / F.nullif(F.col(f"all_pos{i}"), F.lit(0)) * tp / seen).otherwise(0.0))
+        area = F.sum((total - pos) * (tp - pos / 2.0)) / F.nullif(p * (n - p), F.lit(0))
+        both = (p > 0) & (n > p)
+        found.append(F.struct(F.lit(label).alias("label"), n.alias("n_rows"), p.alias("n_pos"),
+                              F.when(both, share).alias("pr_auc"), F.when(both, area).alias("roc_auc")))
+    wide = steps.groupBy(*keys).agg(F.array(*found).alias("_all"))
+    return wide.select(*keys, F.inline("_all")).filter(F.col("n_rows") > 0)
+
+
 def one_vs_rest(df: DataFrame, keys: list[str], label: str, scores: list[str]) -> DataFrame:
     """Ranking metrics of each class against the others; ``scores`` has one column per class."""
     parts = [F.struct(F.lit(k).alias("class"), (F.col(label) == k).cast("int").alias("y"), F.col(s).alias("score"))

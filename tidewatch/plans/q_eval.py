@@ -390,8 +390,7 @@ block("task_scores", " UNION ALL ".join(
 @query("b7_evaluate_baselines", sql(rank_sql("task_scores", "baseline, label"), "task_scores", reals="pr_auc roc_auc"))
 def evaluate_baselines(spark, sf):
     scored = baselines.score_all(unified(spark, sf), _NAMES)
-    long = baselines.long_labels(scored, _NAMES).withColumn("score", F.round("score", 9))
-    return metrics.ranking(long, ["baseline", "label"])
+    return baselines.evaluate(scored, _NAMES)
 
 
 @query("u2_custom_scorer", sql("""

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch import schemas as S
 from tidewatch.operators import chunks
-from tidewatch.session import fresh_path
+from tidewatch.session import fresh_path, materialise
 
 ALARM_STATE = "smoothed double, streak long"
 
@@ -95,12 +95,13 @@ def lookback_sink(history: str, output: str, buckets: int = 24) -> Callable[[Dat
 def cycle_sink(valid: Column, accepted: str, quarantine: str, slo: str) -> Callable[[DataFrame, int], None]:
     """A cycle never stops on bad input: bad rows are set aside, the cycle is recorded either way."""
     def process(batch: DataFrame, batch_id: int) -> None:
-        ok = F.coalesce(valid, F.lit(False))
-        good, bad = batch.filter(ok), batch.filter(~ok)
-        good.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
-        (batch.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(ok).alias("rows_accepted"),
-                   F.count_if(~ok).alias("rows_quarantined"))
+        # the batch is read once; what follows reads the table of it
+        read = materialise(batch.withColumn("_ok", F.coalesce(valid, F.lit(False))), "cycle")
+        ok = F.col("_ok")
+        read.filter(ok).drop("_ok").write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
+        read.filter(~ok).drop("_ok").write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        (read.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(ok).alias("rows_accepted"),
+                  F.count_if(~ok).alias("rows_quarantined"))
          .withColumn("success", F.col("rows_accepted") > 0)
          .write.mode("overwrite").parquet(f"{slo}/batch={batch_id}"))
     return process
