@@ -46,6 +46,8 @@ TEMPLATES = (
                 "file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Words that are in most English texts are markers only where nothing else is left.
+_FREQUENT = frozenset("a all and any are as at be by can can for from in is it may not of on or that the this to under use was with without you".split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLANK_LINE = r"\n[ \t\r]*\n"
@@ -76,8 +78,8 @@ def marker_words(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[str]
                 open_ += rest
         if not open_:
             return chosen
-        counts = Counter(w for b in open_ for w in set(b) if len(w) > 1 or w.isalpha())
-        chosen.append(min(counts, key=lambda w: (-counts[w] * len(w), w)))
+        counts = Counter(w for b in open_ for w in set(b))
+        chosen.append(min(counts, key=lambda w: (w in _FREQUENT or w.isdigit(), -counts[w] * len(w), w)))
 
 
 def _normal(text: Column) -> Column:
