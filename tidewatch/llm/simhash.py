@@ -206,24 +206,28 @@ def links(marks: DataFrame, columns: tuple[str, ...] = ("fingerprint",), width:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node that each node of the links ``a, b`` can reach.
 
-    Alternates two steps until nothing changes: every node is joined to the smallest of its neighbours, then roots
-    follow their own roots. Each round is a table in the shared folder.
+    In each round every node is mapped to a smaller neighbour, or on along these, and links are drawn anew between what
+    their ends are mapped to. Links inside of what has become one go, so rounds soon are small; the smallest node of a
+    class is never mapped. Each round's tables lie in the shared folder.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a"))
-    pairs = materialise(both.filter("node != next").distinct(), "links")
-    roots = materialise(pairs.groupBy("node").agg(F.min("next").alias("root")).select("node", F.least("node", "root").alias("root")), "roots")
-    while True:
-        seen = (pairs.join(roots.withColumnsRenamed({"node": "next", "root": "other"}), "next")
-                .groupBy("node").agg(F.min("other").alias("other")))
-        hooked = roots.join(seen, "node").select("node", "root", F.least("root", "other").alias("to"))
-        # a root that a member sees beyond moves with all its members
-        moved = hooked.groupBy("root").agg(F.min("to").alias("lowest"))
-        stepped = hooked.join(moved, "root").select("node", "root", F.least("to", "lowest").alias("new"))
-        short = stepped.join(roots.select(F.col("node").alias("new"), F.col("root").alias("beyond")), "new", "left")
-        after = materialise(short.select("node", F.col("root").alias("was"), F.least("new", F.coalesce("beyond", "new")).alias("root")), "roots")
-        roots = after.select("node", "root")
-        if after.filter("root != was").isEmpty():
-            return roots
+    low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+    links_ = materialise(edges.select(low, high).filter("low != high").distinct(), "links")
+    roots = materialise(links_.select(F.explode(F.array("low", "high")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
+    while not links_.isEmpty():
+        step = links_.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("to"))
+        for _ in range(2):
+            step = materialise(step, "step")
+            further = step.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+            step = step.join(further, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"))
+        step = materialise(step, "step")
+
+        def mapped(df: DataFrame, name: str, step=step) -> DataFrame:
+            return df.join(step.withColumnRenamed("node", name), name, "left").withColumn(name, F.coalesce("to", name)).drop("to")
+
+        roots = materialise(mapped(roots, "root"), "roots")
+        both = mapped(mapped(links_, "low"), "high").select(F.col("low").alias("a"), F.col("high").alias("b"))
+        links_ = materialise(both.select(low, high).filter("low != high").distinct(), "links")
+    return roots.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, errors: int = ERRORS) -> DataFrame:
