@@ -110,3 +110,25 @@ def test_long_feature_lists_are_compared_whole(spark, tmp_path):
     with pytest.raises(Exception) as found:  # the list is right; only the model is missing
         models.load(spark, str(tmp_path), names)
     assert "feature list" not in str(found.value)
+
+
+def test_the_prediction_record_feeds_smoothing(spark):
+    schema = ("machine_id long, cycle long, status string, observations_used long, data_quality double, threshold_p95 double, threshold_source string, "
+              "p15 double, p30 double, p45 double, p_no double, p_mod double, p_sev double, p_ovr double")
+    rows = [(1, c, "success", 30, 1.0, 0.4, "learned", 0.2, None, None, 0.2, 0.5, 0.3, None) for c in range(3)]
+    rows += [(2, c, "cold_start", 3, 0.1, None, None, None, None, None, None, None, None, None) for c in range(3)]
+    decided = scoring.decide(spark.createDataFrame(rows, schema))
+    record = scoring.envelope(decided, {"60m": 0.25}, trained_at="2024-01-01", model_version="v2")
+    first = record.filter("machine_id = 1 and cycle = 0").first()
+    assert sorted(first.imminence) == ["15m", "60m"] and first.imminence["60m"].p_moderate == 0.5 and first.imminence["15m"].p_moderate is None
+    assert (first.alarm_threshold, first.threshold_used, first.threshold_source, first.model_version, first.trained_at) == (0.25, 0.4, "learned", "v2", "2024-01-01")
+    cold = record.filter("machine_id = 2").first()
+    assert cold.imminence is None and cold.alarm_threshold is None and cold.threshold_used is None
+    got = {(r.machine_id, r.cycle): r for r in scoring.debounce(scoring.smooth(record)).collect()}
+    assert got[1, 0].is_spike is False and got[1, 2].is_spike is True and got[1, 2].p_spike_smoothed == pytest.approx(0.8) and got[2, 1].p_spike_smoothed is None
+
+
+def test_calibrators_get_a_bounded_number_of_points(spark):
+    rows = spark.range(5000).select((F.col("id") / 5000).alias("p0"), (F.col("id") % 5000 > 2500).cast("int").alias("y"))
+    fit = models.fit_calibrators(rows.withColumn("y", 1 - F.col("y")), "y", ["p0"], grid=20)[0]
+    assert fit.boundaries.size <= 21 and fit.predictions[-1] > 0.9 and fit.predictions[0] < 0.1

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.operators import metrics
-from tidewatch.operators.ordered import collapse, quantiles
+from tidewatch.operators.ordered import ordered_rows, quantiles
 
 MIN_POSITIVE = 10
 
@@ -148,13 +148,17 @@ def top_contributions(contributions: DataFrame, k: int = 3) -> DataFrame:
 
 # --- calibration -------------------------------------------------------------------------
 
-def fit_calibrators(val: DataFrame, label: str, probs: list[str]) -> list[IsotonicRegressionModel]:
-    """One isotonic fit per class against the rest, on distinct scores with their weights."""
+def fit_calibrators(val: DataFrame, label: str, probs: list[str], grid: int = 10_000) -> list[IsotonicRegressionModel]:
+    """One isotonic fit per class against the rest.
+
+    Scores between 0 and 1 are pooled in ``grid`` bands of equal width first, so the
+    fit, whose breakpoints go to the driver, gets at most so many weighted points.
+    """
     fits = []
     for k, p in enumerate(probs):
         y = (F.col(label) == k).cast("double")
-        points = collapse(val, [], p, pos=F.sum(y), n=F.count(F.lit(1))).select(
-            F.col(p).alias("s"), (F.col("pos") / F.col("n")).alias("y"), F.col("n").cast("double").alias("w"))
+        points = (ordered_rows(val, [], p).groupBy(F.floor(F.col(p) * grid).alias("_band"))
+                  .agg(F.avg(p).alias("s"), F.avg(y).alias("y"), F.count(F.lit(1)).cast("double").alias("w")).drop("_band"))
         fits.append(IsotonicRegression(featuresCol="s", labelCol="y", weightCol="w", predictionCol=f"_cal_{k}").fit(points))
     return fits
 

@@ -59,21 +59,42 @@ def decide(df: DataFrame, alarms: dict[str, float] | None = None, override: floa
                             "recommended_action": F.when(~unknown, action)})
 
 
-def envelope(decided: DataFrame, alarms: dict[str, float]) -> DataFrame:
-    """One nested row per machine, as the prediction table stores it."""
-    entry = lambda h: F.when(F.col(f"p_spike_{h}").isNotNull(), F.struct(
-        F.round(f"p_spike_{h}", 6).alias("p_spike"),
-        (F.col("is_spike") if h == "60m" else F.col(f"alarm_{h}")).alias("is_spike"),
-        F.lit(round(alarms.get(h, 0.5), 4)).alias("alarm_threshold")))
+def envelope(decided: DataFrame, alarms: dict[str, float], trained_at: str | None = None, predicted_at: str | None = None,
+             model_version: str | None = None) -> DataFrame:
+    """One nested row per machine (and cycle, if there is one), as the prediction table stores it and ``smooth`` reads it.
+
+    Horizons without a probability are left out of ``imminence``; the one of
+    60 minutes also holds the classes.  Cold machines have nulls.  The machine's
+    own threshold is taken from ``threshold_p95`` and ``threshold_source``, and
+    the features that speak for an alarm from ``top_features``, if present.
+    """
     cold = F.col("status") == "cold_start"
-    imminence = F.map_from_arrays(F.array(*[F.lit(h) for h in HORIZONS]), F.array(*[entry(h) for h in HORIZONS]))
+    warm = lambda c: F.when(~cold, c)
+    level = {h: F.lit(round(alarms.get(h, 0.5), 4)) for h in [*HORIZONS, "severe"]}
+    classes = {n: F.round(p, 6) for p, n in (("p_no", "p_no_spike"), ("p_mod", "p_moderate"), ("p_sev", "p_severe"), ("p_ovr", "p_severe_ovr"))}
+    last = {"severity_class": F.col("severity_class"), **classes, "is_severe": F.col("is_severe"),
+            "alarm_threshold_ovr": F.when(F.col("p_ovr").isNotNull(), level["severe"])}
+    kinds = {"severity_class": dict(decided.dtypes)["severity_class"], "is_severe": "boolean"}
+
+    def entry(h: str) -> Column:
+        own = {n: c if h == "60m" else F.lit(None).cast(kinds.get(n, "double")) for n, c in last.items()}
+        return F.when(F.col(f"p_spike_{h}").isNotNull(), F.struct(
+            F.round(f"p_spike_{h}", 6).alias("p_spike"),
+            (F.col("is_spike") if h == "60m" else F.col(f"alarm_{h}")).alias("is_spike"),
+            level[h].alias("alarm_threshold"), *[c.alias(n) for n, c in own.items()]))
+
+    every = F.map_from_arrays(F.array(*[F.lit(h) for h in HORIZONS]), F.array(*[entry(h) for h in HORIZONS]))
+    imminence = F.map_filter(every, lambda _, e: e.isNotNull())
+    known = {c: F.col(c) for c in ("threshold_source", "top_features") if c in decided.columns}
+    if "threshold_p95" in decided.columns:
+        known["threshold_used"] = F.round("threshold_p95", 6)
     return decided.select(
-        "machine_id", "status", "observations_used", F.when(~cold, imminence).alias("imminence"),
-        "severity_class", *[F.round(p, 6).alias(n) for p, n in (("p_no", "p_no_spike"), ("p_mod", "p_moderate"),
-                                                                ("p_sev", "p_severe"), ("p_ovr", "p_severe_ovr"))],
-        "is_spike", "is_severe", "recommended_action",
-        F.when(~cold, F.struct(F.col("data_quality").alias("score"), F.col("status").alias("status"))).alias("data_quality"),
-        *[c for c in ("threshold_source",) if c in decided.columns])
+        "machine_id", *[c for c in ("cycle",) if c in decided.columns], "status", "observations_used",
+        F.lit(trained_at).cast("string").alias("trained_at"), F.lit(predicted_at).cast("string").alias("predicted_at"),
+        F.lit(model_version).cast("string").alias("model_version"), warm(imminence).alias("imminence"),
+        "severity_class", *[c.alias(n) for n, c in classes.items()], "is_spike", "is_severe", "recommended_action",
+        warm(level["60m"]).alias("alarm_threshold"), *[warm(c).alias(n) for n, c in known.items()],
+        warm(F.struct(F.col("data_quality").alias("score"), F.col("status").alias("status"))).alias("data_quality"))
 
 
 def batch_counters(predictions: DataFrame) -> DataFrame:

@@ -136,17 +136,26 @@ def action_ladder(spark, sf):
 SELECT machine_id, status, observations_used, round(p_spike_15m, 6) AS p_spike_15m, alarm_15m AS is_spike_15m,
        round(p_spike_60m, 6) AS p_spike_60m, is_spike AS is_spike_60m,
        CASE WHEN p_spike_60m IS NOT NULL THEN 0.25e0 END AS alarm_threshold_60m, severity_class, is_severe,
+       round(p_mod, 6) AS p_moderate_60m, CASE WHEN p_spike_60m IS NOT NULL THEN is_severe END AS is_severe_60m,
+       CASE WHEN p_spike_60m IS NOT NULL AND p_ovr IS NOT NULL THEN 0.55e0 END AS alarm_threshold_ovr,
+       CASE WHEN status <> 'cold_start' THEN 0.25e0 END AS alarm_threshold, 'v1' AS model_version,
+       CASE WHEN status <> 'cold_start' THEN CAST(p_spike_15m IS NOT NULL AS BIGINT) + CAST(p_spike_30m IS NOT NULL AS BIGINT)
+            + CAST(p_spike_45m IS NOT NULL AS BIGINT) + CAST(p_spike_60m IS NOT NULL AS BIGINT) END AS horizons,
        CASE WHEN status <> 'cold_start' THEN round_even(least(observations_used, 24) / 24e0, 4) END AS quality,
-       recommended_action FROM decided""", "decided", reals="p_spike_15m p_spike_60m alarm_threshold_60m quality", flags="is_spike_15m is_spike_60m is_severe"))
+       recommended_action FROM decided""", "decided", reals="p_spike_15m p_spike_60m alarm_threshold_60m quality p_moderate_60m alarm_threshold_ovr alarm_threshold",
+                                            flags="is_spike_15m is_spike_60m is_severe is_severe_60m"))
 def prediction_rows(spark, sf):
     """The nested row, flattened for comparison."""
-    nested = scoring.envelope(_decided(spark, sf), ALARMS)
+    nested = scoring.envelope(_decided(spark, sf), ALARMS, model_version="v1")
     at = lambda h, f: F.col("imminence")[h][f]
     return as_text(nested.select(
         "machine_id", "status", "observations_used", at("15m", "p_spike").alias("p_spike_15m"),
         at("15m", "is_spike").alias("is_spike_15m"), at("60m", "p_spike").alias("p_spike_60m"),
         at("60m", "is_spike").alias("is_spike_60m"), at("60m", "alarm_threshold").alias("alarm_threshold_60m"),
-        "severity_class", "is_severe", F.col("data_quality.score").alias("quality"), "recommended_action"), "is_spike_15m is_spike_60m is_severe")
+        at("60m", "p_moderate").alias("p_moderate_60m"), at("60m", "is_severe").alias("is_severe_60m"),
+        at("60m", "alarm_threshold_ovr").alias("alarm_threshold_ovr"), "alarm_threshold", "model_version",
+        F.size("imminence").cast("long").alias("horizons"), "severity_class", "is_severe", F.col("data_quality.score").alias("quality"),
+        "recommended_action"), "is_spike_15m is_spike_60m is_severe is_severe_60m")
 
 
 @query("i7_batch_counters", sql("""
