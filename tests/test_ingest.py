@@ -128,5 +128,5 @@ def test_stage_reuse_runs_a_build_once(spark, tmp_path):
 
 def test_newest_readings_only(spark):
     r = spark.createDataFrame([(1, 300 * i) for i in range(100)] + [(2, 5)], "hostid long, clock long")
-    out = inventory.interval_statistics(r).collect()
+    out = inventory.interval_statistics(r, newest=60).collect()
     assert len(out) == 1 and out[0].n_readings == 60 and out[0].mean_gap == 300.0 and out[0].long_gaps == 0
