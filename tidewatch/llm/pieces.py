@@ -121,9 +121,9 @@ def _characters(raw: bytes) -> str:
 class Encoder(dict):
     """Encodes texts word by word: a dictionary from words, which begin with their spaces, to comma-joined ids."""
 
-    def __init__(self, pieces: Pieces, check: bool = True):
+    def __init__(self, pieces: Pieces, check: bool = True, kept_words: int | None = None):
         super().__init__()
-        self.pieces, self.check = pieces, check
+        self.pieces, self.check, self.kept_words = pieces, check, kept_words or KEPT_WORDS
         self.older: dict[str, str] = {}
         self.spoken: dict[str, str] = {}      # what words decode to, where it is not the word
         self.fresh: list[tuple[str, list[int]]] = []
@@ -151,7 +151,7 @@ class Encoder(dict):
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Count and comma-joined list of the ids, and their decoded text, of each text."""
-        if len(self) > KEPT_WORDS:
+        if len(self) > self.kept_words:
             self.older = dict(self)
             self.clear()
             self.spoken = {w: s for w, s in self.spoken.items() if w in self.older}
@@ -180,15 +180,15 @@ def load(path: str) -> Pieces:
 
 
 @lru_cache(2)
-def _encoder(path: str, check: bool) -> Encoder:
-    return Encoder(load(path), check)
+def _encoder(path: str, check: bool, kept_words: int | None) -> Encoder:
+    return Encoder(load(path), check, kept_words)
 
 
-def _over(docs: DataFrame, model_path: str, id_col: str, text_col: str, check: bool, row, schema: str, kinds: list) -> DataFrame:
+def _over(docs: DataFrame, model_path: str, id_col: str, text_col: str, check: bool, kept_words: int | None, row, schema: str, kinds: list) -> DataFrame:
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model_path, check)
+        encoder = _encoder(model_path, check, kept_words)
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
                 part = batch.slice(start, 100)
@@ -200,20 +200,21 @@ def _over(docs: DataFrame, model_path: str, id_col: str, text_col: str, check: b
     return picked.mapInArrow(run, f"id long, {schema}").withColumnRenamed("id", id_col)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True, kept_words: int | None = None) -> DataFrame:
     """``id, ids, decoded``: the ids of every whole text and the text they decode to, without a shuffle.
 
     Null texts count as empty and have no ids; rows with null ids are kept, repeated rows give a row each, other columns
-    are ignored, no rows give none. ``check`` compares every newly met word with the library and raises on a difference.
+    are ignored, no rows give none. ``kept_words`` is what a worker remembers (``KEPT_WORDS``), for jobs that need its memory
+    otherwise; it changes no result. ``check`` compares every newly met word with the library and raises on a difference.
     """
-    return _over(docs, model_path, id_col, text_col, check, lambda n, ids, decoded: ([int(i) for i in ids.split(",")] if n else [], decoded),
+    return _over(docs, model_path, id_col, text_col, check, kept_words, lambda n, ids, decoded: ([int(i) for i in ids.split(",")] if n else [], decoded),
                  "ids array<int>, decoded string", [pa.list_(pa.int32()), pa.string()])
 
 
-def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
+def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True, kept_words: int | None = None) -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256``: as ``encode``, with hashes in place of ids and text."""
     def row(n: int, ids: str, decoded: str) -> tuple[int, str, str]:
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
-    return _over(docs, model_path, id_col, text_col, check, row, "n_tokens long, ids_sha256 string, decoded_sha256 string",
+    return _over(docs, model_path, id_col, text_col, check, kept_words, row, "n_tokens long, ids_sha256 string, decoded_sha256 string",
                  [pa.int64(), pa.string(), pa.string()])
