@@ -95,3 +95,52 @@ def test_one_of_each_keeps_whole_rows(spark):
     assert kept.columns == frame(spark, rows).columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 2, 4, 7, 9, 9, 20, 22)] + [(True, 0)]
     assert simhash.one_of_each(frame(spark, [])).count() == 0
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def changed(rng, words, share, spread):
+    """A copy with that share of the words new, in one run or scattered."""
+    n = max(1, round(share * len(words)))
+    at = rng.sample(range(len(words)), n) if spread else range(len(words) - n, len(words))
+    out = list(words)
+    for i in at:
+        out[i] = f"new{rng.randrange(10 ** 9)}"
+    return out
+
+
+def test_one_of_each_drops_what_all_pairs_by_jaccard_drop(spark, monkeypatch):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    texts = ["a few words", "a few words", "a few", ""]
+    for i in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice((20, 60, 150, 400)))]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            spread = rng.random() < 0.5
+            texts.append(" ".join(changed(rng, base, rng.uniform(0.005, 0.04) if spread else rng.uniform(0.02, 0.3), spread)))
+    base = [rng.choice(vocabulary) for _ in range(100)]  # one large class of copies, linked in chains
+    texts += [" ".join(changed(rng, base, 0.02, True)) for _ in range(60)]
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or shared and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared) - 1e-9:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted({find(i) for i in range(len(texts))})
+    assert len(want) < 0.8 * len(texts)
+    rows = [(i, t, "", 0, 0, "") for i, t in enumerate(texts)]
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == want
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == want

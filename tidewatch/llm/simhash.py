@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.words import mix, prepare
+from tidewatch.llm.words import Block, mix, prepare, word_blocks, word_hashes
 from tidewatch.session import materialise
 
 ERRORS, WORDS, SEED = 3, 3, 42
@@ -249,35 +249,154 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-#: Long fingerprints: three times 64 bits, searched in slices, linked if they differ in at most so many bits.
-LONG, SLICE, SLICE_ERRORS, LONG_LIMIT, LONG_GROUP = 3, 32, 3, 32, 1_000_000
-
+#: Near-duplicates share so much of their shingles of so many words. Candidates have one of ``BANDS`` keys in common, each of
+#: ``BAND_ROWS`` minimal hashes: of pairs at the limit one in 150,000 has none (fewer above it). Texts verified by one task.
+SHINGLE, SIMILAR, BANDS, BAND_ROWS, CHUNK = 5, 0.8, 30, 5, 1000
+
+
+def shingle_sets(block: Block, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the different shingles of each text, sorted; a text of fewer words is one shingle, without words none."""
+    hashes, row = word_hashes(block), block.row
+    out = mix(hashes[:max(len(hashes) - words + 1, 0)])
+    for i in range(1, words):
+        out = mix(out + hashes[i:i + len(out)])
+    whole = np.flatnonzero(row[:len(out)] == row[words - 1:words - 1 + len(out)])
+    first = np.searchsorted(row, np.arange(block.rows + 1))
+    few, rest = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < words)), []
+    for a, b in zip(first[few].tolist(), first[few + 1].tolist()):
+        h = mix(hashes[a:a + 1])
+        for i in range(a + 1, b):
+            h = mix(h + hashes[i:i + 1])
+        rest.append(mix(h + _U(b - a)))
+    row, out = np.concatenate((row[whole], few)), np.concatenate((out[whole], *rest))
+    order = np.lexsort((out, row))
+    row, out = row[order], out[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (out[1:] != out[:-1]))[:len(row)]
+    return row[new], out[new]
+
+
+def _band_keys(row: np.ndarray, shingles: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number of each text's set of shingles, and its band keys; zeros without shingles."""
+    node, keys = np.zeros(rows, _U), np.zeros((rows, BANDS), _U)
+    if len(row):
+        begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        held = row[begins]
+        node[held] = mix(np.add.reduceat(mix(shingles ^ _U(SEED)), begins) + _U(1))
+        seeds = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS, BAND_ROWS, 2), _U)
+        for band in range(BANDS):
+            key = np.full(len(held), band, _U)
+            for flip, factor in seeds[band]:
+                key = mix(key + np.minimum.reduceat((shingles ^ flip) * (factor | _U(1)), begins))
+            keys[held, band] = key
+    return node, keys
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """``a, b``: links that join all nodes with a band key in common; one at most for each node and key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)  # the keys of one task
+        if not batches:
+            return
+        got = pa.Table.from_batches(batches)
+        node, key = got.column("node").to_numpy(), got.column("key").to_numpy()
+        order = np.lexsort((node, key))
+        node, key = node[order], key[order]
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        first = np.repeat(node[begins], np.diff(np.append(begins, len(key))))
+        pairs = np.unique(np.stack((node, first))[:, node != first], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return nodes.select("node", F.explode("keys").alias("key")).repartition("key").mapInArrow(run, "a long, b long")
+
+
+def similar_classes(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarray:
+    """First of the class of each set; sets link from a Jaccard similarity of ``similar`` on, all pairs are compared."""
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    size, found = size[order], Classes(len(sets))
+    ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    ends = np.append(0, np.cumsum(size))
+    mark = np.zeros(len(ids) + 1, bool)
+    for i in range(1, len(sets)):
+        low = int(np.searchsorted(size[:i], similar * size[i] - 1e-9))
+        if low < i:
+            own = ids[ends[i]:ends[i + 1]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[ids[ends[low]:ends[i]]], ends[low:i] - ends[low], dtype=np.int64)
+            mark[own] = False
+            near = low + np.flatnonzero(shared >= similar * (size[i] + size[low:i] - shared) - 1e-9)
+            found.join(near, np.full(len(near), i))
+    out = np.empty(len(sets), np.int64)
+    out[order] = order[found.root]
+    return out
+
+
+def _verified(texts: DataFrame, words: int) -> DataFrame:
+    """``a, b``: links of the similar texts (``node, root, text``) of each candidate class. Classes of more than ``CHUNK`` texts
+    are cut into parts, and each pair of parts is a task's group."""
+    sizes = texts.groupBy("root").count().filter(F.col("count") > CHUNK).select("root", F.ceil(F.col("count") / CHUNK).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    pairs = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")))).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.least(p, part).alias("low"), F.greatest(p, part).alias("high"))))
+    rows = texts.join(sizes, "root", "left").select("root", "node", "text", F.explode(pairs).alias("pair"))
+    rows = rows.select("node", "text", F.xxhash64("root", "pair.low", "pair.high").alias("group"))
+
+    def links_of(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        node = np.array(nodes, np.int64)
+        root = similar_classes(sets) if sets else np.empty(0, np.int64)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sets = None, [], []
+        for batch in batches:  # sorted by group
+            for block in word_blocks(batch.column("text")):
+                row, shingles = shingle_sets(block, words)
+                ends = np.searchsorted(row, np.arange(block.rows + 1))
+                for i in range(block.rows):
+                    group = batch.column("group")[block.first + i].as_py()
+                    if group != at:
+                        yield links_of(nodes, sets)
+                        at, nodes, sets = group, [], []
+                    nodes.append(batch.column("node")[block.first + i].as_py())
+                    sets.append(shingles[ends[i]:ends[i + 1]].copy())
+        yield links_of(nodes, sets)
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, as they are, without near-duplicates: of each class the one with the smallest id stays.
 
-    Fingerprints of 192 bits link at ``LONG_LIMIT`` differing bits, about where texts share 0.8 of their shingles of five words,
-    which 64 bits and a budget of three would mostly miss. Null texts count as empty; a null id stays only where its class
-    has no other; of repeated rows one stays.
+    Two texts link if their sets of shingles of ``words`` words have a Jaccard similarity of at least ``SIMILAR``; classes are
+    of such links only. Minimal hashes, not fingerprints, give the candidates: 64 bits and a budget of three would miss most,
+    and a budget for nearly all is too wide for the tries. Every candidate is verified on its words. Null texts count as empty;
+    a null id stays only where its class has no other; of repeated rows one stays.
     """
     prepare(docs.sparkSession)
     names = docs.columns
     taken = {n.lower() for n in names}
     marks, row = [next(c for c in (f"{n}{'_' * k}" for k in range(len(taken) + 1)) if c not in taken) for n in ("mark", "row")]
-    columns = tuple(f"m{i}" for i in range(LONG))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = _marks(batch.column(text_col), words, LONG)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(each, list(columns))], [*names, marks])
+            node, keys = [np.empty(0, _U)], [np.empty((0, BANDS), _U)]
+            for block in word_blocks(batch.column(text_col)):
+                one, many = _band_keys(*shingle_sets(block, words), block.rows)
+                node.append(one)
+                keys.append(many)
+            node, keys = np.concatenate(node).view(np.int64), np.concatenate(keys).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays([pa.array(node), lists], ["node", "keys"])], [*names, marks])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    held = materialise(docs.mapInArrow(run, f"{fields}, {marks} struct<{', '.join(f'{c}: bigint' for c in columns)}>")
-                       .withColumn(row, F.monotonically_increasing_id()), "marked")
-    small = held.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(f"{marks}.*")).withColumn("node", F.xxhash64(*columns))
+    held = materialise(docs.mapInArrow(run, f"{fields}, {marks} struct<node: bigint, keys: array<bigint>>").withColumn(row, F.monotonically_increasing_id()), "marked")
+    small = held.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(f"{marks}.*"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    nodes = materialise(small.groupBy("node").agg(F.min(order).alias("first"), *(F.first(c).alias(c) for c in columns)), "nodes")
-    roots = components(links(nodes.select("node", *columns), columns, SLICE, SLICE_ERRORS, LONG_LIMIT, LONG_GROUP))
+    nodes = materialise(small.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys")), "nodes")
+    near = components(_candidates(nodes)).join(nodes.select("node", F.col("first.row").alias("row")), "node")
+    texts = held.select(F.col(row).alias("row"), F.col(text_col).alias("text")).join(near, "row")
+    roots = components(_verified(materialise(texts.select("node", "root", "text"), "candidates"), words))
     kept = (nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
             .select(F.col("first.row").alias(row)))
     return held.join(kept, row, "left_semi").select(*names)
