@@ -90,3 +90,11 @@ def test_odd_rows(spark):
     assert pii.find(frame(spark, [])).count() == 0
     twice = [(1, "x a@b.co y", "", 0, 0, "")] * 2
     assert [r.text for r in pii.masked(frame(spark, twice)).collect()] == ["x [EMAIL] y"] * 2
+
+
+def test_a_number_beside_a_span_takes_only_the_patterns_that_hold_it():
+    text = "reach us via someone@intranet99 for 24 hours"
+    begin = text.index("someone")
+    assert pii.contexts(text, begin, begin + len("someone@intranet99")) == ["us via _", "via _ for"]
+    assert pii.contexts("call 5 at x1y2z3 or write", 10, 16) == ["at _ or", "_ or write"]
+    assert pii.contexts(f"call at x1y2z3 {'w' * 50} now", 8, 14) == ["call at _"]

@@ -101,15 +101,17 @@ def candidates(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 def contexts(text: str, begin: int, end: int) -> list[str]:
-    """The lexical patterns that surround a span: two words before, the word before with the one after, two words after."""
+    """The lexical patterns that surround a span: two words before, the word before with the one after, two words after.
+
+    A pattern with a digit, an @ or an overlong word is left out; the others stay.
+    """
     before = text[max(0, begin - 3 * WORD_CHARS):begin].lower().split()[-2:]
     after = text[end:end + 3 * WORD_CHARS].lower().strip(".,;:!?\"')").split()[:2]
     before, after = ([w.strip(".,;!?\"'()") for w in ws] for ws in (before, after))
-    if any(len(w) > WORD_CHARS or _SIGN.search(w) for w in before + after):
-        return []
-    out = [f"{' '.join(before)} _"] if len(before) == 2 else []
-    out += [f"{before[-1]} _ {after[0]}"] if before and after else []
-    return out + ([f"_ {' '.join(after)}"] if len(after) == 2 else [])
+    every = [(before, [])] if len(before) == 2 else []
+    every += [(before[-1:], after[:1])] if before and after else []
+    every += [([], after)] if len(after) == 2 else []
+    return [" ".join([*a, "_", *b]) for a, b in every if not any(len(w) > WORD_CHARS or _SIGN.search(w) for w in a + b)]
 
 
 def _number(value: str) -> int:
