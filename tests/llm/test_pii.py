@@ -98,3 +98,15 @@ def test_a_number_beside_a_span_takes_only_the_patterns_that_hold_it():
     assert pii.contexts(text, begin, begin + len("someone@intranet99")) == ["us via _", "via _ for"]
     assert pii.contexts("call 5 at x1y2z3 or write", 10, 16) == ["at _ or", "_ or write"]
     assert pii.contexts(f"call at x1y2z3 {'w' * 50} now", 8, 14) == ["call at _"]
+
+
+def test_masked_goes_by_row_not_by_id(spark):
+    known = [f"please write to the desk at person{i}@mail{i}.example.org whenever you like" for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(known)]
+    hidden = "write to the desk at agent.q7@intranet whenever you like"
+    rows += [(None, hidden), (50, f"first of two texts of one id: {hidden}"), (50, hidden), (50, "nothing to find in this one")]
+    got = pii.masked(frame(spark, [(i, t, "", 0, 0, "") for i, t in rows]))
+    assert got.columns == frame(spark).columns
+    texts = sorted(r.text for r in got.filter("doc_id is null or doc_id = 50").collect())
+    clean = "write to the desk at [EMAIL] whenever you like"
+    assert texts == sorted([clean, f"first of two texts of one id: {clean}", clean, "nothing to find in this one"])

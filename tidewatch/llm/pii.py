@@ -194,13 +194,18 @@ def as_text(spans: str) -> F.Column:
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every found span of the text replaced by its kind in brackets; overlapping spans become one."""
-    keep = docs.columns
-    found = find(docs, id_col, text_col)
-    extra = materialise(found.filter(F.size("spans") > F.size("base")).select(F.col(id_col).alias("_id"), F.filter("spans", lambda s: ~F.exists("base", lambda b: (
-        b["start"] == s["start"]) & (b["end"] == s["end"]) & (b["kind"] == s["kind"]))).alias("_extra")).dropDuplicates(["_id"]), "pii-extra")
+    """``docs`` with every found span of the text replaced by its kind in brackets; overlapping spans become one.
+
+    Every row is masked by what was found in its own text, whatever its id; null texts stay null.
+    """
+    keep, schema = docs.columns, docs.schema
+    number = next(c for c in (f"number{'_' * k}" for k in range(len(keep) + 1)) if c not in {n.lower() for n in keep})
+    docs = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = find(docs, number, text_col)
+    extra = materialise(found.filter(F.size("spans") > F.size("base")).select(F.col(number).alias("_id"), F.filter("spans", lambda s: ~F.exists("base", lambda b: (
+        b["start"] == s["start"]) & (b["end"] == s["end"]) & (b["kind"] == s["kind"]))).alias("_extra")), "pii-extra")
     small = extra.count() <= SENT_SPANS
-    whole = docs.join(F.broadcast(extra) if small else extra, docs[id_col] == extra["_id"], "left").drop("_id")
+    whole = docs.join(F.broadcast(extra) if small else extra, docs[number] == extra["_id"], "left").drop("_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +214,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 texts.append(None if text is None else mask(text, base_spans(text) + [(s["start"], s["end"], s["kind"]) for s in more or []]))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in keep], keep)
 
-    return whole.mapInArrow(run, docs.schema)
+    return whole.mapInArrow(run, schema)
 
 
 def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
