@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from tidewatch.llm import queries, simhash
 
@@ -144,3 +145,17 @@ def test_one_of_each_drops_what_all_pairs_by_jaccard_drop(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == want
     monkeypatch.setattr(simhash, "CHUNK", 7)
     assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == want
+
+
+def test_pairs_at_the_limit_share_a_band_key_of_five_word_shingles():
+    rng = random.Random(5)
+    for i in range(200):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randint(60, 400))]
+        other = words[:len(words) - len(words) // 10 + 2] + [f"v{rng.randrange(10 ** 6)}" for _ in range(len(words) // 10 - 2)]
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.9
+        block = next(simhash.word_blocks(pa.array([" ".join(words), " ".join(other)])))
+        row, found = simhash.shingle_sets(block)
+        assert (np.bincount(row) == (len(a), len(b))).all() and len(np.intersect1d(found[row == 0], found[row == 1])) == len(a & b)
+        _, keys = simhash._band_keys(row, found, 2)
+        assert (keys[0] == keys[1]).any()
