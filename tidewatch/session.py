@@ -53,3 +53,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a materialised frame that nothing reads any more; tables outside the shared folder stay."""
+    spark = df.sparkSession
+    root = shared_root(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(root + "/"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
