@@ -58,6 +58,13 @@ def read_file(uri: str, kind: str) -> np.ndarray:
     return _open[uri]
 
 
+def read_whole(uri: str) -> bytes:
+    """All bytes of a file of the shared folder; nothing is kept on the worker's disk."""
+    store, path = _store(uri)
+    with store.open_input_stream(path) as source:
+        return source.read()
+
+
 def lookup(root: str, name: str, kind: str, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """Value of each key in arrays whose shards do not follow from the keys; 0 where it is not there."""
     out = np.zeros(len(keys), kind)

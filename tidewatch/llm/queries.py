@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontamination, fingerprints, licences, pieces, pii, scoring, simhash, suffixes, toxicity
+from tidewatch.llm import chat, codes, decontamination, fingerprints, jaccard, licences, negatives, pieces, pii, scoring, simhash, suffixes, toxicity
 from tidewatch.llm.words import table
 
 
@@ -82,9 +82,24 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_lm_scoring, op4_simhash_near_dedup, op5_license_scans, op6_pii, op7_sentencepiece, op8_decontamination, op9_toxicity, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_document_fingerprints, op3_lm_scoring, op4_simhash_near_dedup, op5_license_scans, op6_pii, op7_sentencepiece, op8_decontamination, op9_toxicity, op10_suffix_array_dedup,
+                                   op11_hard_negatives, op12_vector_codes, op13_ngram_jaccard)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_license_scans": licences.scan_sql()}
+    return {"op5_license_scans": licences.scan_sql(), "op11_hard_negatives": negatives.mine_sql(), "op12_vector_codes": codes.digests_sql()}
