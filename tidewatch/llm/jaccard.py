@@ -5,8 +5,9 @@ joins of its band and of the next. In a band's join, similar sets differ in at m
 is cut into parts and each part into pieces. Similar sets have a part in which few pieces differ, so enumerating the subsets of
 pieces that may be left out gives a signature, of the elements in the other pieces, that both sets have.
 
-Sets with a signature in common are compared with the first of them, and where that does not join them all, with each other:
-first by counts of elements in buckets, whose difference is never more than that of the sets, then by the sets themselves.
+Sets with a signature in common are compared with the first of them. Where that does not join them all, classes are compared by
+their nearest pair, and what is still apart by all pairs: first by counts of elements in buckets, whose difference is never more
+than that of the sets, then by the sets themselves, inside the group.
 """
 
 from __future__ import annotations
@@ -234,17 +235,9 @@ def _likely(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     return both.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets have the similarity. Sets are sent to groups of a set ``b`` and at most about ``GROUP`` sets ``a``."""
-    spark = pairs.sparkSession
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    split = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
-    group = F.xxhash64("b", "part").alias("group")
-    members = split.select(F.col("a").alias("node"), group, F.lit(1).alias("kind"))
-    leads = parts.select(F.col("b").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "b")
-    errands = materialise(members.unionByName(leads.select("node", group, F.lit(0).alias("kind"))), "errands")
-    n = errands.count()
-    needed = errands.groupBy("node").agg(F.collect_set(F.struct("group", "kind")).alias("errands")) if n <= SENT else errands
+def _with_sets(errands: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``errands`` (a table with ``node``) with the ``elements`` of the node's set; copies of a text are read once a task."""
+    fields = [c for c in errands.columns if c != "node"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, None] = {}
@@ -258,10 +251,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, similar: int) -> Da
                                                  ["node", "elements"])
 
     sets = docs.select("text").mapInArrow(made, "node long, elements binary")
-    if n <= SENT:
-        sent = sets.join(F.broadcast(needed), "node").select("node", F.explode("errands").alias("errand"), "elements").select("node", "errand.group", "errand.kind", "elements")
-    else:
-        sent = sets.join(needed, "node").select("node", "group", "kind", "elements")
+    if errands.count() > SENT:
+        return sets.join(errands, "node").select("node", *fields, "elements")
+    needed = errands.groupBy("node").agg(F.collect_list(F.struct(*fields)).alias("errands"))
+    return sets.join(F.broadcast(needed), "node").select("node", F.explode("errands").alias("errand"), "elements").select("node", "errand.*", "elements")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets have the similarity. Sets are sent to groups of a set ``b`` and at most about ``GROUP`` sets ``a``."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    split = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    group = F.xxhash64("b", "part").alias("group")
+    members = split.select(F.col("a").alias("node"), group, F.lit(1).alias("kind"))
+    leads = parts.select(F.col("b").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "b")
+    errands = materialise(members.unionByName(leads.select("node", group, F.lit(0).alias("kind"))), "errands")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, lead, lead_set = None, 0, np.empty(0, _U)
@@ -279,64 +282,160 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, similar: int) -> Da
                         b.append(lead)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    links = sent.repartition("group").sortWithinPartitions("group", "kind", "node").mapInArrow(run, "a long, b long")
-    return materialise(links, "linked")
+    sent = _with_sets(errands, docs, words)
+    return materialise(sent.repartition("group").sortWithinPartitions("group", "kind", "node").mapInArrow(run, "a long, b long"), "linked")
 
 
-def _others(shared: DataFrame, roots: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
-    """Pairs ``a, b`` for groups that their first set has not joined: sets of different classes that sizes and sketches do not tell apart.
+class Member(NamedTuple):
+    """A set of a group; of a group cut into parts, a pair of parts is compared, or one (``same``) with itself."""
 
-    Groups of the same sets are one. A group is cut into parts of about ``GROUP`` sets, and two parts each are compared by a task.
-    """
-    rows = materialise(shared.join(roots.withColumnRenamed("root", "class"), "node", "left").select("signature", "node", F.coalesce("class", "node").alias("class")), "shared")
+    node: int
+    class_: int
+    part: int
+    same: bool
+    size: int
+    held: bytes
+
+
+def _compared(members: list[Member], similar: int, shared: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sorts ``members`` by size and gives, for each not in the commonest class, the places of those of other classes it may
+    link with and their distances: by sketches, or exactly if ``shared`` says that whole sets are held."""
+    members.sort(key=lambda m: (m.size, m.node))
+    size, class_, part = (np.array([getattr(m, f) for m in members]) for f in ("size", "class_", "part"))
+    names, counts = np.unique(class_, return_counts=True)
+    if len(names) < 2:
+        return
+    if shared:
+        ids = np.unique(np.concatenate([np.frombuffer(m.held, _U) for m in members]), return_inverse=True)[1]
+        ends, mark = np.append(0, np.cumsum(size)), np.zeros(len(ids), bool)
+    else:
+        buckets = min(len(m.held) for m in members)
+        held = np.stack([folded(m.held, buckets) for m in members])
+    common = names[counts.argmax()]
+    for i in np.flatnonzero(class_ != common).tolist():
+        low = int(np.searchsorted(size, -(-similar * size[i] // 100)))
+        high = int(np.searchsorted(size, size[i] * 100 // similar, "right"))
+        j = np.arange(low, high)
+        if shared:
+            own = ids[ends[i]:ends[i + 1]]
+            mark[own] = True
+            away = size[i] + size[low:high] - 2 * np.add.reduceat(mark[ids[ends[low]:ends[high]]], ends[low:high] - ends[low], dtype=np.int64)
+            mark[own] = False
+        else:
+            away = np.abs(held[low:high] - held[i]).sum(1)
+        near = (class_[j] != class_[i]) & ((class_[j] == common) | (j > i)) & (members[i].same | (part[j] != part[i]))
+        near &= (100 + similar) * away <= (100 - similar) * (size[i] + size[j])
+        yield i, j[near], away[near]
+
+
+def _nearest(members: list[Member], similar: int) -> tuple[set[tuple[int, int]], bool]:
+    """The pair of each class but the commonest that is nearest by sketches, and whether there are others."""
+    best: dict[int, tuple[int, int, int]] = {}
+    n = 0
+    for i, others, away in _compared(members, similar, False):
+        n += len(others)
+        for k, d in zip(others.tolist(), away.tolist()):
+            a, b = members[i], members[k]
+            pair = d, max(a.node, b.node), min(a.node, b.node)
+            for c in (a.class_, b.class_):
+                best[c] = min(best.get(c, pair), pair)
+    pairs = {p[1:] for p in best.values()}
+    return pairs, n > len(pairs)
+
+
+def _linked(members: list[Member], similar: int) -> set[tuple[int, int]]:
+    """Links that join the classes of the members as all their similar pairs do."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = set()
+    for i, others, _ in _compared(members, similar, True):
+        for k in others.tolist():
+            x, y = top(members[i].class_), top(members[k].class_)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.add((members[i].node, members[k].node))
+    return out
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], held: str) -> Iterator[tuple[int, list[Member]]]:
+    at, members = None, []
+    for batch in batches:  # sorted by group and node
+        for group, *cells in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "class", "part", "same", "size", held))):
+            if group != at:
+                if members:
+                    yield at, members
+                at, members = group, []
+            if not members or members[-1].node != cells[0]:  # else another task has read it too
+                members.append(Member(*cells))
+    if members:
+        yield at, members
+
+
+def _dealt(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of the groups whose sets are of several classes. Groups of the same sets are one; a group is cut into parts of about
+    ``GROUP`` sets, and two parts each are dealt to be compared."""
+    rows = materialise(shared.join(roots.withColumnRenamed("root", "class"), "node", "left").select("signature", "node", F.coalesce("class", "node").alias("class")), "classed")
     groups = (rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.sum(F.hash("node").cast("long")).alias("h0"),
-                                            F.bit_xor(F.xxhash64("node")).alias("h1")).filter("n > 2 and c0 != c1"))
+                                            F.bit_xor(F.xxhash64("node")).alias("h1")).filter("n > 2 and c0 != c1"))  # two sets were compared as the first and another
     groups = groups.groupBy("n", "h0", "h1").agg(F.min("signature").alias("signature")).select("signature", F.ceil(F.col("n") / GROUP).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.least(p, part).alias("low"), F.greatest(p, part).alias("high")))
-    dealt = (rows.join(groups, "signature").withColumn("part", part).select("signature", "node", "class", "part", F.explode(pairs).alias("pair"))
-             .select("node", "class", "part", F.xxhash64("signature", "pair.low", "pair.high").alias("group"), (F.col("pair.low") == F.col("pair.high")).alias("same"))
-             .join(nodes.select("node", "size", "sketch"), "node"))
-
-    def compared(rows: list[tuple]) -> list[tuple[int, int]]:
-        rows.sort(key=lambda r: (r[3], r[0]))
-        size, class_, part = (np.array([r[i] for r in rows]) for i in (3, 1, 2))
-        names, counts = np.unique(class_, return_counts=True)
-        if len(names) < 2:
-            return []
-        buckets = min(len(r[4]) for r in rows)
-        held = np.stack([folded(r[4], buckets) for r in rows])
-        common, out = names[counts.argmax()], []
-        for i in np.flatnonzero(class_ != common).tolist():
-            low = int(np.searchsorted(size, -(-similar * size[i] // 100)))
-            high = int(np.searchsorted(size, size[i] * 100 // similar, "right"))
-            j = np.arange(low, high)
-            j = j[(class_[j] != class_[i]) & ((class_[j] == common) | (j > i)) & (rows[i][5] | (part[j] != part[i]))]
-            near = np.abs(held[j] - held[i]).sum(1) <= (size[j] + size[i]) * (100 - similar) // (100 + similar)
-            out += [(rows[i][0], rows[k][0]) for k in j[near].tolist()]
-        return out
+    return (rows.join(groups, "signature").withColumn("part", part).select("signature", "node", "class", "part", F.explode(pairs).alias("pair"))
+            .select("node", "class", "part", F.xxhash64("signature", "pair.low", "pair.high").alias("group"), (F.col("pair.low") == F.col("pair.high")).alias("same"))
+            .join(nodes.select("node", "size", "sketch"), "node").repartition("group").sortWithinPartitions("group", "node"))
 
+
+def _first_of_classes(dealt: DataFrame, similar: int) -> DataFrame:
+    """``a, b, more``: for each group and class the pair nearest by sketches; ``more``: the group has others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, told = None, [], set()
-        for batch in batches:
-            for node, class_, part_, size, sketch_, same, group in zip(*(batch.column(c).to_pylist() for c in ("node", "class", "part", "size", "sketch", "same", "group"))):
-                if group != at:
-                    told.update(compared(held))
-                    at, held = group, []
-                held.append((node, class_, part_, size, sketch_, same))
+        told: set[tuple[int, int, bool]] = set()
+        for _, members in _grouped(batches, "sketch"):
+            pairs, more = _nearest(members, similar)
+            told |= {(a, b, more) for a, b in pairs}
             if len(told) > TOLD:
-                yield _pairs(told)
+                yield _rows(told, ("a", "b", "more"))
                 told = set()
-        told.update(compared(held))
-        yield _pairs(told)
+        yield _rows(told, ("a", "b", "more"))
+
+    return dealt.mapInArrow(run, "a long, b long, more boolean")
+
+
+def _unsettled(dealt: DataFrame, similar: int) -> DataFrame:
+    """The members of groups that by sketches may link with one of another class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for group, members in _grouped(batches, "sketch"):
+            there: set[int] = set()
+            for i, others, _ in _compared(members, similar, False):
+                there.update([i, *others.tolist()] if len(others) else [])
+            out += [(group, m.node, m.class_, m.part, m.same, m.size) for m in (members[i] for i in sorted(there))]
+            if len(out) > TOLD:
+                yield _rows(out, names)
+                out = []
+        yield _rows(out, names)
+
+    names = ("group", "node", "class", "part", "same", "size")
+    return dealt.mapInArrow(run, "group long, node long, class long, part long, same boolean, size long")
+
+
+def _settled(unsettled: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
+    """Links between classes of a group, from the whole sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, members in _grouped(batches, "elements"):
+            yield _rows(_linked(members, similar), ("a", "b"))
 
-    found = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    sent = _with_sets(unsettled, docs, words)
+    return materialise(sent.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a long, b long"), "linked")
 
 
-def _pairs(told: set[tuple[int, int]]) -> pa.RecordBatch:
-    rows = sorted(told)
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _rows(rows: set[tuple] | list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    cells = list(zip(*sorted(rows))) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n in ("more", "same") else pa.int64()) for n, c in zip(names, cells)], list(names))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -356,10 +455,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = shared.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     links = _verified(materialise(_likely(pairs, nodes, similar), "likely"), docs, words, similar)
     roots = components(links)
-    more = materialise(_others(shared, roots, nodes, similar), "likely")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, docs, words, similar))
+    tried = materialise(_first_of_classes(_dealt(shared, roots, nodes), similar), "tried")
+    if not tried.isEmpty():
+        links = links.unionByName(_verified(materialise(tried.select("a", "b").distinct(), "likely"), docs, words, similar))
         roots = components(links)
+        if not tried.filter("more").isEmpty():
+            unsettled = materialise(_unsettled(_dealt(shared, roots, nodes), similar), "unsettled")
+            if not unsettled.isEmpty():
+                links = links.unionByName(_settled(unsettled, docs, words, similar))
+                roots = components(links)
     discard(shared)
     classes = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     named = classes.join(classes.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
