@@ -57,10 +57,11 @@ def template_rows(seed=2):
     return [(i, " ".join(w)) for i, w in enumerate(rows)]
 
 
-@pytest.mark.parametrize("group", [500, 7])
-def test_all_pairs(spark, monkeypatch, group):
-    """Also with groups cut into many parts, and without broadcasts."""
+@pytest.mark.parametrize("group, few", [(500, 4), (7, 0)])
+def test_all_pairs(spark, monkeypatch, group, few):
+    """Also with groups cut into many parts and settled inside, and without broadcasts."""
     monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "FEW", few)
     monkeypatch.setattr(jaccard, "SENT", 1_000_000 if group > 7 else 0)
     rows = template_rows()
     assert result(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == plain(rows)

@@ -5,9 +5,9 @@ joins of its band and of the next. In a band's join, similar sets differ in at m
 is cut into parts and each part into pieces. Similar sets have a part in which few pieces differ, so enumerating the subsets of
 pieces that may be left out gives a signature, of the elements in the other pieces, that both sets have.
 
-Sets with a signature in common are compared with the first of them. Where that does not join them all, classes are compared by
-their nearest pair, and what is still apart by all pairs: first by counts of elements in buckets, whose difference is never more
-than that of the sets, then by the sets themselves, inside the group.
+Sets with a signature in common are compared with the first of them. Where that does not join them all, sets of different classes
+are compared: first by counts of elements in buckets, whose difference is never more than that of the sets, then by the sets
+themselves. Groups with many such pairs try the nearest of each class first and settle what is still apart inside the group.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ WORDS, SIMILAR = 5, 80
 #: Bands with up to so many errors may have ``SMALL_COST`` signatures an error, others ``COST``; hash families tried before
 #: signatures of no element are kept.
 FEW_ERRORS, SMALL_COST, COST, FAMILIES = 11, 3, 1, 6
-#: Smallest sketch, elements a bucket, and members that are compared in one group.
-BUCKETS, FILL, GROUP = 64, 4, 500
+#: Smallest sketch, elements a bucket, members that are compared in one group, and pairs a member up to which a group tells them all.
+BUCKETS, FILL, GROUP, FEW = 64, 4, 500, 4
 #: Links told to Python memory of a task before equal ones are told apart; keys that may be broadcast (16 bytes each).
 TOLD, SENT = 200_000, 1_000_000
 _U = np.uint64
@@ -328,19 +328,23 @@ def _compared(members: list[Member], similar: int, shared: bool) -> Iterator[tup
         yield i, j[near], away[near]
 
 
-def _nearest(members: list[Member], similar: int) -> tuple[set[tuple[int, int]], bool]:
-    """The pair of each class but the commonest that is nearest by sketches, and whether there are others."""
+def _pairs(members: list[Member], similar: int) -> tuple[list[tuple[int, int]], set[int], dict[int, tuple[int, int, int]]]:
+    """Pairs of different classes that sketches allow, as long as they are few; who is in one; and the nearest of each class but the commonest."""
+    pairs: list[tuple[int, int]] = []
+    there: set[int] = set()
     best: dict[int, tuple[int, int, int]] = {}
     n = 0
     for i, others, away in _compared(members, similar, False):
         n += len(others)
+        there.update([i, *others.tolist()] if len(others) else [])
         for k, d in zip(others.tolist(), away.tolist()):
             a, b = members[i], members[k]
-            pair = d, max(a.node, b.node), min(a.node, b.node)
+            pair = max(a.node, b.node), min(a.node, b.node)
+            if n <= FEW * len(members):
+                pairs.append(pair)
             for c in (a.class_, b.class_):
-                best[c] = min(best.get(c, pair), pair)
-    pairs = {p[1:] for p in best.values()}
-    return pairs, n > len(pairs)
+                best[c] = min(best.get(c, (d, *pair)), (d, *pair))
+    return pairs if n <= FEW * len(members) else [], there, best
 
 
 def _linked(members: list[Member], similar: int) -> set[tuple[int, int]]:
@@ -376,7 +380,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], held: str) -> Iterator[tuple[int
         yield at, members
 
 
-def _dealt(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+def _some(rows: DataFrame) -> DataFrame:
+    return materialise(rows.filter("b != 0").select("a", "b").distinct(), "likely")
+
+
+def _dealt(shared: DataFrame, roots: DataFrame, nodes: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Members of the groups whose sets are of several classes. Groups of the same sets are one; a group is cut into parts of about
     ``GROUP`` sets, and two parts each are dealt to be compared."""
     rows = materialise(shared.join(roots.withColumnRenamed("root", "class"), "node", "left").select("signature", "node", F.coalesce("class", "node").alias("class")), "classed")
@@ -385,42 +393,44 @@ def _dealt(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     groups = groups.groupBy("n", "h0", "h1").agg(F.min("signature").alias("signature")).select("signature", F.ceil(F.col("n") / GROUP).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.least(p, part).alias("low"), F.greatest(p, part).alias("high")))
-    return (rows.join(groups, "signature").withColumn("part", part).select("signature", "node", "class", "part", F.explode(pairs).alias("pair"))
-            .select("node", "class", "part", F.xxhash64("signature", "pair.low", "pair.high").alias("group"), (F.col("pair.low") == F.col("pair.high")).alias("same"))
-            .join(nodes.select("node", "size", "sketch"), "node").repartition("group").sortWithinPartitions("group", "node"))
+    dealt = (rows.join(groups, "signature").withColumn("part", part).select("signature", "node", "class", "part", F.explode(pairs).alias("pair"))
+             .select("node", "class", "part", F.xxhash64("signature", "pair.low", "pair.high").alias("group"), (F.col("pair.low") == F.col("pair.high")).alias("same")))
+    if only is not None:
+        dealt = dealt.join(only, "group", "left_semi")
+    return dealt.join(nodes.select("node", "size", "sketch"), "node").repartition("group").sortWithinPartitions("group", "node")
 
 
-def _first_of_classes(dealt: DataFrame, similar: int) -> DataFrame:
-    """``a, b, more``: for each group and class the pair nearest by sketches; ``more``: the group has others."""
+def _first_pairs(dealt: DataFrame, similar: int) -> DataFrame:
+    """``a, b``: pairs to verify. Groups with few give all; others the nearest pair of each class, and a row of the group and 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[tuple[int, int, bool]] = set()
-        for _, members in _grouped(batches, "sketch"):
-            pairs, more = _nearest(members, similar)
-            told |= {(a, b, more) for a, b in pairs}
+        told: set[tuple[int, int]] = set()
+        for group, members in _grouped(batches, "sketch"):
+            pairs, _, best = _pairs(members, similar)
+            told.update(pairs if pairs or not best else [*(p[1:] for p in best.values()), (group, 0)])
             if len(told) > TOLD:
-                yield _rows(told, ("a", "b", "more"))
+                yield _rows(told, ("a", "b"))
                 told = set()
-        yield _rows(told, ("a", "b", "more"))
+        yield _rows(told, ("a", "b"))
 
-    return dealt.mapInArrow(run, "a long, b long, more boolean")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _unsettled(dealt: DataFrame, similar: int) -> DataFrame:
-    """The members of groups that by sketches may link with one of another class."""
+    """All pairs that are left of groups with few (``node, b``); of others the members that are in one, with 0 as ``b``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        out = set()
         for group, members in _grouped(batches, "sketch"):
-            there: set[int] = set()
-            for i, others, _ in _compared(members, similar, False):
-                there.update([i, *others.tolist()] if len(others) else [])
-            out += [(group, m.node, m.class_, m.part, m.same, m.size) for m in (members[i] for i in sorted(there))]
+            pairs, there, _ = _pairs(members, similar)
+            out.update((a, b, 0, 0, 0, False, 0) for a, b in pairs)
+            if not pairs:
+                out.update((m.node, 0, group, m.class_, m.part, m.same, m.size) for m in (members[i] for i in there))
             if len(out) > TOLD:
                 yield _rows(out, names)
-                out = []
+                out = set()
         yield _rows(out, names)
 
-    names = ("group", "node", "class", "part", "same", "size")
-    return dealt.mapInArrow(run, "group long, node long, class long, part long, same boolean, size long")
+    names = ("node", "b", "group", "class", "part", "same", "size")
+    return dealt.mapInArrow(run, "node long, b long, group long, class long, part long, same boolean, size long")
 
 
 def _settled(unsettled: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
@@ -435,7 +445,7 @@ def _settled(unsettled: DataFrame, docs: DataFrame, words: int, similar: int) ->
 
 def _rows(rows: set[tuple] | list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     cells = list(zip(*sorted(rows))) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n in ("more", "same") else pa.int64()) for n, c in zip(names, cells)], list(names))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "same" else pa.int64()) for n, c in zip(names, cells)], list(names))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -455,15 +465,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = shared.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     links = _verified(materialise(_likely(pairs, nodes, similar), "likely"), docs, words, similar)
     roots = components(links)
-    tried = materialise(_first_of_classes(_dealt(shared, roots, nodes), similar), "tried")
+    tried = materialise(_first_pairs(_dealt(shared, roots, nodes), similar), "tried")
     if not tried.isEmpty():
-        links = links.unionByName(_verified(materialise(tried.select("a", "b").distinct(), "likely"), docs, words, similar))
+        links = links.unionByName(_verified(_some(tried), docs, words, similar))
         roots = components(links)
-        if not tried.filter("more").isEmpty():
-            unsettled = materialise(_unsettled(_dealt(shared, roots, nodes), similar), "unsettled")
-            if not unsettled.isEmpty():
-                links = links.unionByName(_settled(unsettled, docs, words, similar))
-                roots = components(links)
+        many = tried.filter("b = 0").select(F.col("a").alias("group"))
+        if not many.isEmpty():
+            left = materialise(_unsettled(_dealt(shared, roots, nodes, many), similar), "unsettled")
+            links = links.unionByName(_verified(_some(left.withColumnRenamed("node", "a")), docs, words, similar))
+            links = links.unionByName(_settled(left.filter("b = 0").drop("b"), docs, words, similar))
+            roots = components(links)
     discard(shared)
     classes = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     named = classes.join(classes.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
