@@ -32,7 +32,7 @@ WORDS, SIMILAR = 5, 80
 #: signatures of no element are kept.
 FEW_ERRORS, SMALL_COST, COST, FAMILIES = 11, 3, 1, 6
 #: Smallest sketch, elements a bucket, members that are compared in one group, and pairs a member up to which a group tells them all.
-BUCKETS, FILL, GROUP, FEW = 64, 4, 500, 4
+BUCKETS, FILL, GROUP, FEW = 64, 2, 500, 4
 #: Links told to Python memory of a task before equal ones are told apart; keys that may be broadcast (16 bytes each).
 TOLD, SENT = 200_000, 1_000_000
 _U = np.uint64
@@ -472,8 +472,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         many = tried.filter("b = 0").select(F.col("a").alias("group"))
         if not many.isEmpty():
             left = materialise(_unsettled(_dealt(shared, roots, nodes, many), similar), "unsettled")
-            links = links.unionByName(_verified(_some(left.withColumnRenamed("node", "a")), docs, words, similar))
-            links = links.unionByName(_settled(left.filter("b = 0").drop("b"), docs, words, similar))
+            pairs, dense = _some(left.withColumnRenamed("node", "a")), left.filter("b = 0").drop("b")
+            if not pairs.isEmpty():
+                links = links.unionByName(_verified(pairs, docs, words, similar))
+            if not dense.isEmpty():
+                links = links.unionByName(_settled(dense, docs, words, similar))
             roots = components(links)
     discard(shared)
     classes = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
