@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
@@ -54,9 +57,9 @@ def _assembler(features: list[str]) -> VectorAssembler:
 
 
 def fit_binary(train: DataFrame, label: str, features: list[str] | None = None, *, trees: int = 20, depth: int = 4,
-               step: float = 0.2, seed: int = 42, validation: str | None = None) -> PipelineModel:
+               step: float = 0.2, seed: int = 42, validation: str | None = None, min_positive: int = MIN_POSITIVE) -> PipelineModel:
     """Boosted trees with weighted positives; ``validation`` marks rows for early stopping."""
-    counts = guard(train, label, (0, 1))
+    counts = guard(train, label, (0, 1), min_positive)
     tree = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_weight", maxIter=trees, maxDepth=depth,
                          stepSize=step, seed=seed, subsamplingRate=0.8,
                          **({"validationIndicatorCol": validation} if validation else {}))
@@ -64,9 +67,9 @@ def fit_binary(train: DataFrame, label: str, features: list[str] | None = None,
 
 
 def fit_severity(train: DataFrame, label: str = "severity_in_60m", features: list[str] | None = None, *,
-                 trees: int = 40, depth: int = 8, seed: int = 42) -> PipelineModel:
+                 trees: int = 40, depth: int = 8, seed: int = 42, min_positive: int = MIN_POSITIVE) -> PipelineModel:
     """Three-class forest with balanced class weights."""
-    counts = guard(train, label, (0, 1, 2))
+    counts = guard(train, label, (0, 1, 2), min_positive)
     forest = RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="_weight", numTrees=trees,
                                     maxDepth=depth, seed=seed)
     return Pipeline(stages=[_assembler(features or S.MODEL_FEATURES), forest]).fit(balanced(train, label, counts))
@@ -99,6 +102,73 @@ def search(train: DataFrame, label: str, grid: list[dict], features: list[str] |
     return results
 
 
+# --- walk-forward validation --------------------------------------------------------------------
+
+def fold_plan(folds: DataFrame, label: str, classes: tuple[int, ...]) -> DataFrame:
+    """One row per fold of ``splits.walk_forward``: rows and rows of each class in either role, and why it cannot be fitted (``reason``).
+
+    A fold is skipped if its training rows hold no positive one or lack a class, or if it has no row to validate on.
+    """
+    of = lambda role, cond=F.lit(True): F.count_if((F.col("role") == role) & cond)
+    counts = folds.groupBy("fold").agg(
+        of("train").alias("train_n"), of("test").alias("val_n"),
+        *[of("train", F.col(label) == k).alias(f"train_{k}") for k in classes], *[of("test", F.col(label) == k).alias(f"val_{k}") for k in classes])
+    positives = sum((F.col(f"train_{k}") for k in classes if k), F.lit(0))
+    missing = F.filter(F.array(*[F.when(F.col(f"train_{k}") == 0, str(k)) for k in classes]), lambda c: c.isNotNull())
+    reason = (F.when(positives == 0, "no positive training rows").when(F.size(missing) > 0, F.concat(F.lit("no training rows of class "), F.array_join(missing, ", ")))
+              .when(F.col("val_n") == 0, "no validation rows"))
+    rate = lambda role: F.try_divide(sum((F.col(f"{role}_{k}") for k in classes if k), F.lit(0)), F.col(f"{role}_n"))
+    return counts.withColumns({"train_spike_rate": rate("train"), "val_spike_rate": rate("val"), "reason": reason})
+
+
+def fold_scores(model: Transformer, val: DataFrame, label: str, classes: tuple[int, ...]) -> dict[str, float | None]:
+    """Quality of one fold's model on its validation rows, at the alarm threshold chosen there.
+
+    With three classes a row whose largest probability is no spike's still counts as severe if that class reaches the threshold; a fold
+    without severe rows takes 0.5.
+    """
+    from tidewatch.session import materialise
+    names = [f"p_{k}" for k in classes]
+    rows = materialise(class_probabilities(model, val, names).select(label, *names), "fold")
+    top = len(classes) - 1
+    alarm = rows.select((F.col(label) == top).cast("int").alias("y"), F.col(names[top]).alias("score"))
+    known = rows.filter(F.col(label) == top).limit(1).count() > 0
+    threshold = metrics.best_threshold(metrics.sweep(alarm, []), []).first()["threshold"] if known else 0.5
+    largest = F.array_position(F.array(*names), F.greatest(*names)).cast("int") - 1
+    guess = F.when(F.col(names[top]) >= threshold, top).otherwise(largest if top > 1 else 0)
+    report = metrics.class_report(rows.withColumn("_guess", guess), [], label, "_guess", classes)
+    f1 = metrics.f1_summary(report, []).first()
+    quality = metrics.macro(metrics.one_vs_rest(rows, [], label, names), []).first() if top > 1 else metrics.ranking(alarm, []).first()
+    first = ("macro_pr_auc", "macro_roc_auc") if top > 1 else ("pr_auc", "roc_auc")
+    return {"alarm_threshold": threshold, "macro_pr_auc": quality[first[0]], "macro_roc_auc": quality[first[1]], "macro_f1": f1["macro_f1"], "weighted_f1": f1["weighted_f1"]}
+
+
+FOLD_MEASURES = ["macro_pr_auc", "macro_roc_auc", "macro_f1", "weighted_f1"]
+
+
+def cross_validate(folds: DataFrame, label: str, classes: tuple[int, ...], fit: Callable[[DataFrame], Transformer], side_by_side: int = 3) -> DataFrame:
+    """One row per fold: the plan's counts, ``status`` fitted or skipped with its reason, and ``FOLD_MEASURES`` at ``alarm_threshold``.
+
+    ``folds`` (rows of ``splits.walk_forward``, labelled) should be a stored table: it is read once a fold. The counts of all folds
+    come from one aggregation; only folds that can be fitted are, ``side_by_side`` of them at a time.
+    """
+    spark = folds.sparkSession
+    plan = [r.asDict() for r in fold_plan(folds, label, classes).orderBy("fold").collect()]  # one row a fold
+
+    def one(row: dict) -> dict:
+        if row["reason"]:
+            return row | {"status": "skipped"}
+        part = lambda role: folds.filter((F.col("fold") == row["fold"]) & (F.col("role") == role)).drop("fold", "role")
+        return row | {"status": "fitted"} | fold_scores(fit(part("train")), part("test"), label, classes)
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        done = list(pool.map(one, plan))
+    names = [*(f"{role}_{k}" for role in ("train", "val") for k in classes)]
+    schema = ("fold int, status string, reason string, train_n long, val_n long, " + "".join(f"{n} long, " for n in names)
+              + "train_spike_rate double, val_spike_rate double, alarm_threshold double, " + ", ".join(f"{m} double" for m in FOLD_MEASURES))
+    return spark.createDataFrame([tuple(r.get(f.split()[0]) for f in schema.split(", ")) for r in done], schema)
+
+
 # --- importance --------------------------------------------------------------------------
 
 def gain_importance(model: PipelineModel, features: list[str] | None = None) -> DataFrame:
@@ -115,24 +185,42 @@ def normalised_gain(gain: DataFrame) -> DataFrame:
     return gain.select("feature", F.when(total > 0, F.col("gain") / total).otherwise(0.0).alias("gain_share"))
 
 
-def occlusion(model: PipelineModel, rows: DataFrame, train: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Mean change of the probability when one feature is set to its training median.
-
-    Rows fan out to one variant per feature (a fixed number), so the model
-    scores them in ordinary partitions.
-    """
-    names = features or S.MODEL_FEATURES
+def medians_of(train: DataFrame, names: list[str]) -> Column:
+    """Map of each feature's median over the training rows, as a scalar subquery."""
     medians = quantiles(train.select(*[F.col(f).cast("double").alias(f) for f in names])
                         .unpivot([], names, "feature", "value"), ["feature"], "value", {"m": 0.5}, few_groups=True)
-    table = medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", "m"))).alias("m")).scalar()
-    base = positive_probability(model, rows, "_before")
-    variants = (base.withColumn("_m", table)
+    return medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", "m"))).alias("m")).scalar()
+
+
+def occluded(model: Transformer, rows: DataFrame, medians: Column, names: list[str]) -> DataFrame:
+    """Rows once per feature, with class probabilities ``_before`` and, that feature at its median, ``_after``.
+
+    Rows fan out to one variant per feature (a fixed number) inside their partition, so the model scores them all in one
+    pass and nothing is shuffled.
+    """
+    work = ("_x", "rawPrediction", "probability", "prediction")
+    base = model.transform(rows).withColumn("_before", vector_to_array("probability")).drop(*work)
+    variants = (base.withColumn("_m", medians)
                 .withColumn("_off", F.explode(F.array(*[F.lit(f) for f in names])))
                 .withColumns({f: F.when(F.col("_off") == f, F.col("_m")[f]).otherwise(F.col(f).cast("double"))
                               for f in names}))
-    after = positive_probability(model, variants, "_after")
-    return after.groupBy(F.col("_off").alias("feature")).agg(
-        F.avg(F.abs(F.col("_after") - F.col("_before"))).alias("attribution"))
+    return model.transform(variants).withColumn("_after", vector_to_array("probability")).drop("_m", *work)
+
+
+def occlusion(model: Transformer, rows: DataFrame, train: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """Mean change of the probability when one feature is set to its training median."""
+    names = features or S.MODEL_FEATURES
+    change = F.abs(F.col("_after")[1] - F.col("_before")[1])
+    return (occluded(model, rows, medians_of(train, names), names)
+            .groupBy(F.col("_off").alias("feature")).agg(F.avg(change).alias("attribution")))
+
+
+def contributions(model: Transformer, rows: DataFrame, medians: Column, features: list[str] | None = None, keys: tuple[str, ...] = ("machine_id",)) -> DataFrame:
+    """``keys, class, feature, contribution``: what a feature's value adds to each class probability of a row, against its training median."""
+    names = features or S.MODEL_FEATURES
+    change = F.transform(F.arrays_zip("_before", "_after"), lambda p: p["_before"] - p["_after"])
+    return (occluded(model, rows, medians, names).select(*keys, F.col("_off").alias("feature"), F.posexplode(change).alias("class", "contribution"))
+            .select(*keys, "class", "feature", "contribution"))
 
 
 def top_contributions(contributions: DataFrame, k: int = 3) -> DataFrame:

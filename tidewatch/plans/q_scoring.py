@@ -491,6 +491,83 @@ def occlusion_attribution(spark, sf):
     return models.occlusion(model, _part(rows, "val", "spike_in_15m"), train)
 
 
+def _newest(spark, sf):
+    live, limits = _live(spark, sf)
+    known = scoring.limits_for(live, limits)
+    return scoring.latest(features.build(live, known.drop("threshold_source"), None, labels=False, **_OPTS))
+
+
+def _attributed(spark, sf):
+    train = _part(_training(spark, sf), "train", "severity_in_60m")
+    model = models.fit_severity(train, trees=10, depth=5)
+    return models.contributions(model, _newest(spark, sf), models.medians_of(train, S.MODEL_FEATURES))
+
+
+@query("k2_fitted_contributions")
+def fitted_contributions(spark, sf):
+    """What each feature adds to the class probabilities of every machine's newest row, by the fitted severity model."""
+    return _attributed(spark, sf)
+
+
+@query("k2_fitted_top_features")
+def fitted_top_features(spark, sf):
+    return models.top_contributions(_attributed(spark, sf), 3)
+
+
+def _folds(spark, sf, label):
+    table = features.train(fx.agg_table(spark, sf), **_OPTS)
+    train = splits.labelled(splits.chronological(table).filter("split = 'train'").drop("split"), label)
+    return materialise(splits.walk_forward(train), "folds")
+
+
+block("cv_rows", """
+SELECT f.machine_id, f.bucket, f.severity_in_60m, f.spike_in_15m FROM feat f, bounds WHERE f.bucket <= t1""", "feat", "bounds")
+
+
+def _plan_sql(label, classes):
+    n = lambda role, k: f"count(*) FILTER (WHERE role = '{role}' AND y = {k})"
+    counts = ", ".join(f"{n(role, k)} AS {name}_{k}" for role, name in (("train", "train"), ("test", "val")) for k in classes)
+    positive = " + ".join(f"train_{k}" for k in classes if k)
+    some = " + ".join(f"val_{k}" for k in classes if k)
+    missing = ", ".join(f"CASE WHEN train_{k} = 0 THEN '{k}' END" for k in classes)
+    return f"""
+SELECT fold, CASE WHEN reason IS NULL THEN 'fitted' ELSE 'skipped' END AS status, reason, train_n, val_n,
+       {', '.join(f'{name}_{k}' for name in ('train', 'val') for k in classes)},
+       CASE WHEN train_n > 0 THEN ({positive}) / train_n END AS train_spike_rate, CASE WHEN val_n > 0 THEN ({some}) / val_n END AS val_spike_rate
+FROM (SELECT *, CASE WHEN {positive} = 0 THEN 'no positive training rows'
+        WHEN concat_ws(', ', {missing}) <> '' THEN 'no training rows of class ' || concat_ws(', ', {missing})
+        WHEN val_n = 0 THEN 'no validation rows' END AS reason FROM (
+  SELECT fold, count(*) FILTER (WHERE role = 'train') AS train_n, count(*) FILTER (WHERE role = 'test') AS val_n, {counts} FROM (
+    SELECT f AS fold, y, CASE WHEN bucket - lo < n - (n // 6) * (6 - f) - 12 THEN 'train'
+      WHEN bucket - lo >= n - (n // 6) * (6 - f) AND bucket - lo < n - (n // 6) * (6 - f) + n // 6 THEN 'test' END AS role
+    FROM (SELECT bucket, CAST({label} AS BIGINT) AS y, min(bucket) OVER () AS lo, max(bucket) OVER () - min(bucket) OVER () + 1 AS n
+          FROM cv_rows WHERE {label} IS NOT NULL), range(1, 6) r(f)) WHERE role IS NOT NULL GROUP BY 1))"""
+
+
+def _plan_columns(df, classes):
+    return df.select("fold", F.when(F.col("reason").isNull(), "fitted").otherwise("skipped").alias("status"), "reason", "train_n", "val_n",
+                     *[f"{name}_{k}" for name in ("train", "val") for k in classes], "train_spike_rate", "val_spike_rate")
+
+
+@query("t8_fold_plan", sql(_plan_sql("severity_in_60m", (0, 1, 2)), "cv_rows", reals="train_spike_rate val_spike_rate"))
+def fold_plan(spark, sf):
+    return _plan_columns(models.fold_plan(_folds(spark, sf, "severity_in_60m"), "severity_in_60m", (0, 1, 2)), (0, 1, 2))
+
+
+@query("t8_walk_forward_fits", sql(_plan_sql("spike_in_15m", (0, 1)), "cv_rows", reals="train_spike_rate val_spike_rate"))
+def walk_forward_fits(spark, sf):
+    """Folds as fitted or skipped, with the counts they were decided by; the measures are in a24_walk_forward_summary."""
+    done = models.cross_validate(_folds(spark, sf, "spike_in_15m"), "spike_in_15m", (0, 1), lambda t: models.fit_binary(t, "spike_in_15m", min_positive=1, **_SMALL))
+    return _plan_columns(done, (0, 1))
+
+
+@query("a24_walk_forward_summary")
+def walk_forward_summary(spark, sf):
+    folds = _folds(spark, sf, "severity_in_60m")
+    done = models.cross_validate(folds, "severity_in_60m", (0, 1, 2), lambda t: models.fit_severity(t, trees=10, depth=5, min_positive=1))
+    return metrics.fold_summary(done, models.FOLD_MEASURES)
+
+
 @query("t7_saved_model")
 def saved_model(spark, sf):
     rows = _training(spark, sf)
