@@ -398,6 +398,54 @@ def stream_lookback(spark, sf):
     return spark.read.parquet(output).drop("batch")
 
 
+@query("st2_late_rows", sql("""
+SELECT machine_id, bucket, count(*) OVER w AS rows_in_window, avg(total_cpu) OVER w AS mean_in_window FROM agg
+WINDOW w AS (PARTITION BY machine_id ORDER BY bucket RANGE BETWEEN 23 PRECEDING AND CURRENT ROW)""", "agg", reals="mean_in_window"))
+def stream_late_rows(spark, sf):
+    """Every seventh bucket lands after all others; the change log's newest rows are those of the batch form."""
+    agg = fx.agg_table(spark, sf).select("machine_id", "bucket", "total_cpu")
+    landing = fresh_path(spark, "landing")
+    for late in (False, True):
+        agg.filter((F.col("bucket") % 7 == 0) == F.lit(late)).coalesce(1).write.mode("append").parquet(landing)
+    history, output = fresh_path(spark, "history"), fresh_path(spark, "lookback")
+    streams.run_available(streams.landed_files(spark, landing, agg.schema), streams.lookback_sink(history, output), "lookback", mode="append")
+    return streams.newest_version(spark, output, ["machine_id", "bucket"])
+
+
+block("cycle_part", """
+SELECT a.*, (a.bucket - b.lo) * 3 // (b.hi - b.lo + 1) AS cycle FROM agg a, (SELECT min(bucket) AS lo, max(bucket) AS hi FROM agg) b""", "agg")
+block("cycle_rows", """
+SELECT c.cycle, r.machine_id, r.bucket, r.total_cpu FROM (SELECT cycle, max(bucket) AS last FROM cycle_part WHERE total_cpu < 20 GROUP BY 1) c
+JOIN cycle_part r ON r.total_cpu < 20 AND r.bucket <= c.last AND r.bucket > c.last - 24 AND r.cycle <= c.cycle""", "cycle_part")
+
+
+@query("st3_scoring_cycle", sql("""
+SELECT cycle AS cycle_index, count(*) AS machines_total, count(*) FILTER (WHERE n >= 3) AS machines_predicted,
+       count(*) FILTER (WHERE n < 3) AS machines_cold_start, count(*) FILTER (WHERE n >= 3 AND newest > mean) AS alarm_count, true AS success
+FROM (SELECT cycle, machine_id, count(*) AS n, arg_max(total_cpu, bucket) AS newest, avg(total_cpu) AS mean FROM cycle_rows GROUP BY 1, 2)
+GROUP BY 1""", "cycle_rows"))
+def scoring_cycle(spark, sf):
+    """Three micro-batches by time: rows set aside, newest features, decisions, alarms and a service-level row each."""
+    agg = fx.agg_table(spark, sf).select("machine_id", "bucket", "total_cpu")
+    extent = agg.agg(F.struct(F.min("bucket").alias("lo"), (F.max("bucket") - F.min("bucket") + 1).alias("n")).alias("e")).scalar()
+    staged = materialise(agg.withColumn("slot", F.floor((F.col("bucket") - extent["lo"]) * 3 / extent["n"])), "staged")
+    landing, root = fresh_path(spark, "landing"), fresh_path(spark, "cycle")
+    for i in range(3):
+        staged.filter(F.col("slot") == i).drop("slot").coalesce(1).write.mode("append").parquet(landing)
+
+    def build(rows):
+        return rows.groupBy("machine_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("total_cpu", "bucket").alias("newest"), F.avg("total_cpu").alias("mean"))
+
+    def score(rows):
+        cold = F.col("n") < 3
+        return rows.select("machine_id", F.when(cold, "cold_start").otherwise("success").alias("status"),
+                           F.when(~cold, F.when(F.col("newest") > F.col("mean"), "migrate_jobs").otherwise("normal")).alias("recommended_action"))
+
+    sink = streams.scoring_cycle_sink(F.col("total_cpu") < 20, build, score, root)
+    streams.run_available(streams.landed_files(spark, landing, agg.schema), sink, "cycle", mode="append")
+    return spark.read.parquet(f"{root}/slo").select("cycle_index", "machines_total", "machines_predicted", "machines_cold_start", "alarm_count", "success")
+
+
 @query("st3_quarantine_cycle", sql("""
 SELECT count(*) AS rows_in, count(*) FILTER (WHERE event_type <> 'error' AND value >= 1) AS rows_accepted,
        count(*) FILTER (WHERE event_type = 'error' OR value < 1) AS rows_quarantined, true AS success FROM events"""))
