@@ -62,3 +62,26 @@ def test_a_fold_without_a_class_says_which(spark):
     folds = splits.walk_forward(history(spark, lambda b, m: 0 if b % 4 else 2 if b > 30 else 1), gap=2)
     got = {r.fold: r.reason for r in models.fold_plan(folds, "y", (0, 1, 2)).collect()}
     assert got == {1: "no training rows of class 2", 2: "no training rows of class 2", 3: "no training rows of class 2", 4: None, 5: None}
+
+
+def plain_isotonic(points):
+    """Blocks of (lowest score, highest score, mean) of a pool-adjacent-violators fit on the sorted points."""
+    blocks = []
+    for score, y in sorted(points):
+        blocks.append([score, score, y, 1])
+        while len(blocks) > 1 and (blocks[-2][0] == blocks[-1][0] or blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]):
+            _, high, y, n = blocks.pop()
+            blocks[-1] = [blocks[-1][0], high, blocks[-1][2] + y, blocks[-1][3] + n]
+    return [(low, high, y / n) for low, high, y, n in blocks]
+
+
+def test_calibrators_are_the_plain_fit_on_all_scores(spark):
+    import random
+    rng = random.Random(8)
+    rows = [(s := rng.choice([rng.random(), rng.randrange(20) / 20, 0.5 + rng.random() * 1e-7]), int(rng.random() < s)) for _ in range(4000)]
+    fit = models.fit_calibrators(spark.createDataFrame(rows, "p double, y int").repartition(7), "y", ["q", "p"][1:] * 2)[1]
+    scored = {r.p: r["_cal_1"] for r in fit.setFeaturesCol("p").transform(spark.createDataFrame(rows, "p double, y int")).collect()}
+    blocks = plain_isotonic(rows)
+    assert len(blocks) > 20
+    for low, high, mean in blocks:
+        assert scored[low] == pytest.approx(mean, abs=1e-9) and scored[high] == pytest.approx(mean, abs=1e-9)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions.scalar import half_even
+from tidewatch.operators.ordered import amount_before
 
 METRICS = ["total_cpu", "peak_cpu", "total_mem", "disk_io", "load1"]
 RATE_METRICS = ["total_cpu", "peak_cpu", "disk_io", "load1"]
@@ -85,15 +86,10 @@ def apply_fallbacks(filled: DataFrame) -> DataFrame:
         .na.drop(subset=["total_cpu", "total_mem"]))
 
 
-def stable_ids(names: DataFrame, name: str = "nodename", start: int = 1, prefix: int = 8) -> DataFrame:
-    """Dense ids in name order.  Numbered per leading characters, then offset by prefix counts."""
-    distinct = names.select(name).distinct().withColumn("_lead", F.substring(name, 1, prefix))
-    counts = distinct.groupBy("_lead").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(1)).orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_lead", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_lead").orderBy(name))
-    return (distinct.join(offsets, "_lead")
-            .select(name, (F.col("_before") + within + (start - 1)).cast("long").alias("machine_id")))
+def stable_ids(names: DataFrame, name: str = "nodename", start: int = 1) -> DataFrame:
+    """Dense ids in name order, numbered by ranges of names; a null name is the first."""
+    placed = amount_before(names.select(name).distinct(), [name], F.lit(1))
+    return placed.select(name, (F.col("before") + start).cast("long").alias("machine_id"))
 
 
 def resolve_items(readings: DataFrame, items: DataFrame) -> DataFrame:

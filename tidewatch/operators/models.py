@@ -236,19 +236,24 @@ def top_contributions(contributions: DataFrame, k: int = 3) -> DataFrame:
 
 # --- calibration -------------------------------------------------------------------------
 
-def fit_calibrators(val: DataFrame, label: str, probs: list[str], grid: int = 10_000) -> list[IsotonicRegressionModel]:
-    """One isotonic fit per class against the rest.
+def fit_calibrators(val: DataFrame, label: str, probs: list[str], grid: int | None = None) -> list[IsotonicRegressionModel]:
+    """One isotonic fit per class against the rest, the classes side by side.
 
-    Scores between 0 and 1 are pooled in ``grid`` bands of equal width first, so the
-    fit, whose breakpoints go to the driver, gets at most so many weighted points.
+    Equal scores are summed first, which leaves the fit as it is; adjacent violators are pooled within ranges of scores by tasks and
+    the pooled blocks of all ranges then merged, so the driver gets blocks, not rows. ``grid`` pools scores between 0 and 1 in
+    so many bands of equal width beforehand: a coarser fit for where even the blocks are too many.
     """
-    fits = []
-    for k, p in enumerate(probs):
+    def one(k: int, p: str) -> IsotonicRegressionModel:
         y = (F.col(label) == k).cast("double")
-        points = (ordered_rows(val, [], p).groupBy(F.floor(F.col(p) * grid).alias("_band"))
-                  .agg(F.avg(p).alias("s"), F.avg(y).alias("y"), F.count(F.lit(1)).cast("double").alias("w")).drop("_band"))
-        fits.append(IsotonicRegression(featuresCol="s", labelCol="y", weightCol="w", predictionCol=f"_cal_{k}").fit(points))
-    return fits
+        at = F.col(p) if grid is None else F.floor(F.col(p) * grid)
+        points = (ordered_rows(val, [], p).groupBy(at.alias("_at"))
+                  .agg(F.avg(p).alias("s"), F.avg(y).alias("y"), F.count(F.lit(1)).cast("double").alias("w")).drop("_at"))
+        if grid is None:  # the mean of equal numbers may differ from them in the last digit
+            points = ordered_rows(val, [], p).groupBy(F.col(p).cast("double").alias("s")).agg(F.avg(y).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+        return IsotonicRegression(featuresCol="s", labelCol="y", weightCol="w", predictionCol=f"_cal_{k}").fit(points)
+
+    with ThreadPoolExecutor(len(probs)) as pool:
+        return list(pool.map(one, range(len(probs)), probs))
 
 
 def apply_calibrators(fits: list[IsotonicRegressionModel], df: DataFrame, probs: list[str]) -> DataFrame:

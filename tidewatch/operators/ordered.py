@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import materialise
+
 BANDS_PER_E_FOLD = 2048   # relative band width of about 0.05 %
 
 
@@ -117,3 +119,23 @@ def average_rank(df: DataFrame, keys: list[str], value: str, output: str) -> Dat
     ranked = running_totals(collapse(df, keys, value), keys, value, ["rows_at"])
     share = (F.col("through_rows_at") - (F.col("rows_at") - 1) / 2.0) / F.col("all_rows_at")
     return df.join(ranked.select(*keys, value, share.alias(output)), [*keys, value], "left")
+
+
+def amount_before(df: DataFrame, order: list[str], amount: Column, output: str = "before") -> DataFrame:
+    """Add the sum of ``amount`` (whole numbers) over all rows that come earlier in ``order``, whose values should be unique.
+
+    Rows are dealt to tasks by ranges of the order and written; only one sum for each range meets on the driver. Ranges are sampled
+    over all of ``order``, so names that begin alike are spread as well as any.
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumn("_amount", amount).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    placed = materialise(placed, "ranges")
+    ahead, entries = 0, []
+    for r in placed.groupBy("_range").agg(F.sum("_amount").alias("n")).orderBy("_range").collect():  # one row a range
+        entries.append(f"({r['_range']}, {ahead}L)")
+        ahead += r["n"]
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    base = spark.sql(f"SELECT * FROM VALUES {', '.join(entries or ['(-1, 0L)'])} AS t(_range, _range_base)")
+    return (placed.join(F.broadcast(base), "_range").withColumn(output, F.col("_range_base") + F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
+            .drop("_range", "_amount", "_range_base"))

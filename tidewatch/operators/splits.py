@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.operators.chunks import CHUNK, row_chunks
+from tidewatch.operators.ordered import amount_before
 from tidewatch.operators.thresholds import split_point
 
 
@@ -42,8 +43,7 @@ def walk_forward(df: DataFrame, folds: int = 5, gap: int = S.HORIZON, by: str =
         placed = df.withColumn("_e", extent).withColumn("_at", F.col("bucket") - F.col("_e.lo"))
     else:
         counts = df.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("_c"))
-        before = Window.partitionBy(F.lit(1)).orderBy(keys[0]).rowsBetween(Window.unboundedPreceding, -1)
-        base = counts.select(keys[0], F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+        base = amount_before(counts, [keys[0]], F.col("_c"), "_base").select(keys[0], "_base")
         numbered = row_chunks(df, key=keys[0], order=keys[1], back=0).filter("_own")
         total = df.agg(F.struct(F.count(F.lit(1)).alias("n")).alias("e")).scalar()
         placed = (numbered.join(base, keys[0]).withColumn("_e", total)
