@@ -86,8 +86,8 @@ def apply_fallbacks(filled: DataFrame) -> DataFrame:
         .na.drop(subset=["total_cpu", "total_mem"]))
 
 
-def stable_ids(names: DataFrame, name: str = "nodename", start: int = 1) -> DataFrame:
-    """Dense ids in name order, numbered by ranges of names; a null name is the first."""
+def stable_ids(names: DataFrame, name: str = "nodename", start: int = 1, prefix: int | None = None) -> DataFrame:
+    """Dense ids in name order, numbered by ranges of names; a null name is the first. ``prefix`` has no effect any more."""
     placed = amount_before(names.select(name).distinct(), [name], F.lit(1))
     return placed.select(name, (F.col("before") + start).cast("long").alias("machine_id"))
 
