@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch import schemas as S
 from tidewatch.functions.scalar import flag
 from tidewatch.operators.ordered import collapse, quantiles, running_totals
+from tidewatch.operators.resample import replicated_precision
 
 SWEEP = [0.05 + i * 0.05 for i in range(19)]          # fixed operating points
 REPORT_SWEEP = [round(0.10 + i * 0.05, 2) for i in range(18)]
@@ -152,25 +153,10 @@ def renormalise(df: DataFrame, probs: list[str]) -> DataFrame:
     return df.withColumns({p: F.when(total > 0, c / total).otherwise(F.lit(1.0 / len(probs))) for p, c in clipped.items()})
 
 
-# Cumulative probabilities of a Poisson variable with mean 1.
-POISSON_ONE = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-               0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898048033251,
-               0.9999988747974020, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892]
-
-
 def bootstrap_interval(df: DataFrame, keys: list[str], id_columns: list[str], y: str = "y", score: str = "score",
                        replicates: int = 1000, seed: int = 42, coverage: float = 0.95) -> DataFrame:
-    """Percentile interval of average precision from Poisson-weighted replicates.
-
-    Each row's weight is a hash of its id and the replicate, so replicates need
-    no shared random state and a re-run task draws the same weights.
-    """
-    rows = df.select(*keys, y, score, *id_columns,
-                     F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    u = F.pmod(F.xxhash64(*id_columns, "replicate", F.lit(seed)), F.lit(2 ** 52)) / F.lit(float(2 ** 52))
-    weight = sum((flag(u > F.lit(c)) for c in POISSON_ONE), F.lit(0.0))
-    weighted = rows.withColumn("_w", weight).filter(F.col("_w") > 0)
-    each = ranking(weighted, [*keys, "replicate"], y, score, F.col("_w")).filter(F.col("pr_auc").isNotNull())
+    """Percentile interval of average precision over the replicates of ``resample.replicated_precision`` that have both classes."""
+    each = replicated_precision(df, keys, id_columns, y, score, replicates, seed).filter(F.col("pr_auc").isNotNull())
     tail = (1.0 - coverage) / 2.0
     return quantiles(each, keys, "pr_auc", {"low": tail, "high": 1.0 - tail})
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions import scalar as X
-from tidewatch.operators import baselines, chunks, drift, metrics, profile, series, splits, thresholds
+from tidewatch.operators import baselines, chunks, drift, metrics, profile, resample, series, splits, thresholds
 from tidewatch.operators.joins import with_feature_group
 from tidewatch.plans import features, fixtures as fx
 from tidewatch.plans.registry import block, query, sql
@@ -576,7 +576,22 @@ def renormalise(spark, sf):
     return metrics.renormalise(rows, ["p0", "p1", "p2"])
 
 
-@query("m10_bootstrap_interval")
+_FIELD = resample.FIELD
+_field = lambda text, i: f"CAST('0x' || substr(md5({text}), {8 * i + 1}, 8) AS BIGINT) % {_FIELD}"
+block("bootstrap_weights", f"""
+SELECT r, y, score, len(list_filter([{', '.join(map(str, resample.CUTS))}], lambda c: c < (h0 * c0 + h1 * c1 + c2) % {_FIELD})) AS w
+FROM (SELECT y, score_a AS score, {_field("machine_id || '|' || bucket", 0)} AS h0, {_field("machine_id || '|' || bucket", 1)} AS h1
+      FROM short_rows WHERE split = 'test')
+CROSS JOIN (SELECT r, {', '.join(f"{_field(chr(114) + " || '|42'", i)} AS c{i}" for i in range(3))} FROM range(1, 1001) t(r))""", "short_rows")
+
+
+@query("m10_bootstrap_interval", sql("""
+SELECT quantile_cont(ap, 0.025) AS low, quantile_cont(ap, 0.975) AS high FROM (
+  SELECT r, sum(pos / p * tp / seen) FILTER (WHERE seen > 0) AS ap FROM (
+    SELECT *, sum(pos) OVER w AS tp, sum(tot) OVER w AS seen, sum(pos) OVER (PARTITION BY r) AS p, sum(tot) OVER (PARTITION BY r) AS n
+    FROM (SELECT r, score, CAST(sum(w * y) AS DOUBLE) AS pos, CAST(sum(w) AS DOUBLE) AS tot FROM bootstrap_weights GROUP BY 1, 2)
+    WINDOW w AS (PARTITION BY r ORDER BY score DESC))
+  WHERE p > 0 AND p < n GROUP BY 1)""", "bootstrap_weights", reals="low high"))
 def bootstrap_interval(spark, sf):
     return metrics.bootstrap_interval(_binary(spark, sf).filter(F.col("split") == "test"), [], ["machine_id", "bucket"],
                                       score="score_a")
