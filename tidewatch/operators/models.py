@@ -58,14 +58,21 @@ def _assembler(features: list[str]) -> VectorAssembler:
 
 def fit_binary(train: DataFrame, label: str, features: list[str] | None = None, *, trees: int = 20, depth: int = 4,
                step: float = 0.2, seed: int = 42, validation: str | None = None, min_positive: int = MIN_POSITIVE) -> PipelineModel:
-    """Boosted trees with weighted positives; ``validation`` marks rows for early stopping."""
-    counts = guard(train, label, (0, 1), min_positive)
+    """Boosted trees with weighted positives; ``validation`` names a boolean column that marks rows which only stop the fit early."""
+    counts = guard(train.filter(~F.col(validation)) if validation else train, label, (0, 1), min_positive)
     tree = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_weight", maxIter=trees, maxDepth=depth,
                          stepSize=step, seed=seed, subsamplingRate=0.8,
                          **({"validationIndicatorCol": validation} if validation else {}))
     return Pipeline(stages=[_assembler(features or S.MODEL_FEATURES), tree]).fit(balanced(train, label, counts))
 
 
+def fit_stopped(train: DataFrame, val: DataFrame, label: str, features: list[str] | None = None, **options) -> PipelineModel:
+    """``fit_binary`` on ``train`` with at most ``trees`` trees: no more once ``val`` gains nothing by them."""
+    names = [*(features or S.MODEL_FEATURES), label]
+    marked = lambda df, stops: df.select(*names, F.lit(stops).alias("_stops"))
+    return fit_binary(marked(train, False).unionByName(marked(val, True)), label, features, validation="_stops", **options)
+
+
 def fit_severity(train: DataFrame, label: str = "severity_in_60m", features: list[str] | None = None, *,
                  trees: int = 40, depth: int = 8, seed: int = 42, min_positive: int = MIN_POSITIVE) -> PipelineModel:
     """Three-class forest with balanced class weights."""
@@ -88,18 +95,61 @@ def class_probabilities(model: PipelineModel, df: DataFrame, outputs: list[str])
 
 
 def search(train: DataFrame, label: str, grid: list[dict], features: list[str] | None = None) -> DataFrame:
-    """Average precision of each parameter set on the later half of the training time."""
+    """Average precision of each parameter set on the later half of the training time: one rung of ``halving``."""
+    table, _, _ = halving(train, label, grid, features, shares=(1.0,), refit=False)
+    at = {i: F.lit(i) == F.col("trial") for i in range(len(grid))}
+    named = {k: F.coalesce(*[F.when(at[i], F.lit(p.get(k))) for i, p in enumerate(grid)]) for k in dict.fromkeys(k for p in grid for k in p)}
+    return table.select("trial", *[c.alias(k) for k, c in named.items()], F.col("score").alias("pr_auc"))
+
+
+RUNG = "rung int, share double, trial int, train_n long, train_pos long, tune_n long, tune_pos long, score double, kept boolean"
+
+
+def halving(train: DataFrame, label: str, grid: list[dict], features: list[str] | None = None, *, classes: tuple[int, ...] = (0, 1),
+            shares: tuple[float, ...] = (0.25, 0.5, 1.0), refit: bool = True, side_by_side: int = 3, min_positive: int = MIN_POSITIVE,
+            ) -> tuple[DataFrame, dict, PipelineModel | None]:
+    """Successive halving over time: the rungs (``RUNG``), the best parameter set, and that set fitted on all of ``train``.
+
+    The earlier half of the training time fits, the later half judges.  A rung fits the trials left on the newest ``share`` of the
+    fitting time and keeps the better half (ties: the earlier trial), so most trials cost a part of a whole fit; the last rung keeps one.
+    Trials of a rung run side by side.  Two classes are judged by average precision, more by its mean over the classes.  A trial
+    without a score (judged rows of one class) comes last; a rung whose rows cannot be fitted has null scores and keeps every trial.
+    """
     from tidewatch.operators.splits import inner_tuning
-    parts = inner_tuning(train)
+    from tidewatch.session import materialise
+    spark, binary = train.sparkSession, classes == (0, 1)
+    names = [f"p_{k}" for k in classes]
+    parts = materialise(inner_tuning(train).select("bucket", label, *(features or S.MODEL_FEATURES), "inner_split"), "search")
     fit, tune = parts.filter("inner_split = 'fit'"), parts.filter("inner_split = 'tune'")
-    results = None
-    for i, params in enumerate(grid):
-        model = fit_binary(fit, label, features, **params)
-        scored = positive_probability(model, tune, "score").withColumn("y", F.col(label).cast("int"))
-        row = metrics.ranking(scored, []).select(
-            F.lit(i).alias("trial"), *[F.lit(v).alias(k) for k, v in params.items()], "pr_auc")
-        results = row if results is None else results.unionByName(row)
-    return results
+    counted = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) > 0).alias("pos"), F.min("bucket").alias("lo"), F.max("bucket").alias("hi"),
+                                *[F.count_if(F.col(label) == k).alias(f"n_{k}") for k in classes]).first()
+    extent, judged = counted(fit), counted(tune)
+
+    def fitted(rows: DataFrame, params: dict) -> PipelineModel:
+        made = fit_binary if binary else fit_severity
+        return made(rows, label, features, min_positive=min_positive, **params)
+
+    def score(rows: DataFrame, params: dict) -> float | None:
+        model = fitted(rows, params)
+        if binary:
+            held = positive_probability(model, tune, "score").select(F.col(label).cast("int").alias("y"), "score")
+            return metrics.ranking(held, []).first().pr_auc
+        return metrics.macro(metrics.one_vs_rest(class_probabilities(model, tune, names), [], label, names), []).first().macro_pr_auc
+
+    left, table = list(range(len(grid))), []
+    for rung, share in enumerate(shares if extent.n and judged.n else ()):
+        rows = fit.filter(F.col("bucket") > extent.hi - int((extent.hi - extent.lo + 1) * share))
+        size = counted(rows)
+        ready = size.pos >= min_positive and all(size[f"n_{k}"] for k in classes)
+        with ThreadPoolExecutor(side_by_side) as pool:
+            found = list(pool.map(lambda i: score(rows, grid[i]) if ready else None, left))
+        order = sorted(zip(left, found), key=lambda p: (p[1] is None, -(p[1] or 0.0), p[0]))
+        keep = 1 if rung == len(shares) - 1 else len(left) if not ready else (len(left) + 1) // 2
+        best = {i for i, _ in order[:keep]}
+        table += [(rung, share, i, size.n, size.pos, judged.n, judged.pos, s, i in best) for i, s in zip(left, found)]
+        left = [i for i in left if i in best]
+    winner = grid[left[0]]
+    return spark.createDataFrame(table, RUNG), winner, fitted(train, winner) if refit else None
 
 
 # --- walk-forward validation --------------------------------------------------------------------

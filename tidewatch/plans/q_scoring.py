@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions import scalar as X
-from tidewatch.operators import chunks, metrics, models, profile, scoring, series, splits, thresholds
+from tidewatch.operators import bundle, chunks, metrics, models, profile, scoring, series, splits, thresholds
 from tidewatch.plans import features, fixtures as fx
 from tidewatch.plans.q_eval import scores
 from tidewatch.plans.registry import as_text, block, query, sql
@@ -503,8 +503,9 @@ def _part(df, name, label):
 
 @query("t1_binary_model")
 def binary_model(spark, sf):
+    """At most 20 trees, fewer once the validation rows gain nothing."""
     rows = _training(spark, sf)
-    model = models.fit_binary(_part(rows, "train", "spike_in_15m"), "spike_in_15m", **_SMALL)
+    model = models.fit_stopped(_part(rows, "train", "spike_in_15m"), _part(rows, "val", "spike_in_15m"), "spike_in_15m", depth=3)
     scored = models.positive_probability(model, _part(rows, "test", "spike_in_15m"), "score")
     return metrics.ranking(scored.withColumn("y", F.col("spike_in_15m")), [])
 
@@ -524,6 +525,36 @@ def parameter_search(spark, sf):
     return models.search(train, "spike_in_15m", [dict(trees=3, depth=2), dict(trees=3, depth=4)])
 
 
+_GRID = [dict(trees=3, depth=d, step=s) for d in (2, 4) for s in (0.1, 0.3)]
+
+
+@query("t4_halving_rungs", sql("""
+SELECT rung, CASE rung WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END AS trials, CASE rung WHEN 0 THEN 2 ELSE 1 END AS kept, train_n, train_pos, tune_n, tune_pos
+FROM (SELECT rung, count(*) FILTER (WHERE bucket <= mid AND bucket > hi - CAST(floor((hi - lo + 1) * share) AS BIGINT)) AS train_n,
+             count(*) FILTER (WHERE bucket <= mid AND y > 0 AND bucket > hi - CAST(floor((hi - lo + 1) * share) AS BIGINT)) AS train_pos,
+             count(*) FILTER (WHERE bucket > mid) AS tune_n, count(*) FILTER (WHERE bucket > mid AND y > 0) AS tune_pos
+      FROM (SELECT *, min(bucket) FILTER (WHERE bucket <= mid) OVER () AS lo, max(bucket) FILTER (WHERE bucket <= mid) OVER () AS hi
+            FROM (SELECT bucket, spike_in_15m AS y, min(bucket) OVER () + CAST(floor((max(bucket) OVER () - min(bucket) OVER ()) * 0.5e0) AS BIGINT) AS mid
+                  FROM cv_rows WHERE spike_in_15m IS NOT NULL)),
+           (VALUES (0, 0.25e0), (1, 0.5e0), (2, 1e0)) r(rung, share) GROUP BY rung)""", "cv_rows"))
+def halving_rungs(spark, sf):
+    """Trials and rows of each rung of a search by successive halving."""
+    train = _part(_training(spark, sf), "train", "spike_in_15m")
+    table, _, _ = models.halving(train, "spike_in_15m", _GRID, min_positive=1, refit=False)
+    return table.groupBy("rung").agg(F.count(F.lit(1)).alias("trials"), F.count_if("kept").alias("kept"), *[
+        F.max(c).alias(c) for c in ("train_n", "train_pos", "tune_n", "tune_pos")])
+
+
+@query("t4_refitted_winner")
+def refitted_winner(spark, sf):
+    """Ranking quality on the test rows of the severity forest that won its search, fitted again on all training rows."""
+    rows = _training(spark, sf)
+    label, classes = "severity_in_60m", (0, 1, 2)
+    _, _, model = models.halving(_part(rows, "train", label), label, [dict(trees=5, depth=d) for d in (3, 6)], classes=classes, min_positive=1)
+    scored = models.class_probabilities(model, _part(rows, "test", label), bundle.CLASSES)
+    return metrics.one_vs_rest(scored, [], label, bundle.CLASSES)
+
+
 @query("t5_gain_importance")
 def gain_importance(spark, sf):
     train = _part(_training(spark, sf), "train", "spike_in_15m")
@@ -625,26 +656,62 @@ def saved_model(spark, sf):
         "machine_id", "bucket", "score")
 
 
-@query("i3_multi_model_scoring")
-def multi_model_scoring(spark, sf):
-    """Newest row per machine through every model, then the decision logic."""
+def _stored_bundle(spark, sf, without=()):
+    """Fitted models, calibrators and swept alarm levels saved as a version and read back."""
     rows = _training(spark, sf)
-    fits = {lab: models.fit_binary(_part(rows, "train", lab), lab, **_SMALL) for lab in ("spike_in_15m", "spike_in_30m", "spike_in_45m")}
-    severity = models.fit_severity(_part(rows, "train", "severity_in_60m"), trees=10, depth=5)
-    cascade = models.fit_binary(models.cascade_rows(_part(rows, "train", "severity_in_60m")), "severe", **_SMALL)
-    live, limits = _live(spark, sf)
-    known = scoring.limits_for(live, limits)
+    fits = {name: models.fit_binary(_part(rows, "train", bundle.LABELS[name]), bundle.LABELS[name], **_SMALL)
+            for name in ("15m", "30m", "45m") if name not in without}
+    train, val = _part(rows, "train", "severity_in_60m"), _part(rows, "val", "severity_in_60m")
+    fits[bundle.SEVERITY] = models.fit_severity(train, trees=10, depth=5)
+    if bundle.CASCADE not in without:
+        fits[bundle.CASCADE] = models.fit_binary(models.cascade_rows(train), "severe", **_SMALL)
+    held = materialise(models.class_probabilities(fits[bundle.SEVERITY], val, bundle.CLASSES).select("severity_in_60m", *bundle.CLASSES), "val")
+    made = bundle.Bundle(fits, _live(spark, sf)[1], ALARMS, models.fit_calibrators(held, "severity_in_60m", bundle.CLASSES))
+    root = fresh_path(spark, "bundles")
+    bundle.save(made, root, "0001")
+    return bundle.load(spark, root), rows
+
+
+def _scored(spark, sf, stored):
+    live, _ = _live(spark, sf)
+    known = scoring.limits_for(live, stored.thresholds)
     newest = scoring.latest(features.build(live, known.drop("threshold_source"), None, labels=False, **_OPTS))
     hist = scoring.history(live)
-    scored = newest.join(hist.filter(F.col("status") != "cold_start").select("machine_id"), "machine_id", "left_semi")
-    for lab, p in (("spike_in_15m", "p15"), ("spike_in_30m", "p30"), ("spike_in_45m", "p45")):
-        scored = models.positive_probability(fits[lab], scored, p)
-    scored = models.class_probabilities(severity, scored, ["p_no", "p_mod", "p_sev"])
-    scored = models.positive_probability(cascade, scored, "p_ovr")
-    every = hist.join(scored.select("machine_id", *_PROBS), "machine_id", "left").join(
+    warm = newest.join(hist.filter(F.col("status") != "cold_start").select("machine_id"), "machine_id", "left_semi")
+    every = hist.join(bundle.probabilities(stored, warm).select("machine_id", *_PROBS), "machine_id", "left").join(
         known.select("machine_id", "threshold_source"), "machine_id", "left")
-    return scoring.decide(every, ALARMS).select("machine_id", "status", "observations_used", "threshold_source", *_PROBS,
-                                                "severity_class", "is_spike", "is_severe", "recommended_action")
+    return scoring.decide(every, stored.alarms)
+
+
+_SCORED_COLS = ["severity_class", "is_spike", "is_severe", "recommended_action"]
+
+
+@query("i3_multi_model_scoring")
+def multi_model_scoring(spark, sf):
+    """Newest row per machine through every model of a stored bundle, calibrated, then the decision logic."""
+    stored, _ = _stored_bundle(spark, sf)
+    return _scored(spark, sf, stored).select("machine_id", "status", "observations_used", "threshold_source", *_PROBS, *_SCORED_COLS)
+
+
+@query("i3_scored_machines", sql("""
+SELECT machine_id, status, observations_used, CASE WHEN t.machine_id IS NULL THEN 'global_fallback' ELSE 'learned' END AS threshold_source,
+       status <> 'cold_start' AS has_classes, false AS has_45m, false AS has_cascade
+FROM history_rows LEFT JOIN (SELECT machine_id FROM thr) t USING (machine_id)""", "history_rows", "thr"))
+def scored_machines(spark, sf):
+    """Which machines a bundle without two of its optional models has probabilities for."""
+    stored, _ = _stored_bundle(spark, sf, without=("45m", bundle.CASCADE))
+    return _scored(spark, sf, stored).select("machine_id", "status", "observations_used", "threshold_source", F.col("p_no").isNotNull().alias("has_classes"),
+                                             F.col("p45").isNotNull().alias("has_45m"), F.col("p_ovr").isNotNull().alias("has_cascade"))
+
+
+@query("t7_bundle_thresholds", sql("SELECT * FROM thr", "thr", reals="threshold_p95 threshold_p99"))
+def bundle_thresholds(spark, sf):
+    """Machine thresholds as the newest of two versions has them."""
+    root = fresh_path(spark, "bundles")
+    limits = _live(spark, sf)[1]
+    for version, table in (("0001", limits.limit(0)), ("0002", limits)):
+        bundle.save(bundle.Bundle({}, table, ALARMS), root, version)
+    return bundle.load(spark, root).thresholds.select("machine_id", "threshold_p95", "threshold_p99")
 
 
 def _calibration(spark, sf):
@@ -681,6 +748,35 @@ def domain_backtest(spark, sf):
                                                   "n_val": val.agg(F.count(F.lit(1)).alias("n")).scalar()})
 
 
+block("domain_rows", """
+SELECT f.severity_in_60m AS "severity", CASE WHEN f.severity_in_60m > 0 THEN CASE WHEN f.severity_in_60m = 2 THEN 1 ELSE 0 END END AS "cascade",
+       f.spike_in_15m AS "15m", f.spike_in_30m AS "30m", f.spike_in_45m AS "45m", f.bucket > t2 AS held
+FROM feat f, bounds WHERE f.bucket > t1""", "feat", "bounds")
+block("domain_counts", """
+SELECT model, count(*) FILTER (WHERE NOT held) AS n_val, count(*) FILTER (WHERE held) AS n_test, count(*) FILTER (WHERE held AND y > 0) AS n_pos
+FROM (UNPIVOT (SELECT held, CAST(COLUMNS(* EXCLUDE held) AS DOUBLE) FROM domain_rows) ON "15m", "30m", "45m", "severity", "cascade" INTO NAME model VALUE y)
+GROUP BY 1""", "domain_rows")
+
+
+@query("m13_domain_backtest_rows", sql("""
+SELECT model, n_val, n_test, n_pos, n_pos / n_test AS pos_rate, CASE WHEN reason IS NULL THEN 'evaluated' ELSE 'skipped' END AS status, reason
+FROM (SELECT *, CASE WHEN model <> 'severity' AND n_val < 100 THEN 'fewer than 100 rows to sweep' WHEN n_test = 0 THEN 'no test rows'
+        WHEN model <> 'severity' AND n_pos IN (0, n_test) THEN 'test labels of one class' END AS reason FROM domain_counts)""", "domain_counts", reals="pos_rate"))
+def domain_backtest_rows(spark, sf):
+    """What each model of the bundle is judged on, and whether it can be; its measures are in m13_domain_backtest_report."""
+    return _backtest(spark, sf).select("model", "n_val", "n_test", "n_pos", "pos_rate", "status", "reason")
+
+
+@query("m13_domain_backtest_report")
+def domain_backtest_report(spark, sf):
+    return _backtest(spark, sf)
+
+
+def _backtest(spark, sf):
+    stored, rows = _stored_bundle(spark, sf)
+    return bundle.backtest(stored, rows.filter("split = 'val'"), rows.filter("split = 'test'"))
+
+
 @query("m14_domain_recalibration")
 def domain_recalibration(spark, sf):
     """Per class: ranking quality with the model's own and with re-fitted calibration."""
