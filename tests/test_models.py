@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tidewatch.operators import metrics, models, splits
+from tidewatch.operators import bundle, metrics, models, splits
 
 
 class Additive:
@@ -90,3 +90,82 @@ def test_calibrators_are_the_plain_fit_on_all_scores(spark):
     assert len(blocks) > 10
     for low, high, mean in blocks:
         assert scored[low] == pytest.approx(mean, abs=1e-9) and scored[high] == pytest.approx(mean, abs=1e-9)
+
+
+def horizons(spark):
+    """Rows of 40 buckets and 6 machines with one telling feature, one of noise, and the labels of every horizon."""
+    rows = [(m, b, float((b + m) % 4), float((7 * b + 3 * m) % 5), int((b + m) % 4 == 3), int((b + m) % 4 >= 2), max(0, (b + m) % 4 - 1))
+            for m in range(6) for b in range(40)]
+    return spark.createDataFrame(rows, "machine_id long, bucket long, x double, noise double, spike_in_15m int, spike_in_30m int, severity_in_60m int")
+
+
+def test_bundle_comes_back_whole_and_optional_models_may_be_absent(spark, tmp_path):
+    rows, names = horizons(spark), ["x", "noise"]
+    fits = {"15m": models.fit_binary(rows, "spike_in_15m", names, trees=2, depth=2), bundle.SEVERITY: models.fit_severity(rows, features=names, trees=3, depth=3)}
+    raw = models.class_probabilities(fits[bundle.SEVERITY], rows, bundle.CLASSES)
+    limits = spark.createDataFrame([(1, 2.0, 3.0)], "machine_id long, threshold_p95 double, threshold_p99 double")
+    made = bundle.Bundle(fits, limits, {"15m": 0.4, "60m": 0.3}, models.fit_calibrators(raw, "severity_in_60m", bundle.CLASSES), names)
+    root = str(tmp_path / "bundles")
+    assert bundle.versions(spark, root) == []
+    bundle.save(made, root, "2024-01")
+    (tmp_path / "bundles" / "2024-02" / "models").mkdir(parents=True)  # a write that did not end
+    got = bundle.load(spark, root, features=names)
+    assert got.version == "2024-01" and got.alarms == made.alarms and got.features == names and got.thresholds.collect() == limits.collect()
+    assert set(got.models) == set(fits) and len(got.calibrators) == 3
+    columns = ["machine_id", "bucket", *bundle.OUTPUTS.values(), *bundle.CLASSES]
+    before, after = (sorted(tuple(r) for r in bundle.probabilities(b, rows).select(*columns).collect()) for b in (made, got))
+    assert before == after and all(r[3] is None and r[4] is None and r[5] is None and abs(sum(r[6:]) - 1) < 1e-9 for r in after)
+    plain = bundle.probabilities(bundle.Bundle({}, limits, {}), rows).select(*columns).first()
+    assert all(v is None for v in plain[2:])
+    with pytest.raises(ValueError, match="already there"):
+        bundle.save(made, root, "2024-01")
+    with pytest.raises(ValueError, match="feature list"):
+        bundle.load(spark, root, features=["noise", "x"])
+    with pytest.raises(FileNotFoundError):
+        bundle.load(spark, root, "2024-02", names)
+    bundle.save(bundle.Bundle({}, limits, {"15m": 0.9}, features=names), root, "2024-03")
+    assert bundle.load(spark, root, features=names).alarms == {"15m": 0.9} and bundle.load(spark, root, "2024-01", names).alarms["15m"] == 0.4
+
+
+def test_backtest_says_why_a_model_is_skipped(spark):
+    rows = horizons(spark).withColumn("spike_in_45m", F.lit(0))
+    fit = models.fit_binary(rows, "spike_in_15m", ["x", "noise"], trees=2, depth=2)
+    made = bundle.Bundle({"15m": fit, "30m": fit, "45m": fit}, rows, {}, features=["x", "noise"])
+    sparse = rows.withColumn("spike_in_30m", F.when(F.col("bucket") < 5, F.col("spike_in_30m")))
+    got = {r.model: r for r in bundle.backtest(made, sparse, rows, min_rows=100).collect()}
+    assert got["30m"].reason == "fewer than 100 rows to sweep" and got["45m"].reason == "test labels of one class" and got["45m"].n_pos == 0
+    fine = got["15m"]
+    assert fine.status == "evaluated" and fine.pr_auc == pytest.approx(1) and fine.alarm_f1 == pytest.approx(1) and fine.n_test == 240
+    assert fine.pos_rate == pytest.approx(0.25) and fine.alarm_rate == pytest.approx(0.25)
+
+
+@pytest.mark.parametrize("label, classes", [("spike_in_15m", (0, 1)), ("severity_in_60m", (0, 1, 2))])
+def test_halving_keeps_the_better_half_and_refits_the_winner(spark, label, classes):
+    rows = horizons(spark)
+    grid = [dict(trees=1, depth=1), dict(trees=2, depth=3), dict(trees=2, depth=2)]
+    table, winner, model = models.halving(rows, label, grid, ["x", "noise"], classes=classes, min_positive=3)
+    rungs = {}
+    for r in table.collect():
+        rungs.setdefault(r.rung, []).append(r)
+    assert [len(rungs[r]) for r in (0, 1, 2)] == [3, 2, 1] and [rungs[r][0].train_n for r in (0, 1, 2)] == [30, 60, 120]
+    assert all(r.tune_n == 120 for r in rungs[0]) and grid[rungs[2][0].trial] == winner and rungs[2][0].kept
+    for r in (0, 1):
+        kept, gone = [t.score for t in rungs[r] if t.kept], [t.score for t in rungs[r] if not t.kept]
+        assert {t.trial for t in rungs[r] if t.kept} == {t.trial for t in rungs[r + 1]} and min(kept) >= max(gone)
+    assert model.transform(rows).filter(F.col("prediction") == F.col(label)).count() > 200
+
+
+def test_halving_without_positive_rows_keeps_every_trial_of_a_rung(spark):
+    rows = horizons(spark).withColumn("late", F.when((F.col("bucket") < 15) | (F.col("bucket") >= 20), F.col("spike_in_15m")).otherwise(0))
+    table, _, _ = models.halving(rows, "late", [dict(trees=1, depth=1), dict(trees=1, depth=2)], ["x", "noise"], shares=(0.2, 1.0), min_positive=3, refit=False)
+    first = [r for r in table.collect() if r.rung == 0]
+    assert len(first) == 2 and all(r.kept and r.score is None and r.train_pos == 0 for r in first)
+
+
+def test_rows_that_stop_a_fit_are_not_learnt_and_shorten_it(spark):
+    rows = horizons(spark)
+    turned = rows.withColumn("spike_in_15m", 1 - F.col("spike_in_15m"))
+    whole = models.fit_binary(rows, "spike_in_15m", ["x", "noise"], trees=12, depth=2)
+    short = models.fit_stopped(rows, turned, "spike_in_15m", ["x", "noise"], trees=12, depth=2)
+    assert short.stages[-1].getNumTrees < whole.stages[-1].getNumTrees == 12
+    assert models.positive_probability(short, rows, "p").filter((F.col("p") > 0.5) == (F.col("spike_in_15m") == 1)).count() == 240
