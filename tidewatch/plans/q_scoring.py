@@ -657,7 +657,7 @@ def saved_model(spark, sf):
 
 
 def _stored_bundle(spark, sf, without=()):
-    """Fitted models, calibrators and swept alarm levels saved as a version and read back."""
+    """Fitted models, calibrators and fixed alarm levels saved as a version and read back."""
     rows = _training(spark, sf)
     fits = {name: models.fit_binary(_part(rows, "train", bundle.LABELS[name]), bundle.LABELS[name], **_SMALL)
             for name in ("15m", "30m", "45m") if name not in without}
