@@ -28,6 +28,25 @@ def test_spans_meet_tokens_by_search():
     assert mask.tolist() == [False, True, True, True] and kept == [(4, 8), (9, 12)]
 
 
+def test_loss_is_what_masked_tokens_cover():
+    """By characters: a trained one counts if a masked token's offsets hold it; broken offsets show in the text."""
+    template, made, rng = chat.Template(), chat._tokenizer(PATH), random.Random(2)
+    words = ["日本", " 😀é", "plain", " two  spaces ", "</s>", "\\", "\n", "e\u0301"]
+    for _ in range(200):
+        turns = [(rng.choice(("user", "assistant")), "".join(rng.choice(words) for _ in range(rng.randint(0, 6)))) for _ in range(rng.randint(1, 5))]
+        text, spans = chat.render(turns, template)
+        offsets = np.array(made.encode(text, add_special_tokens=False).offsets, np.int64)
+        mask, _ = chat.intersect(offsets[:, 1], spans, offsets[:, 0])
+        trained = {i for a, b in spans for i in range(a, b)}
+        assert mask.tolist() == [any(i in trained for i in range(a, b)) for a, b in offsets.tolist()]
+        assert chat.read_back(mask, *offsets.T, spans) == [s for s in spans if s[0] < s[1]]
+        for kept, begins, ends in ((mask, offsets[:, 0] + 1, offsets[:, 1] + 1), (np.zeros_like(mask), *offsets.T), (mask & (np.arange(len(mask)) % 2 == 0), *offsets.T)):
+            held = {i for a, b in zip(begins[kept].tolist(), ends[kept].tolist()) for i in range(a, b)} & trained
+            got = chat.read_back(kept, begins, ends, spans)
+            assert [i for a, b in got for i in range(a, b)] == sorted(held)
+    assert chat.read_back(np.array([True, True]), np.array([0, 5]), np.array([4, 9]), [(1, 8)]) == [(1, 4), (5, 8)]  # a dropped character
+
+
 def test_odd_conversations(spark):
     schema = "conv_id long, turn long, role string, text string, id string, turns string"
     rows = [(1, 0, "user", "hi", "x", "y"), (1, 1, "assistant", None, "x", "y"), (1, 2, "assistant", "ok </s>", "x", "y"), (1, 2, "assistant", "ok </s>", "x", "y"),

@@ -73,24 +73,42 @@ def render(turns: list[tuple[str, str]], template: Template) -> tuple[str, list[
     return "".join(parts), spans
 
 
-def intersect(token_ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def intersect(token_ends: np.ndarray, spans: list[tuple[int, int]], token_begins: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Mask of the tokens that meet a span, and the characters they share with it.
 
-    Token ``i`` covers what lies between the ends of tokens ``i-1`` and ``i``; both lists are sorted, so each span finds
-    its first and last token by binary search. A token across a border is masked, but only its part inside counts.
+    Token ``i`` covers what lies between its begin (by default the end of token ``i-1``) and its end; tokens and spans are sorted,
+    so each span finds its first and last token by binary search. A token across a border is masked, but only its part inside
+    counts; all tokens of a character inside are masked.
     """
     mask, kept = np.zeros(len(token_ends), bool), []
-    if spans:
+    if spans and len(token_ends):
+        if token_begins is None:
+            token_begins = np.append(0, token_ends[:-1])
         begins, ends = np.array(spans, np.int64).T
-        first, last = np.searchsorted(token_ends, begins, "right"), np.searchsorted(token_ends, ends, "left")
-        for a, b, i, j in zip(begins.tolist(), ends.tolist(), first.tolist(), last.tolist()):
-            if a < b:
-                mask[i:j + 1] = True
-                low = max(a, int(token_ends[i - 1]) if i else 0)
-                kept.append((low, min(b, int(token_ends[min(j, len(token_ends) - 1)]))))
+        first, beyond = np.searchsorted(token_ends, begins, "right"), np.searchsorted(token_begins, ends, "left")
+        for a, b, i, j in zip(begins.tolist(), ends.tolist(), first.tolist(), beyond.tolist()):
+            if a < b and i < j:
+                mask[i:j] = True
+                kept.append((max(a, int(token_begins[i])), min(b, int(token_ends[j - 1]))))
     return mask, kept
 
 
+def read_back(mask: np.ndarray, token_begins: np.ndarray, token_ends: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the masked tokens cover of the spans by the tokenizer's own offsets, in order; parts of a span that touch are one.
+
+    Begins and ends are sorted. A character of several tokens counts once, one of no masked token is left out.
+    """
+    begins, ends = token_begins[mask], token_ends[mask]
+    kept = []
+    for a, b in spans:
+        i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(begins, b, "left"))
+        if i < j:
+            low, high = np.maximum(begins[i:j], a), np.maximum.accumulate(np.minimum(ends[i:j], b))
+            cuts = np.flatnonzero(low[1:] > high[:-1])
+            kept += zip(low[np.append(0, cuts + 1)].tolist(), high[np.append(cuts, -1)].tolist())
+    return kept
+
+
 @lru_cache(2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -106,7 +124,8 @@ def format_chats(chats: DataFrame, tokenizer_path: str, template: Template = Tem
 
     Turns are ordered by number, then role and text, so ties and repeated rows (which are all kept) have one result;
     null turn numbers come first, null roles and texts are empty, rows with a null id form one conversation. No rows give
-    no rows. Other columns are ignored. ``loss_spans`` holds each trained text once, in order, without its neighbours.
+    no rows. Other columns are ignored. ``loss_spans`` is read back from the masked tokens and their offsets: each trained text
+    once, in order, without its neighbours, but for characters that the tokenizer drops.
     A conversation is one example and has to fit into a row.
     """
     turns = F.sort_array(F.collect_list(F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
@@ -122,10 +141,9 @@ def format_chats(chats: DataFrame, tokenizer_path: str, template: Template = Tem
                 drawn = [render(t, template) for t in talks]
                 rows = []
                 for talk, (text, spans), found in zip(talks, drawn, made.encode_batch([t for t, _ in drawn], add_special_tokens=False)):
-                    ends = np.maximum.accumulate(np.array([b for _, b in found.offsets] or [0], np.int64))
-                    ends[-1] = len(text)
-                    mask, kept = intersect(ends, spans)
-                    rows.append((len(talk), text, found.ids, mask[:len(found.ids)].tolist(), [{"start": a, "end": b} for a, b in kept]))
+                    begins, ends = np.maximum.accumulate(np.array(found.offsets, np.int64).reshape(-1, 2), axis=0).T
+                    mask, _ = intersect(ends, spans, begins)
+                    rows.append((len(talk), text, found.ids, mask.tolist(), [{"start": a, "end": b} for a, b in read_back(mask, begins, ends, spans)]))
                 kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))],
                                                  ["id", "n_turns", "formatted", "input_ids", "loss_mask", "loss_spans"])
