@@ -110,3 +110,13 @@ def test_masked_goes_by_row_not_by_id(spark):
     texts = sorted(r.text for r in got.filter("doc_id is null or doc_id = 50").collect())
     clean = "write to the desk at [EMAIL] whenever you like"
     assert texts == sorted([clean, f"first of two texts of one id: {clean}", clean, "nothing to find in this one"])
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    names = ["_id", "_extra", "number", "Found", "found_in", "row", "base", "spans", "extra", "kind"]
+    rows = spark.createDataFrame([(1, "x a@b.co y", *names), (2, None, *names)], ["doc_id", "text", *names])
+    kept = pii.masked(rows)
+    assert kept.columns == rows.columns
+    assert sorted(map(tuple, kept.collect())) == [(1, "x [EMAIL] y", *names), (2, None, *names)]
+    found = pii.find(spark.createDataFrame([(7, "x a@b.co y")], "row long, text string"), "row")
+    assert found.columns == ["row", "base", "spans"] and [(r.row, len(r.base)) for r in found.collect()] == [(7, 1)]

@@ -24,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS, LEAST_SEEDS, CONFIDENCE, ACCEPT = 3, 5, 0.8, 0.8
 #: Longer words are no part of a lexical pattern.
 WORD_CHARS = 40
-#: Up to so many found spans go to every worker to mask texts; more are joined by a shuffle.
+#: Up to so many found spans (some 30 bytes each) go to every worker to mask texts; more are joined by a shuffle.
 SENT_SPANS = 100_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -177,7 +177,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``id, base, spans`` of every whole text: plain spans, and these with the discovered ones, as arrays by start and kind.
 
     Null and empty texts have no spans; rows with null ids and repeated rows give a row each; no rows give none; other
-    columns are ignored. Discovered spans never overlap plain ones.
+    columns are ignored. Discovered spans never overlap plain ones. ``id_col`` may not be ``base`` or ``spans``.
     """
     table = read(docs, id_col, text_col)
     occurrences = table.select(F.explode("seen").alias("s")).select("s.instance", "s.kind", F.explode("s.patterns").alias("pattern"))
@@ -186,7 +186,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     every = F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:long,end:long,kind:string>>")))
     ordered = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("place"),
                                                                   s["end"].alias("end"), s["kind"].alias("kind"))))
-    return whole.select(F.col("id").alias(id_col), "base", ordered.alias("spans"), "row")
+    return whole.select(F.col("id").alias(id_col), "base", ordered.alias("spans"))
 
 
 def as_text(spans: str) -> F.Column:
@@ -199,24 +199,30 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Every row is masked by what was found in its own text, whatever its id; null texts stay null.
     """
     keep, schema = docs.columns, docs.schema
-    number = next(c for c in (f"number{'_' * k}" for k in range(len(keep) + 1)) if c not in {n.lower() for n in keep})
+    number, key, more = free_names(keep, "number", "found_in", "found")
     docs = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    found = find(docs, number, text_col)
-    extra = materialise(found.filter(F.size("spans") > F.size("base")).select(F.col(number).alias("_id"), F.filter("spans", lambda s: ~F.exists("base", lambda b: (
-        b["start"] == s["start"]) & (b["end"] == s["end"]) & (b["kind"] == s["kind"]))).alias("_extra")), "pii-extra")
-    small = extra.count() <= SENT_SPANS
-    whole = docs.join(F.broadcast(extra) if small else extra, docs[number] == extra["_id"], "left").drop("_id")
+    spans = find(docs.select(F.col(number).alias("number"), F.col(text_col).alias("text")), "number", "text")
+    extra = materialise(spans.filter(F.size("spans") > F.size("base")).select(F.col("number").alias(key), F.filter("spans", lambda s: ~F.exists("base", lambda b: (
+        b["start"] == s["start"]) & (b["end"] == s["end"]) & (b["kind"] == s["kind"]))).alias(more)), "pii-extra")
+    small = (extra.agg(F.sum(F.size(more))).first()[0] or 0) <= SENT_SPANS
+    whole = docs.join(F.broadcast(extra) if small else extra, F.col(number) == F.col(key), "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, more in zip(batch.column(text_col).to_pylist(), batch.column("_extra").to_pylist()):
-                texts.append(None if text is None else mask(text, base_spans(text) + [(s["start"], s["end"], s["kind"]) for s in more or []]))
+            for text, found in zip(batch.column(text_col).to_pylist(), batch.column(more).to_pylist()):
+                texts.append(None if text is None else mask(text, base_spans(text) + [(s["start"], s["end"], s["kind"]) for s in found or []]))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in keep], keep)
 
     return whole.mapInArrow(run, schema)
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names with as many underscores as it takes to differ from all taken ones, whatever their case."""
+    lower = {t.lower() for t in taken}
+    return [next(c for c in (n + "_" * k for k in range(len(taken) + 1)) if c not in lower) for n in names]
+
+
 def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     parts, done = [], 0
     for a, b, kind in sorted(spans):
