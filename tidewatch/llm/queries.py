@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,8 +14,10 @@ from tidewatch.llm.words import table
 
 
 def vocabulary(name: str) -> str:
-    """Place of a public tokenizer's file; ``TOKENIZERS`` names another folder."""
-    return os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), name)
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
