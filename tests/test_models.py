@@ -169,3 +169,32 @@ def test_rows_that_stop_a_fit_are_not_learnt_and_shorten_it(spark):
     short = models.fit_stopped(rows, turned, "spike_in_15m", ["x", "noise"], trees=12, depth=2)
     assert short.stages[-1].getNumTrees < whole.stages[-1].getNumTrees == 12
     assert models.positive_probability(short, rows, "p").filter((F.col("p") > 0.5) == (F.col("spike_in_15m") == 1)).count() == 240
+
+
+def test_recalibration_is_swept_fitted_judged_and_saved(spark, tmp_path):
+    rows, names = horizons(spark).withColumn("spike_in_45m", F.lit(0)), ["x", "noise"]
+    fit, severity = models.fit_binary(rows, "spike_in_15m", names, trees=2, depth=2), models.fit_severity(rows, features=names, trees=3, depth=3)
+    limits = spark.createDataFrame([(1, 2.0, 3.0)], "machine_id long, threshold_p95 double, threshold_p99 double")
+    made = bundle.Bundle({"15m": fit, "30m": fit, "45m": fit, bundle.SEVERITY: severity}, limits, {"15m": 0.01, "30m": 0.77, "45m": 0.33, "60m": 0.01}, features=names)
+    sparse = rows.withColumn("spike_in_30m", F.when(F.col("bucket") < 5, F.col("spike_in_30m")))
+    report, fitted = bundle.recalibrate(made, sparse, rows, min_calibrate=200, replicates=50)
+    got = {(r.model, r["class"]): r for r in report.collect()}
+    assert set(got) == {("15m", None), ("30m", None), ("45m", None), ("60m", None), ("severity", None), ("severity", 0), ("severity", 1), ("severity", 2)}
+    assert got["30m", None].reason == "fewer than 100 rows to sweep" and got["45m", None].reason == "test labels of one class"
+    # x tells the label of every class, so a fitted model ranks and calibrates without fault
+    for key in (("15m", None), ("60m", None), ("severity", 0), ("severity", 1), ("severity", 2)):
+        r = got[key]
+        assert r.status == "recalibrated" and r.pr_auc == pytest.approx(1) and r.roc_auc == pytest.approx(1) and r.pr_auc_low == pytest.approx(1) == r.pr_auc_high
+    assert got["15m", None].alarm_f1 == pytest.approx(1) == got["severity", None].alarm_f1 and got["severity", None].pr_auc == pytest.approx(1)
+    assert got["severity", 1].n_pos == 60 and got["severity", None].n_pos == 120
+    assert fitted.alarms["30m"] == 0.77 and fitted.alarms["45m"] == 0.33 and fitted.alarms["15m"] == got["15m", None].alarm_threshold != 0.01
+    assert fitted.alarms["60m"] == got["60m", None].alarm_threshold and len(fitted.calibrators) == 3 and not made.calibrators
+    sure = bundle.probabilities(fitted, rows).select("severity_in_60m", *bundle.CLASSES).collect()
+    assert all(r[1 + r.severity_in_60m] == pytest.approx(1) for r in sure)
+    bundle.save(fitted, str(tmp_path / "b"), "fleet-2")
+    assert bundle.load(spark, str(tmp_path / "b"), features=names).alarms == fitted.alarms
+    report, kept = bundle.recalibrate(made, sparse, rows, replicates=50)  # 240 rows are too few for calibrators
+    assert {r.reason for r in report.filter("model = 'severity'").collect()} == {"fewer than 1000 rows to calibrate"}
+    assert kept.calibrators == [] and kept.alarms["60m"] == 0.01
+    none, same = bundle.recalibrate(bundle.Bundle({}, limits, {"15m": 0.2}), rows, rows)
+    assert none.count() == 0 and same.alarms == {"15m": 0.2}

@@ -6,11 +6,11 @@ version is either complete or not there; readers take the newest complete one un
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
@@ -117,12 +117,15 @@ def backtest(bundle: Bundle, val: DataFrame, test: DataFrame, min_rows: int = 10
     spark = val.sparkSession
     parts = {}
     for role, rows in (("val", val), ("test", test)):
-        labelled = rows.withColumn("severe", F.when(F.col(LABELS[SEVERITY]) > 0, (F.col(LABELS[SEVERITY]) == 2).cast("int")))
         keep = [*CLASSES, *OUTPUTS.values(), *LABELS.values()]
-        parts[role] = materialise(probabilities(bundle, labelled).select(*keep), f"backtest-{role}")
+        parts[role] = materialise(probabilities(bundle, _with_severe(rows)).select(*keep), f"backtest-{role}")
     return spark.createDataFrame([_report(name, parts["val"], parts["test"], min_rows) for name in LABELS if name in bundle.models], REPORT)
 
 
+def _with_severe(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("severe", F.when(F.col(LABELS[SEVERITY]) > 0, (F.col(LABELS[SEVERITY]) == 2).cast("int")))
+
+
 def _report(name: str, val: DataFrame, test: DataFrame, min_rows: int) -> tuple:
     label, classes = LABELS[name], 3 if name == SEVERITY else 2
     score = 1 - F.col(CLASSES[0]) if name == SEVERITY else F.col(OUTPUTS[name])
@@ -149,3 +152,99 @@ def _report(name: str, val: DataFrame, test: DataFrame, min_rows: int) -> tuple:
         row |= {f"alarm_{m}": on[m] for m in ("precision", "recall", "f1")} if on else {}
     row |= {"status": "skipped" if reason else "evaluated", "reason": reason}
     return tuple(row.get(c.split()[0]) for c in REPORT.split(", "))
+
+
+# --- fitted to another fleet ------------------------------------------------------------------------
+
+#: A row per model and, for the severity model, per class; ``ANY`` is any spike by the severity model.
+ANY = "60m"
+RECALIBRATION = ("model string, class int, status string, reason string, n_val long, n_test long, n_pos long, pr_auc double, pr_auc_low double, "
+                 "pr_auc_high double, roc_auc double, alarm_threshold double, alarm_precision double, alarm_recall double, alarm_f1 double")
+_NO_CLASS = -1
+
+
+def recalibrate(bundle: Bundle, val: DataFrame, test: DataFrame, *, min_calibrate: int = 1000, min_sweep: int = 100, replicates: int = 1000,
+                id_columns: tuple[str, ...] = ("machine_id", "bucket")) -> tuple[DataFrame, Bundle]:
+    """``RECALIBRATION`` rows and the bundle for the other fleet, to be saved as a version of its own.
+
+    The severity model's raw classes get new isotonic calibrators, and every model a new alarm level by the best F1, both from
+    ``val``; ``test`` gives ranking quality with its bootstrap interval.  Precision, recall and F1 are those on ``val`` at the chosen
+    level.  The severity row has means over the classes and the level for P(severe), ``ANY`` the level for any spike.  A model is
+    skipped, with the reason, if it has too few labelled rows in ``val``, or test labels of none or only one class; it then keeps its
+    calibrators and level.  All models and classes are judged in one pass of each kind.
+    """
+    spark = val.sparkSession
+    names = [n for n in LABELS if n in bundle.models]
+    keep = [*id_columns, *CLASSES, *OUTPUTS.values(), *LABELS.values()]
+    raw = replace(bundle, calibrators=[])
+    parts = {role: materialise(probabilities(raw, _with_severe(rows)).select(*keep), f"recalibrate-{role}") for role, rows in (("val", val), ("test", test))}
+    counts = {role: rows.agg(*[F.struct(F.count(LABELS[n]).alias("n"), F.count_if(F.col(LABELS[n]) > 0).alias("p")).alias(n) for n in names] or [F.lit(0)]).first()
+              for role, rows in parts.items()}
+    reasons = {n: _why_not(n, counts["val"][n].n, counts["test"][n], min_calibrate if n == SEVERITY else min_sweep) for n in names}
+    ready = [n for n in names if reasons[n] is None]
+    fits = list(bundle.calibrators)
+    if SEVERITY in ready:
+        fits = models.fit_calibrators(parts["val"].filter(F.col(LABELS[SEVERITY]).isNotNull()), LABELS[SEVERITY], CLASSES)
+    judged = {role: materialise(_judged(rows, ready, fits, id_columns), f"judged-{role}") for role, rows in parts.items()}
+    levels, quality = _levels(judged["val"].filter(F.col("class").isin(_NO_CLASS, 2))), _quality(judged["test"], id_columns, replicates)
+    rows, alarms = [], dict(bundle.alarms)
+    for n in names:
+        row = {"model": n, "status": "skipped" if reasons[n] else "recalibrated", "reason": reasons[n], "n_val": counts["val"][n].n,
+               "n_test": counts["test"][n].n, "n_pos": counts["test"][n].p}
+        if reasons[n]:
+            rows.append(row)
+        elif n == SEVERITY:
+            each = [quality[n, k] for k in range(len(CLASSES)) if (n, k) in quality]
+            ranked = [q for q in each if q["pr_auc"] is not None]
+            means = {m: sum(q[m] for q in ranked) / len(ranked) for m in ("pr_auc", "roc_auc")} if ranked else {}
+            rows += [row | means | levels[n, 2], row | {"model": ANY} | quality[ANY, _NO_CLASS] | levels[ANY, _NO_CLASS]]
+            rows += [row | {"class": k} | quality[n, k] for k in range(len(CLASSES)) if (n, k) in quality]
+            alarms[ANY] = levels[ANY, _NO_CLASS]["alarm_threshold"]
+        else:
+            rows.append(row | quality[n, _NO_CLASS] | levels[n, _NO_CLASS])
+            alarms["severe" if n == CASCADE else n] = levels[n, _NO_CLASS]["alarm_threshold"]
+    report = spark.createDataFrame([tuple(r.get(c.split()[0]) for c in RECALIBRATION.split(", ")) for r in rows], RECALIBRATION)
+    return report, replace(bundle, calibrators=fits, alarms=alarms, version=None)
+
+
+def _why_not(name: str, n_val: int, held, least: int) -> str | None:
+    if n_val < least:
+        return f"fewer than {least} rows to {'calibrate' if name == SEVERITY else 'sweep'}"
+    if not held.n:
+        return "no test rows"
+    return "test labels of one class" if name != SEVERITY and held.p in (0, held.n) else None
+
+
+def _judged(rows: DataFrame, ready: list[str], fits: list[IsotonicRegressionModel], id_columns: tuple[str, ...]) -> DataFrame:
+    """``id_columns, model, class, y, score`` for what each ready model is judged by."""
+    def part(model: str, k: int, label: str, y: Column, score: Column) -> Column:
+        return F.struct(F.lit(model).alias("model"), F.lit(k).alias("class"), F.when(F.col(label).isNotNull(), y.cast("int")).alias("y"), score.alias("score"))
+
+    found = [part(n, _NO_CLASS, LABELS[n], F.col(LABELS[n]) > 0, F.col(OUTPUTS[n])) for n in ready if n != SEVERITY]
+    if SEVERITY in ready:
+        rows, label = models.apply_calibrators(fits, rows, CLASSES), LABELS[SEVERITY]
+        found += [part(SEVERITY, k, label, F.col(label) == k, F.col(f"cal_{k}")) for k in range(len(CLASSES))]
+        found.append(part(ANY, _NO_CLASS, label, F.col(label) > 0, 1 - F.col("cal_0")))
+    empty = F.array().cast("array<struct<model:string,class:int,y:int,score:double>>")
+    return rows.select(*id_columns, F.inline(F.array(*found) if found else empty)).filter("y is not null")
+
+
+def _levels(judged: DataFrame) -> dict[tuple[str, int], dict[str, float]]:
+    """Chosen alarm level of each model and what it gives; a handful of rows."""
+    keys = ["model", "class"]
+    table = materialise(metrics.sweep(judged, keys), "swept")
+    best = metrics.best_threshold(table, keys).withColumnRenamed("threshold", "chosen")
+    near = table.join(best, keys).withColumn("away", F.abs(F.col("threshold") - F.col("chosen")))
+    picked = near.groupBy(*keys).agg(F.first("chosen").alias("chosen"), F.min_by(F.struct("precision", "recall", "f1"), "away").alias("at"))
+    return {(r.model, r["class"]): {"alarm_threshold": r.chosen, "alarm_precision": r["at"].precision, "alarm_recall": r["at"].recall, "alarm_f1": r["at"].f1}
+            for r in picked.collect()}
+
+
+def _quality(judged: DataFrame, id_columns: tuple[str, ...], replicates: int) -> dict[tuple[str, int], dict[str, float]]:
+    """Ranking quality of each model and class and its interval; a handful of rows."""
+    keys = ["model", "class"]
+    spans = metrics.bootstrap_interval(judged, keys, list(id_columns), replicates=replicates)
+    out = {(r.model, r["class"]): {"n_pos": r.n_pos, "pr_auc": r.pr_auc, "roc_auc": r.roc_auc} for r in metrics.ranking(judged, keys).collect()}
+    for r in spans.collect():
+        out[r.model, r["class"]] |= {"pr_auc_low": r.low, "pr_auc_high": r.high}
+    return out

@@ -77,10 +77,10 @@ def hash_sample(df: DataFrame, fraction: float, keys: tuple[str, ...] = ("machin
 
 
 def row_cap(df: DataFrame, cap: int, keys: tuple[str, ...] = ("machine_id", "bucket")) -> DataFrame:
-    """At most ``cap`` rows, chosen by hash order (a top-k, not a full sort)."""
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(cap)
+    """At most ``cap`` rows, chosen by the order of their draws (a top-k, not a full sort)."""
+    return df.orderBy(draw(keys), *keys).limit(cap)
 
 
 def machine_sample(df: DataFrame, machines: int, key: str = "machine_id") -> DataFrame:
-    chosen = df.select(key).distinct().orderBy(F.xxhash64(key), key).limit(machines)
+    chosen = df.select(key).distinct().orderBy(draw((key,)), key).limit(machines)
     return df.join(chosen, key, "left_semi")

@@ -300,7 +300,14 @@ def seeded_sample(spark, sf):
     return splits.seeded_sample(agg, 0.10)
 
 
-@query("k7_row_cap_and_machine_sample")
+_DRAW = "CAST('0x' || substr(md5({} || '|42'), 1, 13) AS BIGINT)"
+
+
+@query("k7_row_cap_and_machine_sample", sql(f"""
+SELECT *, 'rows' AS how FROM (SELECT * FROM agg ORDER BY {_DRAW.format("machine_id || '|' || bucket")}, machine_id, bucket LIMIT 2000)
+UNION ALL SELECT *, 'machines' FROM agg
+WHERE machine_id IN (SELECT machine_id FROM (SELECT DISTINCT machine_id FROM agg) ORDER BY {_DRAW.format("machine_id")}, machine_id LIMIT 10)""", "agg",
+                                               reals="total_cpu peak_cpu total_mem peak_mem disk_io"))
 def row_cap(spark, sf):
     agg = fx.agg_table(spark, sf)
     return (splits.row_cap(agg, 2_000).withColumn("how", F.lit("rows"))

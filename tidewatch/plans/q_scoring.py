@@ -786,3 +786,30 @@ def domain_recalibration(spark, sf):
     before = metrics.one_vs_rest(both, [], "severity_in_60m", names).withColumn("kind", F.lit("raw"))
     after = metrics.one_vs_rest(both, [], "severity_in_60m", ["cal_0", "cal_1", "cal_2"]).withColumn("kind", F.lit("recalibrated"))
     return before.unionByName(after)
+
+
+@query("m14_recalibrated_rows", sql("""
+SELECT model, n_val, n_test, n_pos, CASE WHEN reason IS NULL THEN 'recalibrated' ELSE 'skipped' END AS status, reason
+FROM (SELECT *, CASE WHEN model = 'severity' AND n_val < 1000 THEN 'fewer than 1000 rows to calibrate' WHEN model <> 'severity' AND n_val < 100 THEN 'fewer than 100 rows to sweep'
+        WHEN n_test = 0 THEN 'no test rows' WHEN model <> 'severity' AND n_pos IN (0, n_test) THEN 'test labels of one class' END AS reason FROM domain_counts)""", "domain_counts"))
+def recalibrated_rows(spark, sf):
+    """What each model of the bundle is fitted to another fleet on, and whether it can be."""
+    return _recalibrated(spark, sf)[0].filter(F.col("class").isNull() & (F.col("model") != bundle.ANY)).select("model", "n_val", "n_test", "n_pos", "status", "reason")
+
+
+@query("m14_recalibration_report")
+def recalibration_report(spark, sf):
+    return _recalibrated(spark, sf)[0]
+
+
+@query("m14_recalibrated_scoring")
+def recalibrated_scoring(spark, sf):
+    """Newest rows scored by the recalibrated bundle, saved as a version and read back."""
+    root = fresh_path(spark, "bundles")
+    bundle.save(_recalibrated(spark, sf)[1], root, "0001")
+    return _scored(spark, sf, bundle.load(spark, root)).select("machine_id", "status", *_PROBS, *_SCORED_COLS)
+
+
+def _recalibrated(spark, sf):
+    stored, rows = _stored_bundle(spark, sf)
+    return bundle.recalibrate(stored, rows.filter("split = 'val'"), rows.filter("split = 'test'"))
