@@ -107,3 +107,27 @@ def test_short_items_are_found_word_for_word(spark):
     assert {r.doc_id for r in leaks.without_leaks(frame(spark, docs), benchmark(spark, items)).collect()} == {2, 3, 4, 6}
     long = [*items, (6, "a longer item with words enough to be in the latent space", 0)]
     assert sorted((r.doc_id, r.item_id) for r in leaks.find_leaks(frame(spark, docs), benchmark(spark, long)).collect()) == want
+
+
+def test_the_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [text(rng, 200) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    words = sorted({w.encode() for w in WORDS[::3]})
+    terms = np.unique(leaks.word_hashes(next(leaks.word_blocks(leaks.pa.array([b" ".join(words).decode()]), separators=leaks.IS_MARK))))
+    weight = np.linspace(0.5, 2.0, len(terms))
+    want, held = np.zeros((len(terms), len(terms))), 0
+    for t in texts:
+        found = leaks._terms(leaks.word_hashes(next(leaks.word_blocks(leaks.pa.array([t]), separators=leaks.IS_MARK))), terms)
+        for a in range(0, len(found), leaks.HALF):
+            row = weight * np.bincount(found[a:a + leaks.HALF][found[a:a + leaks.HALF] >= 0], minlength=len(terms))
+            if row.any():
+                want += np.outer(row, row) / (row @ row)
+                held += 1
+    passages = leaks._survey(docs, terms).filter("terms is not null").select("terms")
+    assert passages.count() == held > 2000
+    matrix = np.random.default_rng(1).standard_normal((len(terms), 5))
+    none = (np.empty(0, np.int64), np.empty(0, np.int64))
+    for cells in (leaks._CELLS, 1):
+        monkeypatch.setattr(leaks, "_CELLS", cells)
+        assert np.allclose(leaks._squared(leaks._together(passages, weight), 0.5, weight, none, matrix), 0.5 * want @ matrix)

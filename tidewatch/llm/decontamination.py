@@ -2,7 +2,7 @@
 
 Benchmark items and documents are cut into passages of words. Passages are TF-IDF vectors over the terms of the items
 (no other term has a share in an item's vector), with document frequencies counted over all documents. A randomised
-SVD, whose matrix products are summed by Spark tasks, gives a latent space in which items are compared with every
+SVD of all passages, whose products of terms are summed by Spark tasks, gives a latent space in which items are compared with every
 passage, by cosine and by the share of the item that the passage holds. The share is measured against the item's own
 length in the space, so neither a short item in a long passage nor what the space cannot hold makes it small.
 Candidates are checked in place: the longest common subsequence of words has to cover most of the item, and of its
@@ -30,13 +30,15 @@ ITEM_BLOCK = 500
 HALF = 32
 #: The rank has to grow with ``ITEM_BLOCK``: what the space cannot hold of the items makes false candidates.
 RANK, SPARE_RANK, POWER_ROUNDS, SEED = 256, 16, 1, 7
-#: Document passages that the latent space is fitted on besides the items, about; one task hands in no more than its share.
-FIT_PASSAGES, FIT_PER_TASK, ITEM_WEIGHT = 20_000, 512, 10.0
+#: The latent space is fitted on the items and on all passages of the documents, which together weigh as much as so many at most.
+PASSAGES_WEIGH, ITEM_WEIGHT = 20_000, 10.0
 #: A candidate reaches one of ``COSINE`` and ``HELD`` (share of the item that the passage holds). Items of fewer than
 #: ``LEAST_WORDS`` are searched word for word.
 COSINE, HELD, COVERED, ANSWERED, LEAST_WORDS = 0.4, 0.5, 0.6, 0.5, 8
 #: Half passages that are compared at once.
 _AT_ONCE = 512
+#: Sums of pairs of terms that a task holds as one array, and pairs that it makes at once; passages that a task adds up, at least.
+_CELLS, _PAIRS, _TASK_PASSAGES = 1 << 25, 1 << 21, 2_000_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -120,42 +122,110 @@ def _product(owner: np.ndarray, term: np.ndarray, value: np.ndarray, matrix: np.
 
 
 def _survey(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """``term, n`` passages of each task that hold a term (term -1: all passages), and the sampled passages' ``terms``."""
+    """``term, n`` passages of each task that hold a term (term -1: all passages), and the ``terms`` of every passage that holds one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total, picked = np.zeros(len(terms), np.int64), 0, []
+        counts, total = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             for block in word_blocks(batch.column("text"), separators=IS_MARK):
-                half, _ = _halves(block)
-                h = word_hashes(block)
-                term = _terms(h, terms)
-                total += len(_halves(block)[1])
-                held = term >= 0
-                pairs = np.unique(half[held] * len(terms) + term[held]) if held.any() else np.empty(0, np.int64)
-                counts += np.bincount(pairs % max(len(terms), 1), minlength=len(terms))
-                ids = np.unique(half[held])
-                if len(ids):  # a passage's place in the sample follows from its words
-                    order = np.bitwise_xor.reduceat(h, np.searchsorted(half, ids)) * np.uint64(0x9E3779B97F4A7C15)
-                    best = ids[np.argsort(order)[:FIT_PER_TASK]]
-                    first, last = np.searchsorted(half, best), np.searchsorted(half, best, "right")
-                    picked += [(int(o), term[a:b][term[a:b] >= 0].tolist()) for o, a, b in zip(np.sort(order)[:FIT_PER_TASK].tolist(), first.tolist(), last.tolist())]
-                    picked = sorted(picked)[:FIT_PER_TASK]
+                half, text = _halves(block)
+                term = _terms(word_hashes(block), terms)
+                total += len(text)
+                held = np.flatnonzero(term >= 0)
+                if len(held):
+                    half, term = half[held], term[held]
+                    counts += np.bincount(np.unique(half * len(terms) + term) % len(terms), minlength=len(terms))
+                    ends = np.append(np.flatnonzero(half[1:] != half[:-1]) + 1, len(half)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), pa.array(term.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), pa.int64()), pa.nulls(len(ends), pa.int64()), lists], ["term", "n", "terms"])
         term = np.append(np.flatnonzero(counts), -1)
         n = np.append(counts[counts > 0], total)
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n), pa.nulls(len(term), pa.list_(pa.int32()))], ["term", "n", "terms"])
-        if picked:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(picked), pa.int64()), pa.nulls(len(picked), pa.int64()), pa.array([t for _, t in picked], pa.list_(pa.int32()))],
-                                             ["term", "n", "terms"])
 
     return materialise(docs.select("text").mapInArrow(run, "term long, n long, terms array<int>"), "leak-survey")
 
 
-def _squared(sample: DataFrame, weight: np.ndarray, items: tuple, matrix: np.ndarray) -> np.ndarray:
-    """``A' A matrix`` for the sampled passages (rows of length 1), summed by tasks, and the weighted items."""
+_ROW = "term int, others array<int>, sums array<double>"
+
+
+def _row(term: list, others: list, sums: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(others, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.float64()))], ["term", "others", "sums"])
+
+
+def _together(passages: DataFrame, weight: np.ndarray, tasks: int = 8) -> DataFrame:
+    """``A' A`` of all passages (``terms``; rows of length 1): a row for each term, with the terms from it on that share a passage.
+
+    A task adds up its passages in one array where the square of the terms allows, else a part of its passages at a time. At
+    most ``tasks`` do so, as each hands in its own sums.
+    """
+    size = len(weight)
+
+    def cut(keys: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begins = np.flatnonzero(np.append(True, keys[1:] // size != keys[:-1] // size)) if len(keys) else np.empty(0, np.int64)
+        for a in range(0, len(begins), 200):
+            ends = np.append(begins, len(keys))[a:a + 201]
+            parts = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+            yield _row((keys[ends[:-1]] // size).tolist(), [(keys[x:y] % size).astype(np.int32) for x, y in parts], [sums[x:y] for x, y in parts])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(matrix.shape)
+        whole = np.zeros(size * size) if size * size <= _CELLS else None
         for batch in batches:
             lists = batch.column("terms")
-            total += _gram(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64), weight, matrix)
+            owner, term, value = _sparse(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64), weight)
+            value = value / np.sqrt(np.bincount(owner, value ** 2))[owner]
+            left = np.searchsorted(owner, owner, "right") - np.arange(len(owner))  # terms of the passage from this one on
+            upto = np.cumsum(left)
+            low = 0
+            while low < len(owner):
+                high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + _PAIRS, "right")))
+                first = np.repeat(np.arange(low, high), left[low:high])
+                second = first + np.arange(len(first)) - np.repeat(upto[low:high] - left[low:high] - (upto[low] - left[low]), left[low:high])
+                keys, product = term[first] * size + term[second], value[first] * value[second]
+                if whole is not None:
+                    np.add.at(whole, keys, product)
+                else:
+                    keys, at = np.unique(keys, return_inverse=True)
+                    yield from cut(keys, np.bincount(at, product))
+                low = high
+        if whole is not None:
+            keys = np.flatnonzero(whole)
+            yield from cut(keys, whole[keys])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, np.zeros(size)
+
+        def done() -> pa.RecordBatch:
+            others = np.flatnonzero(sums)
+            return _row([at], [others.astype(np.int32)], [sums[others]])
+
+        for batch in batches:  # sorted by term
+            for term, others, values in zip(batch.column("term").to_pylist(), batch.column("others"), batch.column("sums")):
+                if term != at:
+                    if at is not None:
+                        yield done()
+                    at, sums = term, np.zeros(size)
+                sums[others.values.to_numpy()] += values.values.to_numpy()
+        if at is not None:
+            yield done()
+
+    rows = passages.coalesce(tasks).mapInArrow(run, _ROW).repartition(8, "term").sortWithinPartitions("term")
+    return materialise(rows.mapInArrow(add, _ROW), "leak-together")
+
+
+def _squared(together: DataFrame, share: float, weight: np.ndarray, items: tuple, matrix: np.ndarray) -> np.ndarray:
+    """``A' A matrix`` for all passages, ``share`` of its value, summed by tasks, and the weighted items."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(matrix.shape)
+        step = max(1, (1 << 22) // len(weight))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                term, lists = part.column("term").to_numpy(), part.column("others")
+                row, other = np.repeat(np.arange(len(term)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+                block = np.zeros((len(term), len(weight)))
+                block[row, other] = part.column("sums").flatten().to_numpy()
+                total[term] += block @ matrix
+                block[np.arange(len(term)), term] = 0
+                total += block.T @ matrix[term]
         held = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(list(total[held]), pa.list_(pa.float64()))], ["term", "row"])
 
@@ -168,9 +238,9 @@ def _squared(sample: DataFrame, weight: np.ndarray, items: tuple, matrix: np.nda
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["term", "row"])
 
     out = ITEM_WEIGHT ** 2 * _gram(*items, weight, matrix)
-    rows = sample.repartition(8).mapInArrow(run, "term long, row array<double>").repartition(8, "term").mapInArrow(add, "term long, row array<double>")
+    rows = together.mapInArrow(run, "term long, row array<double>").repartition(8, "term").mapInArrow(add, "term long, row array<double>")
     for r in rows.collect():  # a row for each term of an item block
-        out[r["term"]] += r["row"]
+        out[r["term"]] += share * np.asarray(r["row"])
     return out
 
 
@@ -211,16 +281,16 @@ def build(docs: DataFrame, items: list[Item]) -> Index:
         else:
             counts[r["term"]] = r["n"]
     weight = _weights(counts, passages)
-    sample = survey.filter("terms is not null").select("terms")
-    n = sample.count()
-    if n > FIT_PASSAGES:
-        sample = sample.filter(F.pmod(F.xxhash64("terms"), F.lit(1 << 30)) < int((1 << 30) * FIT_PASSAGES / n))
+    held = survey.filter("terms is not null").select("terms")
+    n = held.count()
+    share = min(1.0, PASSAGES_WEIGH / max(n, 1))
+    together = _together(held, weight, max(8, -(-n // _TASK_PASSAGES)))
     rows = (passage, np.searchsorted(terms, hashes))
     rank = min(RANK + SPARE_RANK, len(terms))
     basis = np.random.default_rng(SEED).standard_normal((len(terms), rank))
     for _ in range(1 + POWER_ROUNDS):
-        basis = np.linalg.qr(_squared(sample, weight, rows, basis))[0]
-    values, turn = np.linalg.eigh(basis.T @ _squared(sample, weight, rows, basis))
+        basis = np.linalg.qr(_squared(together, share, weight, rows, basis))[0]
+    values, turn = np.linalg.eigh(basis.T @ _squared(together, share, weight, rows, basis))
     keep = np.argsort(values)[::-1][:RANK]
     space = (basis @ turn[:, keep[values[keep] > 1e-9 * max(values.max(), 1e-300)]]).astype(np.float32)
     owner, term, value = _sparse(*rows, weight)
