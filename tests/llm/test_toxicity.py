@@ -58,3 +58,17 @@ def test_odd_rows(spark):
     assert toxicity.score(frame(spark, []), model).count() == 0
     nothing = toxicity.fit(frame(spark, []), labels.limit(0))
     assert {r.score for r in toxicity.score(frame(spark), nothing).collect()} == {0.5}
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(50)]
+    ids = spark.range(33_000).selectExpr("id", "pmod(xxhash64(id), 1 << 30) / (1 << 30) as place").filter("crc32(cast(cast(id as string) as binary)) % 3 <> 1").collect()
+    rows = []
+    for r in ids:  # the word stands only in rows that no sample of 20,000 has
+        toxic = r.place > 20_000 / len(ids)
+        rows.append((r.id, " ".join([rng.choice(words), rng.choice(words), "vile" if toxic else rng.choice(words)]), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    texts = spark.createDataFrame([(1, "vile"), (2, words[0])], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(texts, model).collect()} == {1: 1, 2: 0}

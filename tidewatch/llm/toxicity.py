@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A document's features are the hashes of its distinct words, pairs of neighbouring words and pairs with one word between
-them. Shards of the labelled sample are learnt side by side, each coordinate with its own rate and with L1
+them. Shards of the labelled rows are learnt side by side, each coordinate with its own rate and with L1
 shrinkage, and their weights are averaged. What is left after the L1 shrinkage is a small sorted table of weights that
 is sent to all workers.
 """
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.words import IS_MARK, Block, long_view, mix, word_blocks, word_hashes
 
-#: Labelled rows that a model is fitted on, about; rows are chosen by a hash of their id.
-FIT_ROWS = 20_000
+#: Rows of a shard; there are as many shards as the labelled rows make.
 SHARD_ROWS, EPOCHS = 4_000, 6
 #: L1 is near the number of epochs, so what occurs in one document alone gets no weight.
 ALPHA, BETA, L1, L2 = 8.0, 1.0, 4.0, 0.01
@@ -73,8 +72,8 @@ def learn(docs: list[np.ndarray], labels: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        fit_rows: int = FIT_ROWS) -> Model:
-    """A model from about ``fit_rows`` labelled documents that are not held out.
+        fit_rows: int | None = None) -> Model:
+    """A model from all labelled documents that are not held out (``fit_rows``: from about so many, chosen by a hash of their id).
 
     Of several labels of an id the largest counts; null ids and labels are left out; a label without a document is
     ignored. Without labelled documents the model scores every text 0.5.
@@ -82,11 +81,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
              .filter(F.col("id").isNotNull() & F.col("y").isNotNull()).filter(~held_out("id")).groupBy("id").agg(F.max("y").alias("y")))
     total = known.count()
-    if total > fit_rows:
+    if fit_rows is not None and total > fit_rows:
         known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / total))
-    shards = max(1, round(min(total, fit_rows) / SHARD_ROWS))
+    shards = max(1, round((total if fit_rows is None else min(total, fit_rows)) / SHARD_ROWS))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chosen = (texts.join(F.broadcast(known), "id")  # fit_rows rows of two numbers
+    chosen = (texts.join(known, "id")
               .select("id", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("shard"), "y", "text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     parts = chosen.mapInArrow(extract, "id long, shard long, y int, keys array<long>").groupBy("shard").applyInArrow(train, "key long, weight double")
     found = dict(parts.groupBy("key").agg((F.sum("weight") / shards).alias("weight")).filter(F.abs("weight") > 1e-3)
-                 .toPandas().itertuples(index=False, name=None))  # at most the features of the sample
+                 .toPandas().itertuples(index=False, name=None))  # what L1 left of the shards' features
     bias = found.pop(_BIAS, 0.0)
     keys = np.array(sorted(found), np.int64)
     return Model(bias, keys.view(np.uint64), np.array([found[k] for k in keys.tolist()], np.float64))
