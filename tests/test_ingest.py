@@ -130,3 +130,18 @@ def test_newest_readings_only(spark):
     r = spark.createDataFrame([(1, 300 * i) for i in range(100)] + [(2, 5)], "hostid long, clock long")
     out = inventory.interval_statistics(r, newest=60).collect()
     assert len(out) == 1 and out[0].n_readings == 60 and out[0].mean_gap == 300.0 and out[0].long_gaps == 0
+
+
+def test_merged_rollups_are_dealt_into_more_parts_for_more_records(spark, monkeypatch):
+    t = spark.range(3000).selectExpr("cast(id % 50 as double) AS machine_id", "id * 1e6 AS start_time", "(id + 5) * 1e6 AS end_time", "0.5 AS cpu_rate", "1.0 AS max_cpu_rate",
+                                     "0.25 AS canonical_mem_usage", "0.5 AS max_mem_usage", "0.0 AS mean_disk_io_time", "id AS batch_key")
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rollup.parts_for(t) == usual
+    monkeypatch.setattr(rollup, "PART_ROWS", 100)
+    parts = max(usual, 30)
+    assert rollup.parts_for(t) == parts
+    cut = F.col("batch_key") % 2 == 0
+    even, odd = (rollup.partial_rollup(t.filter(c), 300, parts) for c in (cut, ~cut))
+    assert even.rdd.getNumPartitions() == odd.rdd.getNumPartitions() == parts
+    got = {(r.machine_id, r.bucket): r for r in rollup.finish_rollup(rollup.merge_partials(even.unionByName(odd)), 300).collect()}
+    assert got == {(r.machine_id, r.bucket): r for r in rollup.rollup(t, 300).collect()}

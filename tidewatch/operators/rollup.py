@@ -32,12 +32,27 @@ def drop_audit(tasks: DataFrame) -> DataFrame:
         F.count_if(kept & ~bad_rate).alias("rows_out"))
 
 
-def partial_rollup(tasks: DataFrame, bucket_seconds: int = S.BUCKET_SECONDS) -> DataFrame:
-    """Mergeable sums and maxima per machine and bucket."""
-    return (usable_tasks(tasks)
-            .withColumn("bucket", bucket_of("start_time", bucket_seconds))
-            .withColumn("machine_id", F.col("machine_id").cast("long"))
-            .groupBy("machine_id", "bucket")
+#: Task records that one task's aggregation of partial rollups is planned for.
+PART_ROWS = 1_000_000
+
+
+def parts_for(tasks: DataFrame) -> int:
+    """How many parts partial rollups that are merged later should be dealt into: the usual number, more for more records."""
+    return max(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tasks.count() // PART_ROWS))
+
+
+def partial_rollup(tasks: DataFrame, bucket_seconds: int = S.BUCKET_SECONDS, parts: int | None = None) -> DataFrame:
+    """Mergeable sums and maxima per machine and bucket.
+
+    With ``parts``, records are dealt into so many parts by machine and bucket. Rollups with equal ``parts`` are merged where
+    they are, and what a task holds grows with the records in a part, not with all of them.
+    """
+    keyed = (usable_tasks(tasks)
+             .withColumn("bucket", bucket_of("start_time", bucket_seconds))
+             .withColumn("machine_id", F.col("machine_id").cast("long")))
+    if parts is not None:
+        keyed = keyed.repartition(parts, "machine_id", "bucket")
+    return (keyed.groupBy("machine_id", "bucket")
             .agg(F.sum(F.col("cpu_rate") * (F.col("end_time") - F.col("start_time"))).alias("cpu_time"),
                  F.max("max_cpu_rate").alias("peak_cpu"),
                  F.sum("canonical_mem_usage").alias("total_mem"),

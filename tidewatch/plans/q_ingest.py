@@ -355,10 +355,10 @@ FROM task_rollup""", "task_rollup", reals=_AGG_REALS))
 def merge_partials(spark, sf):
     """Two batches rolled up separately, then merged."""
     tasks = fx.task_usage(spark, sf)
-    even = F.col("batch_key") % 2 == 0
-    parts = rollup.partial_rollup(tasks.filter(even), fx.WEEK).unionByName(
-        rollup.partial_rollup(tasks.filter(~even), fx.WEEK))
-    return rollup.finish_rollup(rollup.merge_partials(parts), fx.WEEK)
+    even, parts = F.col("batch_key") % 2 == 0, rollup.parts_for(tasks)
+    both = rollup.partial_rollup(tasks.filter(even), fx.WEEK, parts).unionByName(
+        rollup.partial_rollup(tasks.filter(~even), fx.WEEK, parts))
+    return rollup.finish_rollup(rollup.merge_partials(both), fx.WEEK)
 
 
 @query("k5_union_parts", sql("""
@@ -368,9 +368,9 @@ SELECT machine_id, bucket, cpu_time, n_tasks FROM (
   FROM usable_tasks GROUP BY 1, 2, batch_key % 2)""", "usable_tasks", reals="cpu_time"))
 def union_parts(spark, sf):
     tasks = fx.task_usage(spark, sf)
-    even = F.col("batch_key") % 2 == 0
-    return rollup.partial_rollup(tasks.filter(even), fx.WEEK).unionByName(
-        rollup.partial_rollup(tasks.filter(~even), fx.WEEK)).select("machine_id", "bucket", "cpu_time", "n_tasks")
+    even, parts = F.col("batch_key") % 2 == 0, rollup.parts_for(tasks)
+    return rollup.partial_rollup(tasks.filter(even), fx.WEEK, parts).unionByName(
+        rollup.partial_rollup(tasks.filter(~even), fx.WEEK, parts)).select("machine_id", "bucket", "cpu_time", "n_tasks")
 
 
 @query("k1_ordered_table", sql("""
