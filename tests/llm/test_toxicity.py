@@ -72,3 +72,17 @@ def test_every_labelled_row_is_learnt_from(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     texts = spark.createDataFrame([(1, "vile"), (2, words[0])], "doc_id long, text string")
     assert {r.doc_id: r.predicted for r in toxicity.score(texts, model).collect()} == {1: 1, 2: 0}
+
+
+def test_features_are_not_shuffled(spark, monkeypatch):
+    """Labelled texts go to their shards as texts; their features take several times the room."""
+    sent = []
+    docs = spark.createDataFrame([(i, "a few words and a few more") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    frames = type(docs)
+    grouped = frames.groupBy
+    monkeypatch.setattr(frames, "groupBy", lambda df, *by: (sent.append(df) if by == ("shard",) else None, grouped(df, *by))[1])
+    toxicity.fit(docs, labels)
+    assert [dict(df.dtypes) for df in sent] == [{"id": "bigint", "shard": "bigint", "y": "int", "text": "string"}]
+    plan = sent[0]._jdf.queryExecution().executedPlan().toString()  # the same strategy for small and large labels, without a sort of texts
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
