@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tidewatch.session import materialise
 from tidewatch.operators import bundle, metrics, models, splits
 
 
@@ -198,3 +199,12 @@ def test_recalibration_is_swept_fitted_judged_and_saved(spark, tmp_path):
     assert kept.calibrators == [] and kept.alarms["60m"] == 0.01
     none, same = bundle.recalibrate(bundle.Bundle({}, limits, {"15m": 0.2}), rows, rows)
     assert none.count() == 0 and same.alarms == {"15m": 0.2}
+
+
+def test_a_fold_reads_its_own_rows_only(spark):
+    rows = spark.range(40).selectExpr("id", "cast(id % 4 as int) as fold", "if(id % 8 < 4, 'train', 'test') as role")
+    stored = materialise(rows, "folds", by=("fold", "role"))
+    assert stored.schema.names == rows.schema.names and sorted(stored.collect()) == sorted(rows.collect())
+    part = stored.filter("fold = 1 and role = 'train'")
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan and sorted(r.id for r in part.collect()) == [1, 9, 17, 25, 33]

@@ -173,3 +173,14 @@ def test_hot_machine_spreads_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(r["count"] for r in hot) == 19_999
     assert len(hot) >= 4 and max(r["count"] for r in hot) < 12_000
+
+
+def test_no_gap_is_filled_for_chunks_a_machine_does_not_reach(spark):
+    """The halo of a chunk holds copies of the last rows; without a chunk to follow there is nothing to fill for them."""
+    cells = [(1, b, b % 9 / 4) for b in range(2000, 4000, 10)]  # the chunk is 4096 long, all after 2656 is in the halo of the next
+    dense = series.dense_series(agg_rows(spark, cells), limits(spark, {1: (1.0, 2.0)}), size=4096)
+    rows = dense.select("bucket", "_own", "_first").orderBy("bucket").collect()
+    assert [(r.bucket, r._own, r._first) for r in rows] == [(b, True, b == 2000) for b in range(2000, 3991)]
+    both = series.dense_series(agg_rows(spark, cells + [(1, 5000, 1.0)]), limits(spark, {1: (1.0, 2.0)}), size=4096)
+    assert [r.bucket for r in both.filter("_own").select("bucket").orderBy("bucket").collect()] == list(range(2000, 5001))
+    assert [(r.bucket, r._own) for r in both.filter("_first").select("bucket", "_own").orderBy("bucket").collect()] == [(2000, True), (2656, False)]

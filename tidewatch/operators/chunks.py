@@ -57,6 +57,8 @@ def gap_fill(observed: DataFrame, per_key: DataFrame, *, key: str = "machine_id"
     ``carried`` columns, which reach every row without a join on the big side.
     Each (key, chunk) gets a start and an end marker; every row then emits
     itself and the empty buckets up to the next row, so one shuffle does it.
+    Halo copies for a chunk that the key does not reach find no start marker
+    and go before any gap is filled.  ``_first`` marks the first row of a chunk.
     """
     if back > size or ahead > size:
         raise ValueError("halo larger than a chunk")
@@ -74,12 +76,14 @@ def gap_fill(observed: DataFrame, per_key: DataFrame, *, key: str = "machine_id"
                            F.lit(1).alias("_kind"))
     merged = rows.unionByName(markers, allowMissingColumns=True)
     w = Window.partitionBy(key, CHUNK).orderBy(bucket, "_kind")
+    begin = w.rowsBetween(Window.unboundedPreceding, 0)
     stepped = merged.select(
         key, CHUNK, bucket, "_kind", *signals,
-        *[F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in carried],
-        F.lead(bucket).over(w).alias("_next")).filter(F.col("_next") > F.col(bucket))
+        *[F.first(c).over(begin).alias(c) for c in carried],
+        F.first("_kind").over(begin).alias("_opened"), F.first(bucket).over(begin).alias("_start"),
+        F.lead(bucket).over(w).alias("_next")).filter((F.col("_opened") == 0) & (F.col("_next") > F.col(bucket)))
     filled = stepped.select(
-        key, CHUNK, F.col(bucket).alias("_from"), "_kind", *signals, *carried,
+        key, CHUNK, F.col(bucket).alias("_from"), "_kind", "_start", *signals, *carried,
         F.explode(F.sequence(F.col(bucket), F.col("_next") - 1)).alias(bucket))
     real = (F.col("_kind") == 1) & (F.col("_from") == F.col(bucket))
     return filled.select(
@@ -87,6 +91,7 @@ def gap_fill(observed: DataFrame, per_key: DataFrame, *, key: str = "machine_id"
         *[F.when(real, F.col(s)).otherwise(F.lit(0)).alias(s) for s in signals],
         real.alias("observed"),
         (F.floor(F.col(bucket) / size) == F.col(CHUNK)).alias("_own"),
+        (F.col(bucket) == F.col("_start")).alias("_first"),
         (F.col(bucket) - F.col(CHUNK) * size).alias("_step"))
 
 
@@ -114,7 +119,7 @@ def row_chunks(df: DataFrame, *, key: str = "machine_id", order: str = "bucket",
 
 
 def owned(df: DataFrame) -> DataFrame:
-    helpers = [c for c in (CHUNK, "_own", "_step") if c in df.columns]
+    helpers = [c for c in (CHUNK, "_own", "_first", "_step") if c in df.columns]
     return df.filter("_own").drop(*helpers)
 
 

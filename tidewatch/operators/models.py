@@ -199,7 +199,7 @@ FOLD_MEASURES = ["macro_pr_auc", "macro_roc_auc", "macro_f1", "weighted_f1"]
 def cross_validate(folds: DataFrame, label: str, classes: tuple[int, ...], fit: Callable[[DataFrame], Transformer], side_by_side: int = 3) -> DataFrame:
     """One row per fold: the plan's counts, ``status`` fitted or skipped with its reason, and ``FOLD_MEASURES`` at ``alarm_threshold``.
 
-    ``folds`` (rows of ``splits.walk_forward``, labelled) should be a stored table: it is read once a fold. The counts of all folds
+    ``folds`` (rows of ``splits.walk_forward``, labelled) should be a table stored by fold and role: a fold reads its rows several times. The counts of all folds
     come from one aggregation; only folds that can be fitted are, ``side_by_side`` of them at a time.
     """
     spark = folds.sparkSession

@@ -53,15 +53,13 @@ def ewma_columns(w, cpu: Column, half_lives=S.HALF_LIVES, size: int = chunks.CHU
 
 def with_features(dense: DataFrame, slots: int = S.SLOTS_PER_DAY,
                   size: int = chunks.CHUNK_BUCKETS) -> DataFrame:
-    """All per-machine feature columns; needs threshold_p95 and threshold_p99."""
+    """All per-machine feature columns of ``dense_series``; needs threshold_p95 and threshold_p99."""
     w = chunks.series_window()
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     cpu, p95, p99 = F.col("total_cpu"), F.col("threshold_p95"), F.col("threshold_p99")
     over95, over99 = flag(cpu > p95), flag(cpu > p99)
 
-    base = dense.withColumns({
-        "spike_now": over95, "spike_severe_now": over99,
-        "_first": F.lag("bucket").over(w).isNull()})
+    base = dense.withColumns({"spike_now": over95, "spike_severe_now": over99})
     first = base.withColumns({
         **_offsets(w, cpu), **ewma_columns(w, cpu, size=size),
         "cpu_rolling_std_6": F.coalesce(F.stddev_samp(cpu).over(w.rowsBetween(-5, 0)), F.lit(0.0)),

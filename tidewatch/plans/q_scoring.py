@@ -596,7 +596,7 @@ def fitted_top_features(spark, sf):
 def _folds(spark, sf, label):
     table = features.train(fx.agg_table(spark, sf), **_OPTS)
     train = splits.labelled(splits.chronological(table).filter("split = 'train'").drop("split"), label)
-    return materialise(splits.walk_forward(train), "folds")
+    return materialise(splits.walk_forward(train), "folds", by=("fold", "role"))
 
 
 block("cv_rows", """

@@ -43,15 +43,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write a frame that several branches of a plan read, and continue from the table.
 
     Lineage ends at files in the shared folder, so a lost executor costs a
-    re-read and not a recomputation of everything before.
+    re-read and not a recomputation of everything before.  ``by`` names columns
+    (the last ones, of few values) whose values are folders, so a branch that
+    filters on them reads only its own rows.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 
