@@ -184,3 +184,30 @@ def test_no_gap_is_filled_for_chunks_a_machine_does_not_reach(spark):
     both = series.dense_series(agg_rows(spark, cells + [(1, 5000, 1.0)]), limits(spark, {1: (1.0, 2.0)}), size=4096)
     assert [r.bucket for r in both.filter("_own").select("bucket").orderBy("bucket").collect()] == list(range(2000, 5001))
     assert [(r.bucket, r._own) for r in both.filter("_first").select("bucket", "_own").orderBy("bucket").collect()] == [(2000, True), (2656, False)]
+
+
+def test_measured_rows_alone_give_what_the_filled_series_gives(spark):
+    """Gaps, nulls, machines without thresholds, idle buckets above a negative threshold, chunk borders."""
+    cells = [(m, b, ((b * 37 + (m or 0) * 11) % 100) / 50 - .4) for m in (1, 2, 3, None) for b in [*range(3, 90), *range(91, 4200)]
+             if (b * b * 13 + (m or 0)) % 11 < 3 or 1490 < b < 1530]
+    table = {1: (1.2, 1.3), 2: (-.2, -.1), 4: (1.0, 2.0)}
+    agg = agg_rows(spark, cells).unionByName(agg_rows(spark, [(5, 7, 1.0)])).withColumn(
+        "total_cpu", F.when(F.col("bucket") % 29 == 3, None).otherwise(F.col("total_cpu")))
+    known = limits(spark, table)
+    for at_least in (1, 3):
+        dense = series.observed_rows(series.with_labels(series.with_features(series.dense_series(agg, known, size=1500), size=1500), 12, at_least))
+        chunked = series.measured_series(agg, known, size=1500)
+        rows = series.observed_rows(series.measured_features(chunked, size=1500, labels=True, at_least=at_least))
+        names = ["machine_id", "bucket", *[c for c in S.MODEL_FEATURES if c in dense.columns], *S.LABELS]
+        want, got = (df.select(names).toPandas().sort_values(["machine_id", "bucket"], ignore_index=True) for df in (dense, rows))
+        assert len(want) == len(cells) + 1 and want["spike_in_last_1"].sum() > 0
+        pd.testing.assert_frame_equal(want, got, check_exact=False, rtol=1e-12, atol=1e-12)
+
+
+def test_features_fill_no_gaps(spark):
+    """A machine measured twice, a year apart: what is sorted does not grow with the buckets between."""
+    agg = agg_rows(spark, [(1, 0, .5), (1, 8000, .7)])
+    plan = features.build(agg, limits(spark, {1: (.4, .6)}), None)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "_from" not in text
+    assert {r.bucket: (r.cpu_lag_1, r.time_since_last_spike) for r in plan.collect()} == {0: (0.0, 24.0), 8000: (0.0, 24.0)}

@@ -95,6 +95,39 @@ def gap_fill(observed: DataFrame, per_key: DataFrame, *, key: str = "machine_id"
         (F.col(bucket) - F.col(CHUNK) * size).alias("_step"))
 
 
+def measured(observed: DataFrame, per_key: DataFrame, *, key: str = "machine_id",
+             bucket: str = "bucket", signals: list[str], carried: tuple[str, ...] = (),
+             back: int, ahead: int, size: int = CHUNK_BUCKETS) -> DataFrame:
+    """The measured rows of ``gap_fill`` alone, chunked with halo, for windows over ranges of buckets.
+
+    ``_start`` is the first bucket that the chunk sees, ``_last`` the last one of
+    the series.  Every (key, chunk) has a marker row, not ``observed``, a whole
+    chunk before its start; look-back ranges must be shorter than that.
+    """
+    if back > size or ahead > size:
+        raise ValueError("halo larger than a chunk")
+    start = F.greatest(F.col("first_bucket"), F.col(CHUNK) * size - back)
+    markers = per_key.select(
+        key, *carried, "first_bucket", F.col("last_bucket").alias("_last"),
+        F.explode(F.sequence(F.floor(F.col("first_bucket") / size).cast("long"),
+                             F.floor(F.col("last_bucket") / size).cast("long"))).alias(CHUNK)).select(
+        key, *carried, CHUNK, start.alias("_start"), "_last", (start - size).alias(bucket), F.lit(False).alias("observed"))
+    rows = observed.select(key, bucket, *signals, halo_copies(F.col(bucket), size, back, ahead).alias(CHUNK),
+                           F.lit(True).alias("observed"))
+    w = Window.partitionBy(key, CHUNK).orderBy(bucket)
+    begin = w.rowsBetween(Window.unboundedPreceding, 0)
+    told = rows.unionByName(markers, allowMissingColumns=True).select(
+        key, CHUNK, bucket, "observed", *signals,
+        *[F.first(c).over(begin).alias(c) for c in (*carried, "_start", "_last")],
+        F.lead(bucket).over(w).alias("_next"))
+    # no marker: the key does not reach the chunk; of rows with an equal bucket one stays, as in ``gap_fill``
+    once = told.filter(F.col("_start").isNotNull() & (F.col("_next").isNull() | (F.col("_next") > F.col(bucket)))).drop("_next")
+    return once.withColumns({
+        "_own": F.col("observed") & (F.floor(F.col(bucket) / size) == F.col(CHUNK)),
+        "_first": F.col("observed") & (F.col(bucket) == F.col("_start")),
+        "_step": F.col(bucket) - F.col(CHUNK) * size})
+
+
 def row_chunks(df: DataFrame, *, key: str = "machine_id", order: str = "bucket",
                back: int, ahead: int = 0, size: int = 4096, span: int = CHUNK_BUCKETS) -> DataFrame:
     """Number the rows of each key (from 0) and chunk them by that number, with halo.
@@ -119,7 +152,7 @@ def row_chunks(df: DataFrame, *, key: str = "machine_id", order: str = "bucket",
 
 
 def owned(df: DataFrame) -> DataFrame:
-    helpers = [c for c in (CHUNK, "_own", "_first", "_step") if c in df.columns]
+    helpers = [c for c in (CHUNK, "_own", "_first", "_step", "_start", "_last") if c in df.columns]
     return df.filter("_own").drop(*helpers)
 
 

@@ -21,12 +21,9 @@ def build(agg: DataFrame, limits: DataFrame, train_last: Column | None, *, bucke
     table; the wide result of the series stage is never shuffled again.
     """
     rows = materialise(cross.cross_section(agg, train_last), "cross-section")
-    dense = series.dense_series(rows, limits, extra=("cluster_cpu_p90", "machine_rank_in_cluster", *keep),
-                                horizon=horizon)
-    full = series.with_features(dense, slots)
-    if labels:
-        full = series.with_labels(full, horizon, at_least)
-    done = series.observed_rows(full)
+    chunked = series.measured_series(rows, limits, extra=("cluster_cpu_p90", "machine_rank_in_cluster", *keep),
+                                     horizon=horizon)
+    done = series.observed_rows(series.measured_features(chunked, slots, labels=labels, horizon=horizon, at_least=at_least))
     time_us = (F.col("bucket") * F.lit(bucket_seconds * 1_000_000)).alias("time_us")
     columns = [F.col(f).cast("long" if f == "n_tasks" else "double").alias(f) for f in S.MODEL_FEATURES]
     return done.select("machine_id", "bucket", time_us, *columns, *(S.LABELS if labels else []),

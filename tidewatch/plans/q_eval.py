@@ -18,8 +18,7 @@ from tidewatch.session import materialise
 def labelled_series(spark, sf):
     agg = fx.agg_table(spark, sf)
     limits = materialise(thresholds.learn(agg, thresholds.split_point(agg, S.TRAIN_RATIO)), "thresholds")
-    full = series.with_labels(series.with_features(series.dense_series(agg, limits), fx.SLOTS))
-    return series.observed_rows(full)
+    return series.observed_rows(series.measured_features(series.measured_series(agg, limits), fx.SLOTS, labels=True))
 
 
 def scores(spark, sf):

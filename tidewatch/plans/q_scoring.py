@@ -82,8 +82,8 @@ _PROBS = ["p15", "p30", "p45", "p_no", "p_mod", "p_sev", "p_ovr"]
 
 def _probs(spark, sf):
     rows, limits = _live(spark, sf)
-    dense = series.dense_series(rows, limits, horizon=0)
-    newest = scoring.latest(series.observed_rows(series.with_features(dense, fx.SLOTS)).select(
+    chunked = series.measured_series(rows, limits, horizon=0)
+    newest = scoring.latest(series.observed_rows(series.measured_features(chunked, fx.SLOTS)).select(
         "machine_id", "bucket", "total_cpu", "cpu_vs_p95", "cpu_spike_rate_24", "peak_cpu_vs_p95", "cpu_vs_p99"))
     warm = F.col("status") != "cold_start"
     one = lambda c: F.least(F.lit(1.0), c)
