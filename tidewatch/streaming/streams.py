@@ -206,18 +206,24 @@ def step_alarms(rows: pd.DataFrame, smoothed: float | None, streak: int, alpha:
 
     Rows without a probability have no mean but end or continue the streak; rows of a cold start are passed over.
     """
-    rows = rows.sort_values("cycle", ignore_index=True)
-    warm = (rows["status"] != "cold_start").to_numpy()
-    p = (rows["p_moderate"] + rows["p_severe"]).to_numpy(dtype=float)
+    cycle = rows["cycle"].to_numpy()
+    if len(rows) > 1 and not (cycle[1:] >= cycle[:-1]).all():
+        rows = rows.sort_values("cycle", ignore_index=True)
+    # a call has few rows, so work on arrays: each step of pandas costs as much as all of them
+    cells = {c: rows[c].to_numpy() for c in rows.columns}
+    warm = cells["status"] != "cold_start"
+    p = (rows["p_moderate"].to_numpy(dtype=float) + rows["p_severe"].to_numpy(dtype=float))
     known = warm & ~np.isnan(p)
     means = np.full(len(rows), np.nan)
-    if known.any():
-        values = p[known] if smoothed is None else np.concatenate(([smoothed], p[known]))
-        means[known] = pd.Series(values).ewm(alpha=alpha, adjust=False).mean().to_numpy()[-known.sum():]
-        smoothed = float(means[known][-1])
+    found = []
+    for x in p[known].tolist():
+        smoothed = x if smoothed is None else (1 - alpha) * smoothed + alpha * x
+        found.append(smoothed)
+    means[known] = found
     limit = rows["alarm_threshold"].to_numpy(dtype=float)
     below = known & (means < limit)
-    spiking = warm & rows["is_spike"].fillna(False).to_numpy(dtype=bool) & (~known | (means >= limit))
+    spike = cells["is_spike"] if cells["is_spike"].dtype == bool else np.array([v is not None and v == True for v in cells["is_spike"].tolist()], bool)  # noqa: E712
+    spiking = warm & spike & (~known | (means >= limit))
     counted = spiking[warm]
     at = np.arange(len(counted))
     stopped = np.maximum.accumulate(np.where(counted, -1, at)) if len(at) else at
@@ -225,9 +231,11 @@ def step_alarms(rows: pd.DataFrame, smoothed: float | None, streak: int, alpha:
     streaks[warm] = at - stopped + np.where(stopped < 0, streak, 0)
     after = int(streaks[warm][-1]) if len(at) else streak
     quiet = warm & (below | ((streaks > 0) & (streaks < at_least)))
-    for column, value in (("is_spike", False), ("is_severe", False), ("recommended_action", "normal")):
-        rows[column] = rows[column].mask(quiet, value)
-    return rows.assign(p_spike_smoothed=means, consecutive_alarms=streaks), smoothed, after
+    if quiet.any():
+        for column, value in (("is_spike", False), ("is_severe", False), ("recommended_action", "normal")):
+            cells[column] = cells[column].copy()
+            cells[column][quiet] = value
+    return pd.DataFrame({**cells, "p_spike_smoothed": means, "consecutive_alarms": streaks}, copy=False), smoothed, after
 
 
 def alarm_states(predictions: DataFrame, alpha: float = S.SMOOTHING_ALPHA, at_least: int = S.MIN_CONSECUTIVE, silent: float = 86_400.0) -> DataFrame:
@@ -248,7 +256,8 @@ def alarm_states(predictions: DataFrame, alpha: float = S.SMOOTHING_ALPHA, at_le
         smoothed, streak, seen = state.get if state.exists else (None, 0, now)
         if now - seen > wait:
             smoothed, streak = None, 0
-        done, smoothed, streak = step_alarms(pd.concat(list(parts)), smoothed, streak, alpha, at_least)
+        frames = list(parts)
+        done, smoothed, streak = step_alarms(frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True), smoothed, streak, alpha, at_least)
         if smoothed is not None or streak:
             state.update((smoothed, streak, now))
             state.setTimeoutDuration(wait)
