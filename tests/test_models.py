@@ -1,5 +1,8 @@
 """Attribution, walk-forward fits, calibration, search and bundles against plain versions."""
 
+import threading
+from functools import partial
+
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -208,3 +211,13 @@ def test_a_fold_reads_its_own_rows_only(spark):
     part = stored.filter("fold = 1 and role = 'train'")
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(fold" in plan and sorted(r.id for r in part.collect()) == [1, 9, 17, 25, 33]
+
+
+def test_models_of_a_bundle_are_fitted_side_by_side():
+    met = threading.Barrier(2, timeout=20)  # breaks unless two fits run at a time
+
+    def fit(name):
+        met.wait()
+        return name.upper()
+
+    assert models.side_by_side({n: partial(fit, n) for n in "abcd"}, at_once=2) == {n: n.upper() for n in "abcd"}

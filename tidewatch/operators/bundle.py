@@ -6,6 +6,7 @@ version is either complete or not there; readers take the newest complete one un
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
@@ -119,7 +120,9 @@ def backtest(bundle: Bundle, val: DataFrame, test: DataFrame, min_rows: int = 10
     for role, rows in (("val", val), ("test", test)):
         keep = [*CLASSES, *OUTPUTS.values(), *LABELS.values()]
         parts[role] = materialise(probabilities(bundle, _with_severe(rows)).select(*keep), f"backtest-{role}")
-    return spark.createDataFrame([_report(name, parts["val"], parts["test"], min_rows) for name in LABELS if name in bundle.models], REPORT)
+    with ThreadPoolExecutor(3) as pool:
+        rows = list(pool.map(lambda name: _report(name, parts["val"], parts["test"], min_rows), [n for n in LABELS if n in bundle.models]))
+    return spark.createDataFrame(rows, REPORT)
 
 
 def _with_severe(rows: DataFrame) -> DataFrame:

@@ -94,6 +94,12 @@ def class_probabilities(model: PipelineModel, df: DataFrame, outputs: list[str])
         "_x", "_p", "rawPrediction", "probability", "prediction")
 
 
+def side_by_side(fits: dict[str, Callable[[], PipelineModel]], at_once: int = 3) -> dict[str, PipelineModel]:
+    """The models by name, ``at_once`` of them fitted at a time: the short stages of one use the cores that another leaves."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(fits, pool.map(lambda fit: fit(), fits.values())))
+
+
 def search(train: DataFrame, label: str, grid: list[dict], features: list[str] | None = None) -> DataFrame:
     """Average precision of each parameter set on the later half of the training time: one rung of ``halving``."""
     table, _, _ = halving(train, label, grid, features, shares=(1.0,), refit=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
@@ -657,23 +659,26 @@ def saved_model(spark, sf):
 
 
 def _stored_bundle(spark, sf, without=()):
-    """Fitted models, calibrators and fixed alarm levels saved as a version and read back."""
-    rows = _training(spark, sf)
-    fits = {name: models.fit_binary(_part(rows, "train", bundle.LABELS[name]), bundle.LABELS[name], **_SMALL)
-            for name in ("15m", "30m", "45m") if name not in without}
+    """Fitted models, calibrators and fixed alarm levels saved as a version and read back, with the features they were fitted on and the rows these are of."""
+    agg = fx.agg_table(spark, sf)
+    last = thresholds.split_point(agg, S.TRAIN_RATIO)
+    limits = materialise(thresholds.learn(agg, last), "thresholds")
+    rows = materialise(splits.chronological(features.build(agg, limits, last, **_OPTS)), "features")
     train, val = _part(rows, "train", "severity_in_60m"), _part(rows, "val", "severity_in_60m")
-    fits[bundle.SEVERITY] = models.fit_severity(train, trees=10, depth=5)
-    if bundle.CASCADE not in without:
-        fits[bundle.CASCADE] = models.fit_binary(models.cascade_rows(train), "severe", **_SMALL)
+    binary = lambda name: models.fit_binary(_part(rows, "train", bundle.LABELS[name]), bundle.LABELS[name], **_SMALL)
+    wanted = {bundle.SEVERITY: lambda: models.fit_severity(train, trees=10, depth=5),
+              bundle.CASCADE: lambda: models.fit_binary(models.cascade_rows(train), "severe", **_SMALL),
+              **{name: partial(binary, name) for name in ("15m", "30m", "45m")}}
+    fits = models.side_by_side({name: fit for name, fit in wanted.items() if name not in without})
     held = materialise(models.class_probabilities(fits[bundle.SEVERITY], val, bundle.CLASSES).select("severity_in_60m", *bundle.CLASSES), "val")
-    made = bundle.Bundle(fits, _live(spark, sf)[1], ALARMS, models.fit_calibrators(held, "severity_in_60m", bundle.CLASSES))
+    made = bundle.Bundle(fits, limits, ALARMS, models.fit_calibrators(held, "severity_in_60m", bundle.CLASSES))
     root = fresh_path(spark, "bundles")
     bundle.save(made, root, "0001")
-    return bundle.load(spark, root), rows
+    return bundle.load(spark, root), rows, agg
 
 
-def _scored(spark, sf, stored):
-    live, _ = _live(spark, sf)
+def _scored(agg, stored):
+    live = fx.live(agg)
     known = scoring.limits_for(live, stored.thresholds)
     newest = scoring.latest(features.build(live, known.drop("threshold_source"), None, labels=False, **_OPTS))
     hist = scoring.history(live)
@@ -689,8 +694,8 @@ _SCORED_COLS = ["severity_class", "is_spike", "is_severe", "recommended_action"]
 @query("i3_multi_model_scoring")
 def multi_model_scoring(spark, sf):
     """Newest row per machine through every model of a stored bundle, calibrated, then the decision logic."""
-    stored, _ = _stored_bundle(spark, sf)
-    return _scored(spark, sf, stored).select("machine_id", "status", "observations_used", "threshold_source", *_PROBS, *_SCORED_COLS)
+    stored, _, agg = _stored_bundle(spark, sf)
+    return _scored(agg, stored).select("machine_id", "status", "observations_used", "threshold_source", *_PROBS, *_SCORED_COLS)
 
 
 @query("i3_scored_machines", sql("""
@@ -699,8 +704,8 @@ SELECT machine_id, status, observations_used, CASE WHEN t.machine_id IS NULL THE
 FROM history_rows LEFT JOIN (SELECT machine_id FROM thr) t USING (machine_id)""", "history_rows", "thr"))
 def scored_machines(spark, sf):
     """Which machines a bundle without two of its optional models has probabilities for."""
-    stored, _ = _stored_bundle(spark, sf, without=("45m", bundle.CASCADE))
-    return _scored(spark, sf, stored).select("machine_id", "status", "observations_used", "threshold_source", F.col("p_no").isNotNull().alias("has_classes"),
+    stored, _, agg = _stored_bundle(spark, sf, without=("45m", bundle.CASCADE))
+    return _scored(agg, stored).select("machine_id", "status", "observations_used", "threshold_source", F.col("p_no").isNotNull().alias("has_classes"),
                                              F.col("p45").isNotNull().alias("has_45m"), F.col("p_ovr").isNotNull().alias("has_cascade"))
 
 
@@ -773,7 +778,7 @@ def domain_backtest_report(spark, sf):
 
 
 def _backtest(spark, sf):
-    stored, rows = _stored_bundle(spark, sf)
+    stored, rows, _ = _stored_bundle(spark, sf)
     return bundle.backtest(stored, rows.filter("split = 'val'"), rows.filter("split = 'test'"))
 
 
@@ -806,10 +811,11 @@ def recalibration_report(spark, sf):
 def recalibrated_scoring(spark, sf):
     """Newest rows scored by the recalibrated bundle, saved as a version and read back."""
     root = fresh_path(spark, "bundles")
-    bundle.save(_recalibrated(spark, sf)[1], root, "0001")
-    return _scored(spark, sf, bundle.load(spark, root)).select("machine_id", "status", *_PROBS, *_SCORED_COLS)
+    _, fitted, agg = _recalibrated(spark, sf)
+    bundle.save(fitted, root, "0001")
+    return _scored(agg, bundle.load(spark, root)).select("machine_id", "status", *_PROBS, *_SCORED_COLS)
 
 
 def _recalibrated(spark, sf):
-    stored, rows = _stored_bundle(spark, sf)
-    return bundle.recalibrate(stored, rows.filter("split = 'val'"), rows.filter("split = 'test'"))
+    stored, rows, agg = _stored_bundle(spark, sf)
+    return *bundle.recalibrate(stored, rows.filter("split = 'val'"), rows.filter("split = 'test'")), agg
