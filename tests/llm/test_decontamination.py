@@ -131,3 +131,31 @@ def test_the_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
     for cells in (leaks._CELLS, 1):
         monkeypatch.setattr(leaks, "_CELLS", cells)
         assert np.allclose(leaks._squared(leaks._together(passages, weight), 0.5, weight, none, matrix), 0.5 * want @ matrix)
+
+
+def test_parts_of_a_product_do_not_grow_with_the_files(spark):
+    """Each task hands in as many rows as there are terms, so 40 files of sums may not be 40 tasks."""
+    size = 50
+    rows = [(t, list(range(t, size)), [float(1 + t + o) for o in range(t, size)]) for t in range(size)]
+    together = spark.createDataFrame(rows, leaks._ROW).repartition(40)
+    matrix = np.random.default_rng(1).standard_normal((size, 3))
+    weight = np.ones(size)
+    assert leaks._products(together, weight, matrix).count() <= 2 * size
+    whole = np.array([[1.0 + a + b for b in range(size)] for a in range(size)])
+    none = (np.empty(0, np.int64), np.empty(0, np.int64))
+    assert np.allclose(leaks._squared(together, 1.0, weight, none, matrix), whole @ matrix)
+
+
+def test_sums_of_halves_and_terms_by_lookup():
+    rng = np.random.default_rng(2)
+    matrix, per = rng.standard_normal((90, 7)).astype(np.float32), rng.integers(0, 9, 200)
+    ends = np.append(0, np.cumsum(per)) + 4
+    term, value = rng.integers(0, 90, ends[-1]), rng.random(ends[-1]).astype(np.float32)
+    want = np.array([(matrix[term[a:b]] * value[a:b, None]).sum(0) for a, b in zip(ends[:-1], ends[1:])])
+    assert np.allclose(leaks._halves_times(matrix, ends, term, value), want, atol=1e-5)
+    assert leaks._halves_times(matrix, np.zeros(3, np.int64), term, value).tolist() == np.zeros((2, 7)).tolist()
+    hashes = rng.integers(0, 1 << 18, 50_000).astype(np.uint64)  # many end in the same 16 bits
+    terms = np.unique(hashes[:9000])
+    place = {h: i for i, h in enumerate(terms.tolist())}
+    assert leaks._terms(hashes, terms).tolist() == [place.get(h, -1) for h in hashes.tolist()]
+    assert leaks._terms(hashes, terms[:0]).tolist() == [-1] * len(hashes)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.words import IS_MARK, Block, mix, prepare, word_blocks, word_hashes
-from tidewatch.session import materialise
+from tidewatch.session import discard, materialise
 
 ITEM_BLOCK = 500
 #: Words of half a passage; passages overlap by half.
@@ -54,6 +54,7 @@ class Index(NamedTuple):
     weight: np.ndarray     # inverse document frequency of each term
     space: np.ndarray      # terms x rank
     passages: np.ndarray   # item passages in the space, of length 1
+    shares: np.ndarray     # terms x item passages: the terms' share in each dot product; no columns if there are more than the rank
     norm: np.ndarray       # their lengths before
     owner: np.ndarray      # item of each
     places: list[np.ndarray]   # term of each word of an item
@@ -72,11 +73,20 @@ def make_item(number: int, text: str | None, answer: str | None) -> Item:
 
 def _terms(hashes: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """Number of each hash's term, -1 for others."""
-    sieve = np.zeros(1 << 16, bool)
-    sieve[terms & np.uint64(0xFFFF)] = True
+    ends = (terms & np.uint64(0xFFFF)).astype(np.int64)
+    first = np.full(1 << 16, -1, np.int32)  # a term with these low bits
+    first[ends] = np.arange(len(terms))
+    many = np.bincount(ends, minlength=1 << 16) > 1
     out = np.full(len(hashes), -1, np.int64)
-    maybe = np.flatnonzero(sieve[hashes & np.uint64(0xFFFF)])
-    if len(terms) and len(maybe):
+    low = (hashes & np.uint64(0xFFFF)).astype(np.int64)
+    at = first[low]
+    maybe = np.flatnonzero(at >= 0)
+    if len(maybe):
+        at = at[maybe]
+        hit = terms[at] == hashes[maybe]
+        out[maybe[hit]] = at[hit]
+        maybe = maybe[~hit]
+        maybe = maybe[many[low[maybe]]]  # others end alike
         at = np.minimum(np.searchsorted(terms, hashes[maybe]), len(terms) - 1)
         hit = terms[at] == hashes[maybe]
         out[maybe[hit]] = at[hit]
@@ -133,7 +143,8 @@ def _survey(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                 held = np.flatnonzero(term >= 0)
                 if len(held):
                     half, term = half[held], term[held]
-                    counts += np.bincount(np.unique(half * len(terms) + term) % len(terms), minlength=len(terms))
+                    pairs = np.sort(half * len(terms) + term)
+                    counts += np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])] % len(terms), minlength=len(terms))
                     ends = np.append(np.flatnonzero(half[1:] != half[:-1]) + 1, len(half)).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), pa.array(term.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), pa.int64()), pa.nulls(len(ends), pa.int64()), lists], ["term", "n", "terms"])
@@ -211,8 +222,9 @@ def _together(passages: DataFrame, weight: np.ndarray, tasks: int = 8) -> DataFr
     return materialise(rows.mapInArrow(add, _ROW), "leak-together")
 
 
-def _squared(together: DataFrame, share: float, weight: np.ndarray, items: tuple, matrix: np.ndarray) -> np.ndarray:
-    """``A' A matrix`` for all passages, ``share`` of its value, summed by tasks, and the weighted items."""
+def _products(together: DataFrame, weight: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    """``term, row``: each task's part of ``A' A matrix``. A part has as many rows as there are terms, so the number of tasks goes by
+    the pairs of terms and not by the files that these lie in."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(matrix.shape)
         step = max(1, (1 << 22) // len(weight))
@@ -229,6 +241,11 @@ def _squared(together: DataFrame, share: float, weight: np.ndarray, items: tuple
         held = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(list(total[held]), pa.list_(pa.float64()))], ["term", "row"])
 
+    return together.coalesce(max(2, len(weight) ** 2 // _CELLS)).mapInArrow(run, "term long, row array<double>")
+
+
+def _squared(together: DataFrame, share: float, weight: np.ndarray, items: tuple, matrix: np.ndarray) -> np.ndarray:
+    """``A' A matrix`` for all passages, ``share`` of its value, summed by tasks, and the weighted items."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -238,7 +255,7 @@ def _squared(together: DataFrame, share: float, weight: np.ndarray, items: tuple
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["term", "row"])
 
     out = ITEM_WEIGHT ** 2 * _gram(*items, weight, matrix)
-    rows = together.mapInArrow(run, "term long, row array<double>").repartition(8, "term").mapInArrow(add, "term long, row array<double>")
+    rows = _products(together, weight, matrix).repartition(8, "term").mapInArrow(add, "term long, row array<double>")
     for r in rows.collect():  # a row for each term of an item block
         out[r["term"]] += share * np.asarray(r["row"])
     return out
@@ -269,7 +286,7 @@ def build(docs: DataFrame, items: list[Item]) -> Index:
     items = [i for i in items if len(i.words) >= LEAST_WORDS]
     if not items:
         none = np.empty(0, np.float32)
-        return Index([], np.empty(0, np.uint64), none, none.reshape(0, 0), none.reshape(0, 0), none, np.empty(0, np.int64), [], short)
+        return Index([], np.empty(0, np.uint64), none, none.reshape(0, 0), none.reshape(0, 0), none.reshape(0, 0), none, np.empty(0, np.int64), [], short)
     hashes, passage, owner_ = _item_passages(items)
     terms = np.unique(hashes)
     survey = _survey(docs, terms)
@@ -285,19 +302,39 @@ def build(docs: DataFrame, items: list[Item]) -> Index:
     n = held.count()
     share = min(1.0, PASSAGES_WEIGH / max(n, 1))
     together = _together(held, weight, max(8, -(-n // _TASK_PASSAGES)))
+    discard(survey)
     rows = (passage, np.searchsorted(terms, hashes))
     rank = min(RANK + SPARE_RANK, len(terms))
     basis = np.random.default_rng(SEED).standard_normal((len(terms), rank))
     for _ in range(1 + POWER_ROUNDS):
         basis = np.linalg.qr(_squared(together, share, weight, rows, basis))[0]
     values, turn = np.linalg.eigh(basis.T @ _squared(together, share, weight, rows, basis))
+    discard(together)
     keep = np.argsort(values)[::-1][:RANK]
     space = (basis @ turn[:, keep[values[keep] > 1e-9 * max(values.max(), 1e-300)]]).astype(np.float32)
     owner, term, value = _sparse(*rows, weight)
     latent = _product(owner, term, value, space)
     norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
+    latent = latent / norm[:, None]
     places = np.split(rows[1], np.cumsum([len(i.words) for i in items])[:-1])
-    return Index(items, terms, weight.astype(np.float32), space, latent / norm[:, None], norm, owner_, places, short)
+    shares = np.ascontiguousarray(space @ latent.T) if len(latent) <= space.shape[1] else np.empty((len(terms), 0), np.float32)
+    return Index(items, terms, weight.astype(np.float32), space, latent, shares, norm, owner_, places, short)
+
+
+def _halves_times(matrix: np.ndarray, ends: np.ndarray, term: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The sum of ``value`` times the row of ``matrix`` over the terms of each half (from ``ends[i]`` to ``ends[i + 1]``): the
+    first terms of all halves at once, then the second ones, and so on."""
+    per = np.diff(ends)
+    order = np.argsort(-per, kind="stable")
+    begins = ends[:-1][order]
+    sums, rows = (np.zeros((len(per), matrix.shape[1]), np.float32) for _ in range(2))
+    for k, n in enumerate(np.searchsorted(-per[order], -np.arange(per.max(initial=0))).tolist()):
+        at = begins[:n] + k
+        np.take(matrix, term[at], axis=0, out=rows[:n], mode="clip")
+        rows[:n] *= value[at, None]
+        sums[:n] += rows[:n]
+    rows[order] = sums
+    return rows
 
 
 def common_words(item: dict[bytes, int], length: int, words: list[bytes]) -> int:
@@ -380,13 +417,9 @@ def leaks_in(index: Index, block: Block) -> Iterator[tuple[int, int, float | Non
     seen = np.zeros(len(index.terms) + 1, bool)  # the last is for words that are no terms
     for a in range(0, len(text), _AT_ONCE):
         b = min(a + _AT_ONCE + 1, len(text))  # the last half of a part is the first of the next
-        low, high = ends[a], ends[b]
-        begins = ends[a:b] - low
-        full = np.flatnonzero(ends[a + 1:b + 1] > ends[a:b])
-        latent = np.zeros((b - a, index.space.shape[1]), np.float32)
-        latent[full] = np.add.reduceat(index.space[term[low:high]] * value[low:high, None], begins[full], axis=0) if len(full) else 0
+        latent = _halves_times(index.shares if index.shares.shape[1] else index.space, ends[a:b + 1], term, value)
         whole = latent[:_AT_ONCE] + np.append(latent[1:], np.zeros((1, latent.shape[1]), np.float32), axis=0)[:_AT_ONCE] * joined[a:min(b, a + _AT_ONCE), None]
-        dot = whole @ index.passages.T
+        dot = whole if index.shares.shape[1] else whole @ index.passages.T
         near = dot >= np.minimum(COSINE * length[a:a + len(whole), None], HELD * index.norm)
         for w, p in np.argwhere(near).tolist():
             row, item = int(text[a + w]), int(index.owner[p])
