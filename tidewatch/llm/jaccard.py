@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.simhash import components, shingle_sets
-from tidewatch.llm.words import mix, prepare, word_blocks
+from tidewatch.llm.words import mix, partitions, prepare, word_blocks
 from tidewatch.session import discard, materialise
 
 WORDS, SIMILAR = 5, 80
@@ -32,9 +32,11 @@ WORDS, SIMILAR = 5, 80
 #: signatures of no element are kept.
 FEW_ERRORS, SMALL_COST, COST, FAMILIES = 11, 3, 1, 6
 #: Smallest sketch, elements a bucket, members that are compared in one group, and pairs a member up to which a group tells them all.
-BUCKETS, FILL, GROUP, FEW = 64, 2, 500, 4
+BUCKETS, FILL, GROUP, FEW = 64, 4, 500, 4
 #: Links told to Python memory of a task before equal ones are told apart; keys that may be broadcast (16 bytes each).
 TOLD, SENT = 200_000, 1_000_000
+#: Signatures that a task gathers before it sends them on, and those of one bucket, about; bits of a signature besides its bucket.
+GATHERED, TOGETHER, BITS = 2_000_000, 2_000_000, 48
 _U = np.uint64
 
 
@@ -122,14 +124,16 @@ def signatures(row: np.ndarray, elements: np.ndarray, rows: int, similar: int =
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Elements in each bucket, 255 for more; the number of buckets is a power of two and grows with the set."""
+    """Elements in each bucket, 15 for more, two buckets a byte; the number of buckets is a power of two and grows with the set."""
     buckets = max(BUCKETS, 1 << max(0, len(elements) // FILL - 1).bit_length())
-    return np.minimum(np.bincount((mix(elements) & _U(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+    counts = np.minimum(np.bincount((mix(elements) & _U(buckets - 1)).astype(np.int64), minlength=buckets), 15).astype(np.uint8)
+    return (counts[:buckets // 2] | counts[buckets // 2:] << 4).tobytes()
 
 
 def folded(sketch_: bytes, buckets: int) -> np.ndarray:
     """A sketch in fewer buckets."""
-    return np.frombuffer(sketch_, np.uint8).reshape(-1, buckets).sum(0, dtype=np.int32)
+    two = np.frombuffer(sketch_, np.uint8)
+    return np.concatenate((two & 15, two >> 4)).reshape(-1, buckets).sum(0, dtype=np.int32)
 
 
 def node_of(row: np.ndarray, elements: np.ndarray, rows: int) -> np.ndarray:
@@ -170,46 +174,86 @@ def _new_nodes(node: np.ndarray, seen: dict[int, None], most: int = 100_000) ->
     return new
 
 
-def _shared(docs: DataFrame, text_col: str, words: int, similar: int) -> DataFrame:
-    """``signature, node, first``: sets whose signature others have too, and the first of these."""
+def _packed(signature: np.ndarray, node: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of signatures: the nodes (8 bytes), how many signatures each has there (2 bytes), and these (6 bytes)."""
+    bucket = (((signature >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")  # rows of a node stay together
+    bucket, node = bucket[order], node[order]
+    low = (signature[order] & _U((1 << BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BITS // 8]
+    new = np.append(True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))[:len(node)]
+    new[::60_000] = True  # a count has 2 bytes
+    runs = np.flatnonzero(new)
+    counts, nodes = np.diff(np.append(runs, len(node))).astype("<u2"), node[runs]
+    begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)])
+    edges, places = np.append(begins, len(bucket)).tolist(), np.searchsorted(runs, np.append(begins, len(bucket))).tolist()
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begins]), pa.array([nodes[a:b].tobytes() for a, b in zip(places, places[1:])], pa.binary()),
+                                       pa.array([counts[a:b].tobytes() for a, b in zip(places, places[1:])], pa.binary()),
+                                       pa.array([low[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], ["bucket", "nodes", "counts", "low"])
+
+
+def _told(bucket: int, signature: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """``signature, node, first, several`` of the signatures of a bucket that more than one node has."""
+    order = np.argsort(signature)
+    key = signature[order]
+    same = key[1:] == key[:-1]
+    held = order[np.append(same, False)[:len(key)] | np.append(False, same)[:len(key)]]
+    key, node = signature[held], node[held]
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[:len(key)]  # else a copy told by another task
+    key, node = key[new], node[new]
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    count = np.diff(np.append(begins, len(key)))
+    first, size = np.repeat(node[begins], count), np.repeat(count, count)
+    keep = (size > 2) | (node != first)
+    named = key[keep] | np.uint64(bucket << BITS & (1 << 64) - 1)
+    return pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(node[keep]), pa.array(first[keep]), pa.array(size[keep] > 2)],
+                                      ["signature", "node", "first", "several"])
+
+
+def _shared(docs: DataFrame, text_col: str, words: int, similar: int, elements_: int) -> DataFrame:
+    """``signature, node, first, several``: sets whose signature others have too, the first of these, and whether they are more than
+    two. Of two there is a row of the other, of more one of each.
+
+    Signatures are sent as a row for each bucket of them and some thousands of texts, which names a set once for all its
+    signatures there. ``elements_``, those of all sets (there are about 0.6 signatures for one), say how many buckets there are.
+    """
+    buckets = min(1 << 64 - BITS, max(partitions(docs.sparkSession), -(-elements_ // TOGETHER)))
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, None] = {}
+        parts, n = [], 0
         for batch in batches:
             for block in word_blocks(batch.column("text")):
                 row, elements = shingle_sets(block, words)
                 node = node_of(row, elements, block.rows)
                 keep = _new_nodes(node, seen)[row]
                 who, signature = signatures(row[keep], elements[keep], block.rows, similar)
-                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(node[who])], ["signature", "node"])
+                order = np.argsort(who, kind="stable")
+                parts.append((signature[order], node[who[order]]))
+                n += len(who)
+                if n >= GATHERED:
+                    yield _packed(*map(np.concatenate, zip(*parts)), buckets)
+                    parts, n = [], 0
+        if n:
+            yield _packed(*map(np.concatenate, zip(*parts)), buckets)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first, single = None, None, False  # of the last group so far; single: its first row is not told yet
-        for batch in batches:
-            k, n = batch.column("signature").to_numpy(), batch.column("node").to_numpy()
-            if not len(k):
-                continue
-            new = np.append(key is None or k[0] != key, k[1:] != k[:-1])
-            begins = np.flatnonzero(new)
-            at = np.cumsum(new) - 1  # group of each row; -1: the group goes on
-            firsts = np.append(n[begins], first if first is not None else 0)
-            lead = firsts[at]
-            other = n != lead
-            other[1:] &= ~((k[1:] == k[:-1]) & (n[1:] == n[:-1]))  # a copy told by another task
-            many = np.zeros(len(begins) + 1, bool)
-            many[at[other]] = True
-            starts = begins[many[:-1]]
-            parts = [(k[other], n[other], lead[other]), (k[starts], n[starts], n[starts])]
-            if single and many[-1]:
-                parts.append((np.array([key]), np.array([first]), np.array([first])))
-                single = False
-            if len(begins):
-                single = not many[len(begins) - 1]
-                first = int(n[begins[-1]])
-            key = int(k[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["signature", "node", "first"])
-
-    return (docs.select("text").mapInArrow(made, "signature long, node long").repartition("signature").sortWithinPartitions("signature", "node")
-            .mapInArrow(told, "signature long, node long, first long"))
+        at, parts = None, []
+        for batch in batches:  # sorted by bucket
+            for bucket, nodes, counts, low in zip(*(batch.column(c).to_pylist() for c in ("bucket", "nodes", "counts", "low"))):
+                if bucket != at:
+                    if parts:
+                        yield _told(at, *map(np.concatenate, zip(*parts)))
+                    at, parts = bucket, []
+                wide = np.zeros((len(low) * 8 // BITS, 8), np.uint8)
+                wide[:, :BITS // 8] = np.frombuffer(low, np.uint8).reshape(-1, BITS // 8)
+                parts.append((wide.view("<u8").ravel(), np.repeat(np.frombuffer(nodes, np.int64), np.frombuffer(counts, "<u2"))))
+        if parts:
+            yield _told(at, *map(np.concatenate, zip(*parts)))
+
+    return (docs.select("text").mapInArrow(made, "bucket long, nodes binary, counts binary, low binary").repartition("bucket").sortWithinPartitions("bucket")
+            .mapInArrow(told, "signature long, node long, first long, several boolean"))
 
 
 def similar_sizes(a: Column, b: Column, similar: int) -> Column:
@@ -218,7 +262,7 @@ def similar_sizes(a: Column, b: Column, similar: int) -> Column:
 
 def within(a: bytes, b: bytes, most: int) -> bool:
     """Whether sketches allow sets that differ in at most ``most`` elements."""
-    buckets = min(len(a), len(b))
+    buckets = 2 * min(len(a), len(b))
     return int(np.abs(folded(a, buckets) - folded(b, buckets)).sum()) <= most
 
 
@@ -309,7 +353,7 @@ def _compared(members: list[Member], similar: int, shared: bool) -> Iterator[tup
         ids = np.unique(np.concatenate([np.frombuffer(m.held, _U) for m in members]), return_inverse=True)[1]
         ends, mark = np.append(0, np.cumsum(size)), np.zeros(len(ids), bool)
     else:
-        buckets = min(len(m.held) for m in members)
+        buckets = 2 * min(len(m.held) for m in members)
         held = np.stack([folded(m.held, buckets) for m in members])
     common = names[counts.argmax()]
     for i in np.flatnonzero(class_ != common).tolist():
@@ -387,9 +431,9 @@ def _some(rows: DataFrame) -> DataFrame:
 def _dealt(shared: DataFrame, roots: DataFrame, nodes: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Members of the groups whose sets are of several classes. Groups of the same sets are one; a group is cut into parts of about
     ``GROUP`` sets, and two parts each are dealt to be compared."""
-    rows = materialise(shared.join(roots.withColumnRenamed("root", "class"), "node", "left").select("signature", "node", F.coalesce("class", "node").alias("class")), "classed")
+    rows = materialise(shared.filter("several").join(roots.withColumnRenamed("root", "class"), "node", "left").select("signature", "node", F.coalesce("class", "node").alias("class")), "classed")
     groups = (rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.sum(F.hash("node").cast("long")).alias("h0"),
-                                            F.bit_xor(F.xxhash64("node")).alias("h1")).filter("n > 2 and c0 != c1"))  # two sets were compared as the first and another
+                                            F.bit_xor(F.xxhash64("node")).alias("h1")).filter("c0 != c1"))  # of two sets the first and the other were compared
     groups = groups.groupBy("n", "h0", "h1").agg(F.min("signature").alias("signature")).select("signature", F.ceil(F.col("n") / GROUP).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.least(p, part).alias("low"), F.greatest(p, part).alias("high")))
@@ -461,7 +505,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marks = materialise(_marks(docs, "text", words), "marks")
     nodes = materialise(marks.filter("node != 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
-    shared = materialise(_shared(docs, "text", words, similar), "shared")
+    elements = nodes.agg(F.sum("size")).first()[0] or 0
+    shared = materialise(_shared(docs, "text", words, similar, elements), "shared")
     pairs = shared.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     links = _verified(materialise(_likely(pairs, nodes, similar), "likely"), docs, words, similar)
     roots = components(links)
