@@ -54,7 +54,6 @@ class Index(NamedTuple):
     weight: np.ndarray     # inverse document frequency of each term
     space: np.ndarray      # terms x rank
     passages: np.ndarray   # item passages in the space, of length 1
-    shares: np.ndarray     # terms x item passages: the terms' share in each dot product; no columns if there are more than the rank
     norm: np.ndarray       # their lengths before
     owner: np.ndarray      # item of each
     places: list[np.ndarray]   # term of each word of an item
@@ -286,7 +285,7 @@ def build(docs: DataFrame, items: list[Item]) -> Index:
     items = [i for i in items if len(i.words) >= LEAST_WORDS]
     if not items:
         none = np.empty(0, np.float32)
-        return Index([], np.empty(0, np.uint64), none, none.reshape(0, 0), none.reshape(0, 0), none.reshape(0, 0), none, np.empty(0, np.int64), [], short)
+        return Index([], np.empty(0, np.uint64), none, none.reshape(0, 0), none.reshape(0, 0), none, np.empty(0, np.int64), [], short)
     hashes, passage, owner_ = _item_passages(items)
     terms = np.unique(hashes)
     survey = _survey(docs, terms)
@@ -315,26 +314,48 @@ def build(docs: DataFrame, items: list[Item]) -> Index:
     owner, term, value = _sparse(*rows, weight)
     latent = _product(owner, term, value, space)
     norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
-    latent = latent / norm[:, None]
     places = np.split(rows[1], np.cumsum([len(i.words) for i in items])[:-1])
-    shares = np.ascontiguousarray(space @ latent.T) if len(latent) <= space.shape[1] else np.empty((len(terms), 0), np.float32)
-    return Index(items, terms, weight.astype(np.float32), space, latent, shares, norm, owner_, places, short)
+    return Index(items, terms, weight.astype(np.float32), space, latent / norm[:, None], norm, owner_, places, short)
 
 
 def _halves_times(matrix: np.ndarray, ends: np.ndarray, term: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The sum of ``value`` times the row of ``matrix`` over the terms of each half (from ``ends[i]`` to ``ends[i + 1]``): the
-    first terms of all halves at once, then the second ones, and so on."""
+    first terms of all halves at once, then the second ones, and so on.
+
+    Single precision, so the order counts: eights of the terms after the first are summed in eight lanes, which are added in pairs,
+    then the terms left over, as ``np.add.reduceat`` does for up to 128.
+    """
     per = np.diff(ends)
     order = np.argsort(-per, kind="stable")
-    begins = ends[:-1][order]
-    sums, rows = (np.zeros((len(per), matrix.shape[1]), np.float32) for _ in range(2))
-    for k, n in enumerate(np.searchsorted(-per[order], -np.arange(per.max(initial=0))).tolist()):
+    begins, rest = ends[:-1][order], per[order] - 1
+    paired = rest - rest % 8
+    n = len(per)
+    x, sums, out = (np.zeros((n, matrix.shape[1]), np.float32) for _ in range(3))
+    lanes = np.zeros((8, np.count_nonzero(paired > 0), matrix.shape[1]), np.float32)
+
+    def rows(k: int, n: int) -> np.ndarray:
         at = begins[:n] + k
-        np.take(matrix, term[at], axis=0, out=rows[:n], mode="clip")
-        rows[:n] *= value[at, None]
-        sums[:n] += rows[:n]
-    rows[order] = sums
-    return rows
+        np.take(matrix, term[at], axis=0, out=x[:n], mode="clip")
+        x[:n] *= value[at, None]
+        return x[:n]
+
+    low = 0
+    for k in range(rest.max(initial=-1) + 1):
+        upto, eights = np.searchsorted(-rest, -k), np.searchsorted(-paired, -k)  # halves with more terms, with more eights
+        new = rows(k + 1, upto)
+        if k % 8 == 0:
+            sums[eights:low] = _paired(lanes[:, eights:low])
+            low = eights
+        lanes[k % 8, :eights] += new[:eights]
+        sums[eights:upto] += new[eights:]
+    sums[:low] = _paired(lanes[:, :low])
+    held = np.searchsorted(-per[order], 0)
+    out[order[:held]] = rows(0, held) + sums[:held]
+    return out
+
+
+def _paired(r: np.ndarray) -> np.ndarray:
+    return ((r[0] + r[1]) + (r[2] + r[3])) + ((r[4] + r[5]) + (r[6] + r[7]))
 
 
 def common_words(item: dict[bytes, int], length: int, words: list[bytes]) -> int:
@@ -417,9 +438,9 @@ def leaks_in(index: Index, block: Block) -> Iterator[tuple[int, int, float | Non
     seen = np.zeros(len(index.terms) + 1, bool)  # the last is for words that are no terms
     for a in range(0, len(text), _AT_ONCE):
         b = min(a + _AT_ONCE + 1, len(text))  # the last half of a part is the first of the next
-        latent = _halves_times(index.shares if index.shares.shape[1] else index.space, ends[a:b + 1], term, value)
+        latent = _halves_times(index.space, ends[a:b + 1], term, value)
         whole = latent[:_AT_ONCE] + np.append(latent[1:], np.zeros((1, latent.shape[1]), np.float32), axis=0)[:_AT_ONCE] * joined[a:min(b, a + _AT_ONCE), None]
-        dot = whole if index.shares.shape[1] else whole @ index.passages.T
+        dot = whole @ index.passages.T
         near = dot >= np.minimum(COSINE * length[a:a + len(whole), None], HELD * index.norm)
         for w, p in np.argwhere(near).tolist():
             row, item = int(text[a + w]), int(index.owner[p])
