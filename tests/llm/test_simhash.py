@@ -9,6 +9,7 @@ import xxhash
 from tidewatch.llm import queries, simhash
 
 from tests.llm.helpers import SF, documents, frame, odd_rows
+from tests.llm.test_jaccard import plain, template_rows
 
 
 def plain_fingerprint(text):
@@ -159,3 +160,28 @@ def test_pairs_at_the_limit_share_a_band_key_of_five_word_shingles():
         assert (np.bincount(row) == (len(a), len(b))).all() and len(np.intersect1d(found[row == 0], found[row == 1])) == len(a & b)
         _, keys = simhash._band_keys(row, found, 2)
         assert (keys[0] == keys[1]).any()
+
+
+def test_one_of_each_drops_similar_texts_without_a_band_key_in_common(spark):
+    """Pairs exactly at the limit; of 600,000 like these, five have no key in common."""
+    rows = []
+    for i in (3311, 237638, 343533, 545176, 554556):
+        same = [f"{c}{i}" for c in "abcdefghijkl"]
+        a, b = (" ".join([*same, f"{c}{i}"]) for c in "mn")
+        assert len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) == 0.8
+        block = next(simhash.word_blocks(pa.array([a, b])))
+        _, keys = simhash._band_keys(*simhash.shingle_sets(block), 2)
+        assert not (keys[0] == keys[1]).any()
+        rows += [(i, b, "", 0, 0, ""), (i + 10 ** 6, a, "", 0, 0, "")]
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == [3311, 237638, 343533, 545176, 554556]
+
+
+def test_one_of_each_needs_no_band_keys(spark, monkeypatch):
+    """Texts of one template, chains of links and short texts, with half of the candidates or none."""
+    rows = [(i, t, "", 0, 0, "") for i, t in template_rows()]
+    want = sorted({root for _, _, root in plain([r[:2] for r in rows])})
+    assert 50 < len(want) < 0.8 * len(rows)
+    found = simhash._candidates
+    for given in (lambda nodes: found(nodes).filter("a % 2 = 0"), lambda nodes: found(nodes).limit(0)):
+        monkeypatch.setattr(simhash, "_candidates", given)
+        assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == want

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.simhash import components, shingle_sets
+from tidewatch.llm.simhash import components, node_of, shingle_sets
 from tidewatch.llm.words import mix, partitions, prepare, word_blocks
 from tidewatch.session import discard, materialise
 
@@ -136,15 +136,6 @@ def folded(sketch_: bytes, buckets: int) -> np.ndarray:
     return np.concatenate((two & 15, two >> 4)).reshape(-1, buckets).sum(0, dtype=np.int32)
 
 
-def node_of(row: np.ndarray, elements: np.ndarray, rows: int) -> np.ndarray:
-    """A number of each set, 0 for the empty one; of 64 bits, so different sets have different ones as surely as different n-grams."""
-    node = np.zeros(rows, _U)
-    if len(row):
-        begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        node[row[begins]] = mix(np.add.reduceat(mix(elements ^ _U(7)), begins) + _U(3)) | _U(1)
-    return node.view(np.int64)
-
-
 def _marks(docs: DataFrame, text_col: str, words: int) -> DataFrame:
     """``id, size, node, sketch`` of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,24 +483,34 @@ def _rows(rows: set[tuple] | list[tuple], names: tuple[str, ...]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "same" else pa.int64()) for n, c in zip(names, cells)], list(names))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """``id, n_shingles, component_id`` of every row.
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of sets of different classes."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
-    A text's set holds its different runs of ``words`` words, lower-cased; a text of fewer words is one run, null or no words none.
-    Sets link if 100 times their intersection is at least ``similar`` times their union; ``component_id`` is the smallest id
-    reachable by links, itself included. Empty sets link with nothing, so each has its own id. Equal texts are one set with
-    several ids; null ids are never the smallest, and a class of null ids alone has a null component. Repeated rows give a row
-    each, no rows give none, other columns are ignored. Ids are whole numbers.
+
+def classes(docs: DataFrame, nodes: DataFrame, words: int = WORDS, similar: int = SIMILAR, known: DataFrame | None = None) -> DataFrame:
+    """``node, root`` of every set that links with another: the smallest node it can reach.
+
+    ``docs`` has the ``text`` of every set, copies may repeat; ``nodes`` has ``node, size, sketch`` of each set but the empty one.
+    ``known`` are verified links ``a, b``; sets that these join are not compared again.
     """
-    prepare(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marks = materialise(_marks(docs, "text", words), "marks")
-    nodes = materialise(marks.filter("node != 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
     elements = nodes.agg(F.sum("size")).first()[0] or 0
     shared = materialise(_shared(docs, "text", words, similar, elements), "shared")
     pairs = shared.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    links = _verified(materialise(_likely(pairs, nodes, similar), "likely"), docs, words, similar)
-    roots = components(links)
+    if known is not None:
+        roots = components(known)
+        pairs = _apart(pairs, roots)
+    likely = materialise(_likely(pairs, nodes, similar), "likely")
+    if known is None:
+        links = _verified(likely, docs, words, similar)
+        roots = components(links)
+    elif likely.isEmpty():
+        links = known
+    else:
+        links = known.unionByName(_verified(likely, docs, words, similar))
+        roots = components(links)
     tried = materialise(_first_pairs(_dealt(shared, roots, nodes), similar), "tried")
     if not tried.isEmpty():
         links = links.unionByName(_verified(_some(tried), docs, words, similar))
@@ -524,8 +525,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 links = links.unionByName(_settled(dense, docs, words, similar))
             roots = components(links)
     discard(shared)
-    classes = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    named = classes.join(classes.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
+    return roots
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """``id, n_shingles, component_id`` of every row.
+
+    A text's set holds its different runs of ``words`` words, lower-cased; a text of fewer words is one run, null or no words none.
+    Sets link if 100 times their intersection is at least ``similar`` times their union; ``component_id`` is the smallest id
+    reachable by links, itself included. Empty sets link with nothing, so each has its own id. Equal texts are one set with
+    several ids; null ids are never the smallest, and a class of null ids alone has a null component. Repeated rows give a row
+    each, no rows give none, other columns are ignored. Ids are whole numbers.
+    """
+    prepare(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marks = materialise(_marks(docs, "text", words), "marks")
+    nodes = materialise(marks.filter("node != 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
+    roots = classes(docs, nodes, words, similar)
+    rooted = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
     known = marks.filter("node != 0").select("id", "size", "node").join(named, "node").select("id", "size", "component_id")
     return (known.unionByName(marks.filter("node = 0").select("id", "size", F.col("id").alias("component_id")))
             .select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id"))

@@ -249,8 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-#: Near-duplicates share so much of their shingles of so many words. Candidates have one of ``BANDS`` keys in common, each of
-#: ``BAND_ROWS`` minimal hashes: of pairs at the limit one in 150,000 has none (fewer above it). Texts verified by one task.
+#: Near-duplicates share so much of their shingles of so many words. First candidates have one of ``BANDS`` keys in common, each of
+#: ``BAND_ROWS`` minimal hashes; of pairs at the limit one in 150,000 has none (fewer above it) and is left to the exact join of
+#: ``jaccard``. Texts verified by one task.
 SHINGLE, SIMILAR, BANDS, BAND_ROWS, CHUNK = 5, 0.8, 30, 5, 1000
 
 
@@ -275,13 +276,21 @@ def shingle_sets(block: Block, words: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return row[new], out[new]
 
 
+def node_of(row: np.ndarray, elements: np.ndarray, rows: int) -> np.ndarray:
+    """A number of each set, 0 for the empty one; of 64 bits, so different sets have different ones as surely as different n-grams."""
+    node = np.zeros(rows, _U)
+    if len(row):
+        begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        node[row[begins]] = mix(np.add.reduceat(mix(elements ^ _U(7)), begins) + _U(3)) | _U(1)
+    return node.view(np.int64)
+
+
 def _band_keys(row: np.ndarray, shingles: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """A number of each text's set of shingles, and its band keys; zeros without shingles."""
-    node, keys = np.zeros(rows, _U), np.zeros((rows, BANDS), _U)
+    """``node_of`` each text's set of shingles, and its band keys; zeros without shingles."""
+    node, keys = node_of(row, shingles, rows), np.zeros((rows, BANDS), _U)
     if len(row):
         begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         held = row[begins]
-        node[held] = mix(np.add.reduceat(mix(shingles ^ _U(SEED)), begins) + _U(1))
         seeds = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS, BAND_ROWS, 2), _U)
         for band in range(BANDS):
             key = np.full(len(held), band, _U)
@@ -369,10 +378,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, as they are, without near-duplicates: of each class the one with the smallest id stays.
 
     Two texts link if their sets of shingles of ``words`` words have a Jaccard similarity of at least ``SIMILAR``; classes are
-    of such links only. Minimal hashes, not fingerprints, give the candidates: 64 bits and a budget of three would miss most,
-    and a budget for nearly all is too wide for the tries. Every candidate is verified on its words. Null texts count as empty;
-    a null id stays only where its class has no other; of repeated rows one stays.
+    of such links only, and of all of them. Minimal hashes, not fingerprints, give the first candidates: 64 bits and a budget of
+    three would miss most, and a budget for nearly all is too wide for the tries. Every candidate is verified on its words. Links
+    between texts without a band key in common come from the exact join of ``jaccard``, which compares what is not joined by then.
+    Null texts count as empty; a null id stays only where its class has no other; of repeated rows one stays.
     """
+    from tidewatch.llm import jaccard  # which imports this module
+
     prepare(docs.sparkSession)
     names = docs.columns
     taken = {n.lower() for n in names}
@@ -380,23 +392,30 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, keys = [np.empty(0, _U)], [np.empty((0, BANDS), _U)]
+            node, keys, size, sketches = [np.empty(0, np.int64)], [np.empty((0, BANDS), _U)], [np.empty(0, np.int64)], []
             for block in word_blocks(batch.column(text_col)):
-                one, many = _band_keys(*shingle_sets(block, words), block.rows)
+                owner, shingles = shingle_sets(block, words)
+                one, many = _band_keys(owner, shingles, block.rows)
+                edges = np.searchsorted(owner, np.arange(block.rows + 1))
                 node.append(one)
                 keys.append(many)
-            node, keys = np.concatenate(node).view(np.int64), np.concatenate(keys).view(np.int64)
+                size.append(np.diff(edges))
+                sketches += [jaccard.sketch(shingles[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            node, keys, size = np.concatenate(node), np.concatenate(keys).view(np.int64), np.concatenate(size)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays([pa.array(node), lists], ["node", "keys"])], [*names, marks])
+            cells = pa.StructArray.from_arrays([pa.array(node), lists, pa.array(size), pa.array(sketches, pa.binary())], ["node", "keys", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*names, marks])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    held = materialise(docs.mapInArrow(run, f"{fields}, {marks} struct<node: bigint, keys: array<bigint>>").withColumn(row, F.monotonically_increasing_id()), "marked")
+    kinds = f"{marks} struct<node: bigint, keys: array<bigint>, size: bigint, sketch: binary>"
+    held = materialise(docs.mapInArrow(run, f"{fields}, {kinds}").withColumn(row, F.monotonically_increasing_id()), "marked")
     small = held.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(f"{marks}.*"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    nodes = materialise(small.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys")), "nodes")
+    nodes = materialise(small.groupBy("node").agg(F.min(order).alias("first"), *(F.first(c).alias(c) for c in ("keys", "size", "sketch"))), "nodes")
     near = components(_candidates(nodes)).join(nodes.select("node", F.col("first.row").alias("row")), "node")
     texts = held.select(F.col(row).alias("row"), F.col(text_col).alias("text")).join(near, "row")
-    roots = components(_verified(materialise(texts.select("node", "root", "text"), "candidates"), words))
+    known = materialise(_verified(materialise(texts.select("node", "root", "text"), "candidates"), words), "known")
+    roots = jaccard.classes(held.select(F.col(text_col).alias("text")), nodes.filter("node != 0").select("node", "size", "sketch"), words, round(100 * SIMILAR), known)
     kept = (nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
             .select(F.col("first.row").alias(row)))
     return held.join(kept, row, "left_semi").select(*names)
